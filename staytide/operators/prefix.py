@@ -72,13 +72,13 @@ def lag_in_group(
     chunk_ends = df.groupBy(*keys, chunk).agg(last.alias("_last"))
     by_chunk = Window.partitionBy(*keys).orderBy(chunk)
     carried = chunk_ends.select(
-        *keys, F.col(chunk).alias("_chunk"), F.lag("_last").over(by_chunk).alias("_carried")
+        *keys, F.col(chunk).alias("_key_chunk"), F.lag("_last").over(by_chunk).alias("_carried")
     ).withColumnsRenamed({k: f"_key_{k}" for k in keys})
     in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order)
     rows = df.withColumns(
         {"_before": F.lag(value).over(in_chunk), "_first": F.row_number().over(in_chunk) == 1}
     )
-    same = F.col(chunk) == F.col("_chunk")
+    same = F.col(chunk) == F.col("_key_chunk")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     # only the first row of a chunk looks to the chunk before
