@@ -48,23 +48,30 @@ def collapse(
     return df.groupBy(*keys).agg(*aggs).join(middle, list(keys), "left").select(*wanted)
 
 
+def side_by_side(m1: DataFrame, m2: DataFrame, value: str) -> DataFrame:
+    """Events of two measurements in one frame, each in a column of its own.
+
+    Both can then shrink to one row per key in one pass, instead of two and a join.
+    """
+    return m1.withColumnRenamed(value, "m1_valuenum").unionByName(
+        m2.withColumnRenamed(value, "m2_valuenum"), allowMissingColumns=True
+    )
+
+
 def pair_measurements(
     m1: DataFrame, m2: DataFrame, keys: Sequence[str], value: str, window: tuple[int, int], offset: str
 ) -> DataFrame:
     """Medians of two measurements within a window, for keys that have both.
 
-    Pairing all values first and taking medians of the pairs gives the same medians; here each
-    side shrinks to one row per key before the join. `n_pairs` is the number of such pairs.
+    Pairing all values first and taking medians of the pairs gives the same medians; here no
+    pair is ever made. `n_pairs` is the number of such pairs.
     """
-
-    def side(df: DataFrame, i: int) -> DataFrame:
-        inside = df.filter(window_test(offset, *window) & F.col(value).isNotNull())
-        counted = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_m{i}"))
-        return counted.join(group_medians(inside, keys, {value: f"m{i}_valuenum"}), list(keys))
-
+    m1, m2 = (df.filter(window_test(offset, *window)).select(*keys, value) for df in (m1, m2))
+    both = side_by_side(m1, m2, value).withColumns({"n_m1": F.col("m1_valuenum"), "n_m2": F.col("m2_valuenum")})
+    spec = {"m1_valuenum": "median", "m2_valuenum": "median", "n_m1": "count", "n_m2": "count"}
     return (
-        side(m1, 1)
-        .join(side(m2, 2), list(keys))
+        collapse(both, keys, spec, order=[])
+        .filter((F.col("n_m1") > 0) & (F.col("n_m2") > 0))
         .withColumn("n_pairs", F.col("n_m1") * F.col("n_m2"))
     )
 
@@ -119,23 +126,14 @@ def sweep(
     `labels` maps an outcome span to its 0/1 column on the events of m1; the label of a stay
     is the highest one within the window.
     """
-    windows = window_starts(moments, lengths)
     by = [*keys, "pw", "mop"]
-    first = in_each_window(
-        m1.select(*keys, offset, value, *labels.values()), offset, windows, unit
+    events = side_by_side(
+        m1.select(*keys, offset, value, *labels.values()), m2.select(*keys, offset, value), value
     )
-    second = in_each_window(m2.select(*keys, offset, value), offset, windows, unit)
-    left = collapse(
-        first,
-        by,
-        {value: "median", **{c: "max" for c in labels.values()}},
-        order=[offset],
-        rename={value: "m1_valuenum"},
-    )
-    right = collapse(second, by, {value: "median"}, order=[offset], rename={value: "m2_valuenum"})
+    placed = in_each_window(events, offset, window_starts(moments, lengths), unit)
+    spec = {"m1_valuenum": "median", "m2_valuenum": "median", **{c: "max" for c in labels.values()}}
+    rows = collapse(placed, by, spec, order=[offset]).dropna(subset=["m1_valuenum", "m2_valuenum"])
     outcomes = F.array(*[F.struct(F.lit(h).alias("ow"), F.col(c).alias("label")) for h, c in labels.items()])
-    return (
-        left.join(right, by)
-        .withColumn("_o", F.explode(outcomes))
-        .select(*by, "_o.ow", "m1_valuenum", "m2_valuenum", "_o.label")
+    return rows.withColumn("_o", F.explode(outcomes)).select(
+        *by, "_o.ow", "m1_valuenum", "m2_valuenum", "_o.label"
     )

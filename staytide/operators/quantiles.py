@@ -16,15 +16,22 @@ from staytide.functions.radix import number_chunk
 from staytide.functions.values import null_if_nan
 
 
-def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    quantiles: Sequence[float],
+def _rank(n: Column, q: float) -> Column:
+    return (n - 1) * F.lit(float(q))
+
+
+def _bracket(n: Column, q: float) -> tuple[Column, Column]:
+    """The two ranks, from 0, between which a quantile lies."""
+    low = F.floor(_rank(n, q))
+    return low, F.least(low + 1, n - 1)
+
+
+def _values_near(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], quantiles: Sequence[float]
 ) -> DataFrame:
-    """One row per group and column: (keys, measure, n, q0, q1, ...), interpolated linearly.
+    """The values around each wanted rank: (keys, measure, value, n, _upto).
 
-    Missing values are left out; a group without values gives no row.
+    `_upto` counts the group's values up to this one, `n` all of them.
     """
     long = df.select(
         *keys,
@@ -45,32 +52,18 @@ def group_quantiles(
     )
     group = [*keys, "measure"]
 
-    by_chunk = Window.partitionBy(*group).orderBy("_chunk")
+    everything = Window.partitionBy(*group)
+    upto = F.sum("_n").over(everything.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0))
     chunks = (
         counts.groupBy(*group, "_chunk")
         .agg(F.sum("_n").alias("_n"))
-        .select(
-            *group,
-            "_chunk",
-            F.sum("_n").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-            F.sum("_n").over(Window.partitionBy(*group)).alias("n"),
-            (
-                F.sum("_n").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-            ).alias("_before"),
-        )
+        .select(*group, "_chunk", "_n", upto.alias("_upto"), F.sum("_n").over(everything).alias("n"))
+        .withColumn("_before", F.col("_upto") - F.col("_n"))
     )
-
-    def position(q: float) -> Column:
-        return (F.col("n") - 1) * F.lit(float(q))
-
-    def ranks(q: float) -> tuple[Column, Column]:
-        low = F.floor(position(q))
-        return low, F.least(low + 1, F.col("n") - 1)
-
     wanted = F.lit(False)
     for q in quantiles:
-        for r in ranks(q):
-            wanted = wanted | ((r >= F.col("_before")) & (r < F.col("_upto")))
+        for rank in _bracket(F.col("n"), q):
+            wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_upto")))
     holding = chunks.filter(wanted).select(
         *[F.col(c).alias(f"_key_{c}") for c in group], F.col("_chunk").alias("_key_chunk"), "_before", "n"
     )
@@ -83,22 +76,34 @@ def group_quantiles(
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    sorted_values = counts.join(holding, same).select(
+    return counts.join(holding, same).select(
         *group, "value", "n", (F.col("_before") + F.sum("_n").over(in_chunk)).alias("_upto")
     )
 
-    found = []
-    for i, q in enumerate(quantiles):
-        low, high = ranks(q)
-        found.append(F.min(F.when(F.col("_upto") > low, F.col("value"))).alias(f"_low{i}"))
-        found.append(F.min(F.when(F.col("_upto") > high, F.col("value"))).alias(f"_high{i}"))
-    picked = sorted_values.groupBy(*group).agg(F.max("n").alias("n"), *found)
 
-    def between(i: int, q: float) -> Column:
-        share = position(q) - F.floor(position(q))
-        return F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * share
+def _at_rank(rank: Column, test: Column) -> Column:
+    return F.min(F.when(test & (F.col("_upto") > rank), F.col("value")))
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], quantiles: Sequence[float]
+) -> DataFrame:
+    """One row per group and column: (keys, measure, n, q0, q1, ...), interpolated linearly.
 
-    return picked.select(*group, "n", *[between(i, q).alias(f"q{i}") for i, q in enumerate(quantiles)])
+    Missing values are left out; a group without values gives no row.
+    """
+    n, found, out = F.col("n"), [], []
+    for i, q in enumerate(quantiles):
+        low, high = _bracket(n, q)
+        found += [
+            _at_rank(low, F.lit(True)).alias(f"_low{i}"),
+            _at_rank(high, F.lit(True)).alias(f"_high{i}"),
+        ]
+        share = _rank(n, q) - F.floor(_rank(n, q))
+        out.append((F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * share).alias(f"q{i}"))
+    near = _values_near(df, keys, columns, quantiles)
+    picked = near.groupBy(*keys, "measure").agg(F.max("n").alias("n"), *found)
+    return picked.select(*keys, "measure", "n", *out)
 
 
 def group_medians(df: DataFrame, keys: Sequence[str], columns: dict[str, str] | Sequence[str]) -> DataFrame:
@@ -107,7 +112,11 @@ def group_medians(df: DataFrame, keys: Sequence[str], columns: dict[str, str] |
     A group whose values are all missing has a row only if another column of it has values.
     """
     names = columns if isinstance(columns, dict) else {c: c for c in columns}
-    long = group_quantiles(df, keys, list(names), [0.5])
-    return long.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("measure") == c, F.col("q0"))).alias(out) for c, out in names.items()]
-    )
+    low, high = _bracket(F.col("n"), 0.5)
+    odd = F.col("n") % 2 == 1
+    middle = []
+    for c, out in names.items():
+        own = F.col("measure") == c
+        upper = _at_rank(F.when(odd, low).otherwise(high), own)
+        middle.append(((_at_rank(low, own) + upper) / 2).alias(out))
+    return _values_near(df, keys, list(names), [0.5]).groupBy(*keys).agg(*middle)

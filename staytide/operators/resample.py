@@ -28,7 +28,13 @@ def _blocks(df: DataFrame, key: str, vec: str, size: int) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("m"))
         .select(F.col("m.x").alias("m"))
     )
-    placed = df.withColumn("dist", _distance_to(means.scalar(), vec)).withColumn("_chunk", number_chunk("dist"))
+    # the mean vector is one row
+    placed = (
+        df.crossJoin(F.broadcast(means))
+        .withColumn("dist", _distance_to(F.col("m"), vec))
+        .withColumn("_chunk", number_chunk("dist"))
+        .drop("m")
+    )
     ranked = row_ranks(placed, [], "_chunk", ["dist", key], "_rank")
     return ranked.select(key, vec, "dist", F.floor(F.col("_rank") / size).alias("block"))
 
@@ -105,7 +111,12 @@ def nearest_neighbors(
         .select("block", "other")
     )
     left = blocks.join(pairs, "block").select("block", "other", key, vec)
-    right = blocks.withColumnRenamed("block", "other").join(pairs, "other").select("block", "other", key, vec)
+    right = (
+        blocks.withColumnRenamed("block", "other")
+        .join(pairs, "other")
+        .select("block", "other", key, vec)
+        .toDF("block", "other", key, vec)
+    )
     across = (
         left.groupBy("block", "other")
         .cogroup(right.groupBy("block", "other"))

@@ -13,7 +13,7 @@ from pyspark.sql.types import (
 
 from staytide.functions import clock, recode, therapy
 from staytide.functions import values as V
-from staytide.operators import cohort, intervals, profile, select
+from staytide.operators import cohort, intervals, profile, quantiles, select
 from staytide.plans.registry import query, risk_sql
 from staytide.schemas import HORIZON_HOURS, HOUR_US
 from staytide.session import shared_dir
@@ -531,11 +531,12 @@ def ensemble_ci(spark, sf):
 
 def case_medians(spark, sf):
     """One row per stay with the medians of both measures."""
-    from staytide.operators.quantiles import group_medians
-
-    left = group_medians(tables.m1_events(spark, sf), ["stay_id"], {"value": "m1_valuenum"})
-    right = group_medians(tables.m2_events(spark, sf), ["stay_id"], {"value": "m2_valuenum"})
-    return left.join(right, "stay_id")
+    events = cohort.side_by_side(
+        tables.m1_events(spark, sf).select("stay_id", "value"),
+        tables.m2_events(spark, sf).select("stay_id", "value"),
+        "value",
+    )
+    return quantiles.group_medians(events, ["stay_id"], ["m1_valuenum", "m2_valuenum"]).dropna()
 
 
 def _like(column: str, rule: therapy.TextRule) -> str:

@@ -227,18 +227,18 @@ def assemble_cohort(
 ) -> DataFrame:
     """One feature row per listed stay that has both measures in the window.
 
-    `spec` tells how each attribute on the events of m1 becomes one value. Each side shrinks to
-    one row per stay before they meet, so the final join keeps just the shared stays.
+    `spec` tells how each attribute on the events of m1 becomes one value. Both measures shrink
+    to one row per stay in the same pass; stays without one of them fall out.
     """
     inside = clock.window_test(offset, *window)
-    first = joins.keep_listed(m1.filter(inside), cohort_list, key)
-    second = joins.keep_listed(m2.filter(inside).select(key, offset, value), cohort_list, key)
-    left = cohort.collapse(
-        first.withColumn("m1_valuenum", F.col(value)), [key], {"m1_valuenum": "median", **spec}, order
+    events = cohort.side_by_side(
+        m1.filter(inside), m2.filter(inside).select(key, offset, value), value
     )
-    right = cohort.collapse(second, [key], {value: "median"}, order, rename={value: "m2_valuenum"})
-    labels = cohort_list.select(key, F.col(label).alias("mortality"))
-    return left.join(right, key).join(labels, key)
+    listed = joins.keep_listed(events, cohort_list, key)
+    rows = cohort.collapse(
+        listed, [key], {"m1_valuenum": "median", "m2_valuenum": "median", **spec}, order
+    ).dropna(subset=["m1_valuenum", "m2_valuenum"])
+    return rows.join(cohort_list.select(key, F.col(label).alias("mortality")), key)
 
 
 def cohort_with_folds(cohort_rows: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:

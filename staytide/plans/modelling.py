@@ -143,10 +143,8 @@ def fold_metrics(spark, sf):
 )
 def first_fold_prediction(spark, sf):
     cases = surface(case_medians(spark, sf)).withColumn("gt_label", big(F.col("stay_id") % 3 == 0))
-    by_fold = [cases.select("stay_id", F.lit(k).alias("fold"), F.col(p).alias("pred_prob"), "gt_label") for k, p in enumerate(PREDS)]
-    every = by_fold[0]
-    for part in by_fold[1:]:
-        every = every.unionByName(part)
+    by_fold = F.array(*[F.struct(F.lit(k).alias("fold"), F.col(p).alias("pred_prob")) for k, p in enumerate(PREDS)])
+    every = cases.select("stay_id", "gt_label", F.inline(by_fold))
     out = folds.first_per_key(every, ["stay_id"], ["fold"])
     return out.select("stay_id", r6("pred_prob").alias("pred_prob"), "gt_label")
 
@@ -568,7 +566,7 @@ def deviation_alerts(spark, sf):
 def deviation_alerts_stream(spark, sf):
     """The same alerts from a stream; windows still open under the watermark give none yet."""
     schema = tables.table(spark, sf, "events").schema
-    stream = A.event_stream(spark, f"{sf}/events.parquet", schema)
+    stream = A.event_stream(spark, sf, schema, files="events*.parquet")
     events = stream.filter((F.col("event_type") == "view") & (F.col("value") <= 300)).select(
         F.col("user_id").alias("stay_id"), F.col("ts").cast("timestamp").alias("ts"), "value"
     )

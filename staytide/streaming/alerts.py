@@ -47,11 +47,12 @@ def alerts(
     return deviations(window_means(events, key, time, value, width), targets, key, target, tolerance)
 
 
-def event_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
+def event_stream(
+    spark: SparkSession, path: str, schema: StructType, files: str = "*.parquet", files_per_batch: int = 100
+) -> DataFrame:
     """New Parquet files of a folder, as a stream."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
