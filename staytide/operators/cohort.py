@@ -12,8 +12,9 @@ from staytide.operators.quantiles import group_medians
 
 
 def first_known(c: str, order: Sequence[str]) -> Column:
-    """First value that is not missing, in the given order."""
-    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order)))
+    """First value that is not missing, in the given order; among equals the lowest, so a lost
+    task gives the same value again."""
+    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order, c)))
 
 
 def collapse(

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staytide.functions.radix import time_chunk
-from staytide.operators.prefix import lag_in_group, sums_before
 from staytide.schemas import HOUR_US
 
 
@@ -17,20 +16,43 @@ def highest_per_time(df: DataFrame, keys: Sequence[str], time: str, columns: Seq
     return df.groupBy(*keys, time).agg(*[F.max(c).alias(c) for c in columns])
 
 
+def _chunk_episodes(
+    ticks: DataFrame, keys: Sequence[str], time: str, gap: int, chunk_width: int, aggs: Sequence[Column]
+) -> DataFrame:
+    """Ticks summed up per chunk of time, with the number of the chunk's episode, from 1.
+
+    A chunk is no wider than the gap, so all its ticks belong to one episode. A key then has
+    a row per chunk, not per tick, and only these meet in one window.
+    """
+    if chunk_width > gap:
+        raise ValueError("chunks must not be wider than the gap between episodes")
+    chunks = (
+        ticks.withColumn("_chunk", time_chunk(time, chunk_width))
+        .groupBy(*keys, "_chunk")
+        .agg(F.min(time).alias("_first"), F.max(time).alias("_last"), *aggs)
+    )
+    in_order = Window.partitionBy(*keys).orderBy("_chunk")
+    far = F.col("_first") - F.lag("_last").over(in_order) > gap
+    flagged = chunks.withColumn("_new", F.coalesce(far, F.lit(True)).cast("bigint"))
+    return flagged.withColumn("episode", F.sum("_new").over(in_order))
+
+
 def numbered(
     ticks: DataFrame, keys: Sequence[str], time: str, gap: int, chunk_width: int = HOUR_US
 ) -> DataFrame:
-    """Adds the tick before, a flag for the start of an episode, and the episode's number from 1.
+    """Adds a flag for the tick that starts an episode, and the episode's number from 1.
 
     A tick starts an episode if it is the first of its key, or more than `gap` after the one
     before. Times must be unique within a key.
     """
+    chunks = _chunk_episodes(ticks, keys, time, gap, chunk_width, []).select(
+        *keys, "_chunk", "episode", F.when(F.col("_new") == 1, F.col("_first")).alias("_start")
+    )
     placed = ticks.withColumn("_chunk", time_chunk(time, chunk_width))
-    lagged = lag_in_group(placed, keys, "_chunk", [time], time, "time_before")
-    far = F.col("time_before").isNull() | (F.col(time) - F.col("time_before") > gap)
-    flagged = lagged.withColumn("new_episode", far.cast("int"))
-    summed = sums_before(flagged, keys, "_chunk", [time], {"_earlier": "new_episode"})
-    return summed.withColumn("episode", F.col("_earlier") + F.col("new_episode")).drop("_chunk", "_earlier")
+    new = F.coalesce(F.col(time) == F.col("_start"), F.lit(False)).cast("int")
+    return placed.join(chunks, [*keys, "_chunk"]).select(
+        *ticks.columns, new.alias("new_episode"), "episode"
+    )
 
 
 def episodes(
@@ -42,13 +64,14 @@ def episodes(
     chunk_width: int = HOUR_US,
 ) -> DataFrame:
     """One row per episode: first and last tick, number of ticks, highest values."""
+    aggs = [F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in highest]]
     return (
-        numbered(ticks, keys, time, gap, chunk_width)
+        _chunk_episodes(ticks, keys, time, gap, chunk_width, aggs)
         .groupBy(*keys, "episode")
         .agg(
-            F.min(time).alias("first_tick"),
-            F.max(time).alias("last_tick"),
-            F.count(F.lit(1)).alias("n_ticks"),
+            F.min("_first").alias("first_tick"),
+            F.max("_last").alias("last_tick"),
+            F.sum("_n").alias("n_ticks"),
             *[F.max(c).alias(c) for c in highest],
         )
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staytide.functions.values import as_col, null_if_nan
+from staytide.operators.cohort import first_known
 from staytide.operators.quantiles import group_medians, group_quantiles
 
 
@@ -40,8 +41,7 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 def label_distribution(df: DataFrame, key: str, label: str, order: Sequence[str]) -> DataFrame:
     """Stays per label; a stay's label is its first known one."""
-    first = F.min_by(F.col(label), F.when(F.col(label).isNotNull(), F.struct(*order)))
-    return df.groupBy(key).agg(first.alias(label)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(key).agg(first_known(label, order).alias(label)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

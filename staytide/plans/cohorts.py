@@ -356,7 +356,7 @@ def _cohort(spark, sf):
         "dead24",
         WINDOW,
         {**jobs.FEATURE_SPEC, "died_soon": "max"},
-        order=["off_us", "event_id", "ts_us"],
+        order=["off_us", "event_id"],
     )
 
 
@@ -367,13 +367,15 @@ def _cohort_out(df, *more):
         *[r6(F.coalesce(c, F.lit(-1.0))).alias(c) for c in middle],
         *BODY_AVAILABLE,
         *[big(F.coalesce(c, F.lit(-1))).alias(c) for c in ("gender", "mortality", *more)],
-        *[big(c).alias(c) for c in (*COMORBIDITY, *RACE)],
+        *[big(c).alias(c) for c in (*COMORBIDITY, *VENTILATION, *RACE)],
+        *ORGAN_SCORES,
         big("died_soon").alias("died_soon"),
     )
 
 
 _FIRST_SQL = ", ".join(
-    f"arg_min({c}, (off_us, event_id)) AS {c}" for c in [*BODY_AVAILABLE, *COMORBIDITY, *RACE]
+    f"arg_min({c}, (off_us, event_id, {c})) AS {c}"
+    for c in [*BODY_AVAILABLE, *COMORBIDITY, *ORGAN_SCORES, *VENTILATION, *RACE]
 )
 _COHORT_SQL = f"""
     {_ENRICHED_SQL.strip()},

@@ -177,7 +177,7 @@ def smote_neighbors(spark, sf):
     "smote_oversample",
     """
     SELECT label, n AS n_rows, n - real AS n_synthetic FROM (
-      SELECT 0 AS label, COUNT(*) FILTER (WHERE label <> 0) AS n, COUNT(*) FILTER (WHERE label <> 0) AS real FROM embeddings
+      SELECT CAST(0 AS BIGINT) AS label, COUNT(*) FILTER (WHERE label <> 0) AS n, COUNT(*) FILTER (WHERE label <> 0) AS real FROM embeddings
       UNION ALL
       SELECT 1, GREATEST(COUNT(*) FILTER (WHERE label <> 0), COUNT(*) FILTER (WHERE label = 0)), COUNT(*) FILTER (WHERE label = 0)
       FROM embeddings)""",
