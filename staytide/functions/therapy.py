@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staytide.functions.values import as_col
@@ -111,14 +111,22 @@ def rule_matches(text: Column | str, rule: TextRule) -> Column:
     return test
 
 
-def therapy_types(text: Column | str, rules: Sequence[TextRule] = THERAPY_RULES) -> Column:
-    """All types a text belongs to, as an array; one pass over the text."""
-    lowered = F.lower(as_col(text))
+def therapy_types(lowered: Column | str, rules: Sequence[TextRule] = THERAPY_RULES) -> Column:
+    """All types of a lower-case text, as an array."""
     return F.array_compact(
         F.array(*[F.when(rule_matches(lowered, rule), F.lit(rule.kind)) for rule in rules])
     )
 
 
+def with_therapy_types(df: DataFrame, text: str, out: str = "types") -> DataFrame:
+    """Adds all types each text belongs to, of any case.
+
+    The lower-case text is a step of its own: the many tests read it, and must not each make it.
+    """
+    lowered = df.withColumn("_lowered", F.lower(text))
+    return lowered.withColumn(out, therapy_types("_lowered")).drop("_lowered")
+
+
 def oxygen_share_type(share: Column | str) -> Column:
     """Measured oxygen share, as a fraction or per cent: -1 above room air, 0 below, NULL for room air."""
     share = as_col(share)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ M1_GRID = (40, 150)
 M2_GRID = (60, 200)
 TARGET_POINTS = 100
 
+CASES_PER_TASK = 1000
+
 # Predictions that agree to this many digits count as equal.
 TIE_DIGITS = 9
 
@@ -25,18 +28,19 @@ def with_grid(
     key: str,
     m1: tuple[int, int] = M1_GRID,
     m2: tuple[int, int] = M2_GRID,
-    partitions: int | None = None,
+    cases_per_task: int = CASES_PER_TASK,
 ) -> DataFrame:
     """Every case with every grid point, as m1_valuenum and m2_valuenum.
 
     Cases are spread by key while they are few rows, and each one unfolds in place. Its points
-    then already lie together for the ranking, and the grid rows are never shuffled.
+    then already lie together for the ranking, and the grid rows are never shuffled. The number
+    of cases is counted, as tasks must hold a bounded number of grid rows.
     """
-    partitions = partitions or max(
-        int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        cases.sparkSession.sparkContext.defaultParallelism,
-    )
-    points = cases.drop("m1_valuenum", "m2_valuenum").repartition(partitions, key)
+    tasks = 8 * cases.sparkSession.sparkContext.defaultParallelism
+    tasks = max(tasks, math.ceil(cases.count() / cases_per_task))
+    # one more, so the number differs from the session's shuffle partitions: Spark would take
+    # such a shuffle for its own, and merge its small-looking partitions into a few tasks
+    points = cases.drop("m1_valuenum", "m2_valuenum").repartition(tasks + 1, key)
     return points.withColumn("m1_valuenum", F.explode(F.sequence(F.lit(m1[0]), F.lit(m1[1])))).withColumn(
         "m2_valuenum", F.explode(F.sequence(F.lit(m2[0]), F.lit(m2[1])))
     )
@@ -52,7 +56,10 @@ def with_average(df: DataFrame, preds: Sequence[str]) -> DataFrame:
 
 
 def lowest_points(scored: DataFrame, key: str, k: int = TARGET_POINTS) -> DataFrame:
-    """The k points of lowest mean prediction per case; ties go to the lower m1, then m2."""
+    """The k points of lowest mean prediction per case; ties go to the lower m1, then m2.
+
+    For points of any kind. Spark limits each partition to k rows per case before it shuffles.
+    """
     order = Window.partitionBy(key).orderBy(
         F.round("average_pred", TIE_DIGITS), "m1_valuenum", "m2_valuenum"
     )
@@ -60,7 +67,7 @@ def lowest_points(scored: DataFrame, key: str, k: int = TARGET_POINTS) -> DataFr
 
 
 def target_points(scored: DataFrame, key: str, k: int = TARGET_POINTS) -> DataFrame:
-    """Target of each case: the mean of its k lowest points."""
+    """Target of each case: the mean of its k lowest points, of any kind."""
     return (
         lowest_points(scored, key, k)
         .groupBy(key)
@@ -68,12 +75,41 @@ def target_points(scored: DataFrame, key: str, k: int = TARGET_POINTS) -> DataFr
     )
 
 
+def grid_target_points(
+    scored: DataFrame,
+    key: str,
+    k: int = TARGET_POINTS,
+    m1: tuple[int, int] = M1_GRID,
+    m2: tuple[int, int] = M2_GRID,
+) -> DataFrame:
+    """As `target_points`, for the whole numbers of a grid and predictions from 0 to 1.
+
+    Prediction and point become one number that sorts like the three of them. A case then is an
+    array of as many numbers as the grid has points, which is far cheaper to sort than rows.
+    """
+    wide = m2[1] - m2[0] + 1
+    points = (m1[1] - m1[0] + 1) * wide
+    level = F.floor(F.col("average_pred") * 10.0**TIE_DIGITS + 0.5)
+    place = (F.col("m1_valuenum") - m1[0]) * wide + (F.col("m2_valuenum") - m2[0])
+    codes = scored.select(key, (level * points + place).alias("_code"))
+    lowest = codes.groupBy(key).agg(F.slice(F.sort_array(F.collect_list("_code")), 1, k).alias("_codes"))
+
+    def mean(of) -> Column:
+        total = F.aggregate("_codes", F.lit(0).cast("bigint"), lambda acc, c: acc + of(F.pmod(c, F.lit(points))))
+        return total / F.size("_codes")
+
+    return lowest.select(
+        key,
+        (mean(lambda place: F.floor(place / wide)) + m1[0]).alias("optimal_m1"),
+        (mean(lambda place: F.pmod(place, F.lit(wide))) + m2[0]).alias("optimal_m2"),
+    )
+
+
 def optimal_targets(
     cases: DataFrame, key: str, score: Scorer, preds: Sequence[str], k: int = TARGET_POINTS
 ) -> DataFrame:
     """Targets of all cases. `score` adds the prediction columns named in `preds`."""
-    scored = with_average(score(with_grid(cases, key)), preds)
-    return target_points(scored.select(key, "m1_valuenum", "m2_valuenum", "average_pred"), key, k)
+    return grid_target_points(with_average(score(with_grid(cases, key)), preds), key, k)
 
 
 def _risk_at(df: DataFrame, m1: str, m2: str, score: Scorer, preds: Sequence[str], how: str, out: str):

@@ -566,7 +566,7 @@ def therapy_sql(column: str) -> str:
     FROM t""",
 )
 def classify_text_rules(spark, sf):
-    docs = tables.table(spark, sf, "documents").select("doc_id", therapy.therapy_types("text").alias("types"))
+    docs = therapy.with_therapy_types(tables.table(spark, sf, "documents").select("doc_id", "text"), "text")
     return docs.select(
         "doc_id",
         F.array_join(F.col("types").cast("array<string>"), ",").alias("types"),

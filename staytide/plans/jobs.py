@@ -34,7 +34,7 @@ def therapy_ticks(texts: DataFrame, flows: DataFrame, shares: DataFrame, key: st
     """
     kinds = F.col("_types")
     from_text = (
-        texts.withColumn("_types", therapy.therapy_types("text"))
+        therapy.with_therapy_types(texts, "text", "_types")
         .filter(F.size(kinds) > 0)
         .select(
             key,
