@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staytide.functions import clock, recode
-from staytide.operators import joins
+from staytide.operators import joins, select
 from staytide.plans import jobs
 from staytide.plans.basics import (
     CATEGORY_SQL,
@@ -33,9 +33,8 @@ _TEXTS = ["Set VT", "CPAP mask", "vent settings", "Nasal Cannula", "PS", "LPM O2
 _TEXT_SQL = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TEXTS)) + " END"
 
 
-def _charted(spark, sf):
+def _charted(spark, sf, stays):
     """Charted texts, oxygen flows and oxygen shares in minutes from admission, out of the events."""
-    stays = tables.stays(spark, sf)
     e = tables.table(spark, sf, "events").withColumnRenamed("user_id", "stay_id")
     e = tables.with_offset(e, stays).withColumn("minute", F.floor(F.col("off_us") / MINUTE))
     text = F.array(*[F.lit(t) for t in _TEXTS], F.lit(None))[(F.col("event_id") % 8).cast("int")]
@@ -50,8 +49,8 @@ def _charted(spark, sf):
     return texts, flows, shares, ends
 
 
-def _job_episodes(spark, sf):
-    texts, flows, shares, ends = _charted(spark, sf)
+def _job_episodes(spark, sf, stays):
+    texts, flows, shares, ends = _charted(spark, sf, stays)
     ticks = jobs.therapy_ticks(texts, flows, shares, "stay_id")
     return jobs.therapy_episodes(ticks, ends, "stay_id", "discharge")
 
@@ -83,7 +82,7 @@ _EPISODES_SQL = f"""
 
 @query("job_episodes", f"WITH {_EPISODES_SQL.strip()} SELECT * FROM vents")
 def job_episodes(spark, sf):
-    out = _job_episodes(spark, sf)
+    out = _job_episodes(spark, sf, tables.stays(spark, sf))
     return out.withColumns({c: big(c) for c in ("oxygen_therapy_type", "supp_oxygen")})
 
 
@@ -108,17 +107,16 @@ _RACE_SQL = ", ".join(f"CAST(ethnicity = '{a}' AS BIGINT) AS {b}" for a, b in re
 _BMI = "weight / (height / 100.0::DOUBLE * (height / 100.0::DOUBLE))"
 
 
-def _raw_stays(spark, sf):
+def _raw_stays(spark, sf, stays):
     """Stays with their hospital stay, status and unclean demographics."""
-    stays = tables.stays(spark, sf).select("stay_id", "patient_id", "status")
     people = tables.demographics(spark, sf).withColumnRenamed("age_text", "age")
-    return stays.join(people, "stay_id")
+    return stays.select("stay_id", "patient_id", "status").join(people, "stay_id")
 
 
-def _clean_stays(spark, sf):
+def _clean_stays(spark, sf, stays):
     charted = tables.m1_events(spark, sf).filter(F.col("value") > 150)
     return jobs.clean_stays(
-        _raw_stays(spark, sf), charted, _comorbidity(spark, sf), "stay_id", "patient_id", ethnicity=SEGMENTS
+        _raw_stays(spark, sf, stays), charted, _comorbidity(spark, sf), "stay_id", "patient_id", ethnicity=SEGMENTS
     )
 
 
@@ -141,7 +139,7 @@ _ROUND_BODY = ", ".join(f"ROUND({c}, 6) AS {c}" for c in BODY)
 
 @query("job_stays", f"WITH {_CLEAN_SQL.strip()} SELECT * REPLACE ({_ROUND_BODY}) FROM clean")
 def job_stays(spark, sf):
-    out = _clean_stays(spark, sf)
+    out = _clean_stays(spark, sf, tables.stays(spark, sf))
     whole = ["gender", *RACE, *COMORBIDITY]
     return out.withColumns({**{c: big(c) for c in whole}, **{c: r6(c) for c in BODY}})
 
@@ -189,19 +187,25 @@ def _vent_out(missing: str) -> str:
     JOIN (SELECT stay_id, (epoch_us(t1) - epoch_us(t0)) // {MINUTE} AS m FROM f_stays) dis USING (stay_id)""",
 )
 def job_events_offsets(spark, sf):
-    stays = tables.stays(spark, sf)
+    stays = materialize(
+        tables.stays(spark, sf).withColumn(
+            "discharge", F.floor(clock.elapsed_us("t0", "t1") / MINUTE)
+        ),
+        "admitted",
+    )
     events = tables.with_offset(tables.m1_events(spark, sf), stays).select(
         "event_id", "stay_id", F.floor(F.col("off_us") / MINUTE).alias("minute"), "value"
     )
-    ventilation = jobs.episode_categories(_job_episodes(spark, sf), "stay_id")
+    # episodes and clean stays are tables of their own, written by the jobs before this one
+    ventilation = jobs.episode_categories(materialize(_job_episodes(spark, sf, stays), "episodes"), "stay_id")
     begun = tables.intervals(spark, sf).join(stays.select("stay_id", "t0"), "stay_id")
     start = F.floor(clock.elapsed_us("t0", "start_ts") / MINUTE)
-    ends = stays.select("stay_id", F.floor(clock.elapsed_us("t0", "t1") / MINUTE).alias("discharge"))
+    clean = _clean_stays(spark, sf, stays).join(stays.select("stay_id", "discharge"), "stay_id")
     out = jobs.enrich_minute_events(
         events,
         ventilation,
         _scores(begun, start, start + 1440),
-        _clean_stays(spark, sf).join(ends, "stay_id"),
+        materialize(clean, "clean-stays"),
         "stay_id",
         "minute",
         "discharge",
@@ -212,30 +216,28 @@ def job_events_offsets(spark, sf):
     )
 
 
-def _admitted_stays(spark, sf):
-    """Stays by admission time, with gender, age, height and comorbidities, some unknown."""
+def _admitted(spark, sf):
+    """Stays with times of admission and death and all attributes, some unknown; written once."""
     people = tables.demographics(spark, sf).select(
         "stay_id",
         recode.recode("gender", recode.GENDER_BY_WORD).alias("gender"),
         F.col("age_text").try_cast("double").alias("age"),
         "height",
+        *[
+            c.alias(n)
+            for n, c in recode.one_hot(
+                recode.recode("ethnicity", SEGMENTS, keep_others=True), recode.RACE_COLUMNS
+            ).items()
+        ],
     )
-    stays = tables.stays(spark, sf).select("stay_id", clock.micros("t0").alias("admitted"))
-    return joins.with_dimension(
-        joins.with_dimension(stays, people, ["stay_id"]), _comorbidity(spark, sf), ["stay_id"]
-    )
-
-
-def _admissions(spark, sf):
-    people = tables.demographics(spark, sf).select(
-        "stay_id", recode.recode("ethnicity", SEGMENTS, keep_others=True).alias("race")
+    stays = tables.stays(spark, sf).select(
+        "stay_id", clock.micros("t0").alias("admitted"), clock.micros("death_ts").alias("died")
     )
-    people = people.withColumns(recode.one_hot("race", recode.RACE_COLUMNS)).drop("race")
-    died = tables.stays(spark, sf).select("stay_id", clock.micros("death_ts").alias("died"))
-    return died.join(people, "stay_id")
+    full = joins.with_dimension(stays.join(people, "stay_id"), _comorbidity(spark, sf), ["stay_id"])
+    return materialize(full, "admitted")
 
 
-def _enriched(spark, sf):
+def _enriched(spark, sf, stays, admissions):
     ticks = micro_intervals(tables.intervals(spark, sf))
     weights = ticks.select("stay_id", "start", "end", (50 + F.col("score") / 10).alias("weight"))
     longer = tables.ticks(spark, sf).select(
@@ -244,21 +246,7 @@ def _enriched(spark, sf):
     scores = _scores(longer, F.col("t"), F.col("t") + 48 * HOUR_US)
     events = micro_events(tables.m1_events(spark, sf)).drop("ts")
     return jobs.enrich_timestamp_events(
-        events,
-        _admitted_stays(spark, sf),
-        weights,
-        categories(spark, sf),
-        scores,
-        _admissions(spark, sf),
-        "stay_id",
-        "ts_us",
-    )
-
-
-def _second(spark, sf):
-    events = micro_events(tables.m2_events(spark, sf)).drop("ts")
-    return jobs.second_measure_events(
-        events, _admitted_stays(spark, sf), _admissions(spark, sf), "stay_id", "ts_us"
+        events, stays, weights, categories(spark, sf), scores, admissions, "stay_id", "ts_us"
     )
 
 
@@ -296,7 +284,9 @@ _LABELS = [f"death_in_{h}_hours" for h in HORIZON_HOURS]
            ROUND(value, 6) AS value FROM enriched""",
 )
 def job_events_timestamps(spark, sf):
-    out = _enriched(spark, sf).drop("died", "ts_us", "admitted")
+    full = _admitted(spark, sf)
+    admissions = full.select("stay_id", "died", *RACE)
+    out = _enriched(spark, sf, full.drop("died", *RACE), admissions).drop("died", "ts_us", "admitted")
     return out.withColumns(
         {
             **{c: r6(c) for c in [*BODY, "value"]},
@@ -339,24 +329,27 @@ def job_events_simple(spark, sf):
 
 
 def _cohort(spark, sf):
+    full = _admitted(spark, sf)
+    times = full.select("stay_id", "admitted", "height"), full.select("stay_id", "died")
     # the enriched events are written once, as the aggregates read them twice
-    m1 = materialize(
-        _enriched(spark, sf).filter(clock.window_test("off_us", *WINDOW)), "m1-events"
-    )
-    listed = tables.stays(spark, sf).select(
-        "stay_id", big(F.col("death_ts").isNotNull()).alias("dead24")
+    m1 = _enriched(spark, sf, *times).filter(clock.window_test("off_us", *WINDOW))
+    label = f"death_in_{OW}_hours"
+    m1 = materialize(m1.select("event_id", "stay_id", "off_us", "value", *jobs.EVENT_FEATURES, label), "m1-events")
+    m2 = jobs.second_measure_events(
+        micro_events(tables.m2_events(spark, sf)).drop("ts"), *times, "stay_id", "ts_us"
     )
     return jobs.assemble_cohort(
-        m1.withColumn("died_soon", F.col(f"death_in_{OW}_hours")),
-        _second(spark, sf),
-        listed,
+        m1.withColumnRenamed(label, "died_soon"),
+        m2,
+        full.select("stay_id", big(F.col("died").isNotNull()).alias("dead24")),
         "stay_id",
         "off_us",
         "value",
         "dead24",
         WINDOW,
-        {**jobs.FEATURE_SPEC, "died_soon": "max"},
+        {**jobs.EVENT_FEATURES, "died_soon": "max"},
         order=["off_us", "event_id"],
+        attributes=select.fill_zero(full.select("stay_id", *jobs.STAY_FEATURES), COMORBIDITY),
     )
 
 

@@ -15,12 +15,17 @@ from staytide.functions import values as V
 from staytide.operators import cohort, episodes, folds, intervals, joins, profile, select
 from staytide.schemas import (
     BODY,
+    BODY_AVAILABLE,
     COLLAPSE,
     COMORBIDITY,
+    DEMOGRAPHICS,
     HORIZON_HOURS,
     HOUR_US,
     ORGAN_SCORES,
+    RACE,
+    VENTILATION,
 )
+from staytide.session import materialize
 
 EPISODE_GAP_MIN = 24 * 60
 EPISODE_TAIL_MIN = 60
@@ -100,7 +105,10 @@ def clean_stays(
     parent: str,
     ethnicity: Mapping[str, str] = recode.ETHNICITY,
 ) -> DataFrame:
-    """Adult stays with known outcome and charted measures, recoded, completed and with comorbidities."""
+    """Adult stays with known outcome and charted measures, recoded, completed and with comorbidities.
+
+    The chosen stays are written once, as the medians and the check of parents read them again.
+    """
     kept = joins.keep_listed_parents(stays, charted, key, parent)
     kept = select.adults(kept, "age", "gender")
     kept = kept.withColumns(
@@ -110,7 +118,7 @@ def clean_stays(
         }
     )
     kept = kept.withColumns(recode.one_hot("ethnicity", recode.RACE_COLUMNS)).drop("ethnicity")
-    kept = with_body(kept)
+    kept = with_body(materialize(kept, "stays"))
     kept = kept.filter((F.col("height") > 100) & (F.col("weight") > 30))
     kept = joins.drop_parents(kept, kept.filter(F.col("status").isNull()), parent)
     return select.fill_zero(joins.with_dimension(kept, comorbidity, [key]), COMORBIDITY)
@@ -181,14 +189,15 @@ def enrich_timestamp_events(
 ) -> DataFrame:
     """Events with stay attributes, the weight of the moment, states and outcome labels.
 
-    `time` and all starts and ends are microseconds. `stays` has gender, age, comorbidities,
-    height and `admitted`; `admissions` has race columns and `died`.
+    `time` and all starts and ends are microseconds. `stays` has `admitted`, height and further
+    attributes, `admissions` has `died` and further ones. For a cohort leave the further ones out:
+    they are the same on all events of a stay, and join its one row in the end.
     """
     out = joins.with_dimension(events, stays, [key])
     out = intervals.interval_join(
         out, weights, [key], time, "start", "end", how="inner", closed=True
     ).drop("start", "end")
-    out = select.fill_zero(with_body(out), COMORBIDITY)
+    out = select.fill_zero(with_body(out), [c for c in COMORBIDITY if c in out.columns])
     out = with_states(out, ventilation, scores, key, time, "mv_unknown")
     out = out.withColumn("off_us", F.col(time) - F.col("admitted"))
     out = joins.with_dimension(out, admissions, [key], "inner")
@@ -224,20 +233,23 @@ def assemble_cohort(
     window: tuple[int, int],
     spec: Mapping[str, str],
     order: Sequence[str],
+    attributes: DataFrame | None = None,
 ) -> DataFrame:
     """One feature row per listed stay that has both measures in the window.
 
     `spec` tells how each attribute on the events of m1 becomes one value. Both measures shrink
-    to one row per stay in the same pass; stays without one of them fall out.
+    to one row per stay in the same pass; stays without one of them fall out. `attributes` has
+    one row per stay and joins last, so it does not travel with the events.
     """
     inside = clock.window_test(offset, *window)
-    events = cohort.side_by_side(
-        m1.filter(inside), m2.filter(inside).select(key, offset, value), value
-    )
-    listed = joins.keep_listed(events, cohort_list, key)
+    first = m1.filter(inside).select(key, offset, value, *{*spec, *order} - {key, offset, value})
+    second = m2.filter(inside).select(key, offset, value)
+    listed = joins.keep_listed(cohort.side_by_side(first, second, value), cohort_list, key)
     rows = cohort.collapse(
         listed, [key], {"m1_valuenum": "median", "m2_valuenum": "median", **spec}, order
     ).dropna(subset=["m1_valuenum", "m2_valuenum"])
+    if attributes is not None:
+        rows = joins.with_dimension(rows, attributes, [key])
     return rows.join(cohort_list.select(key, F.col(label).alias("mortality")), key)
 
 
@@ -245,7 +257,10 @@ def cohort_with_folds(cohort_rows: DataFrame, key: str, k: int = 5, seed: int =
     return folds.stratified_folds(cohort_rows, key, "mortality", k, seed)
 
 
-FEATURE_SPEC = {c: how for c, how in COLLAPSE.items() if c not in ("m1_valuenum", "m2_valuenum")}
+# features that change from event to event, and how they shrink to one value
+EVENT_FEATURES = {c: COLLAPSE[c] for c in [*BODY, *BODY_AVAILABLE, *ORGAN_SCORES, *VENTILATION]}
+# features that are the same for the whole stay
+STAY_FEATURES = [*DEMOGRAPHICS, *COMORBIDITY, *RACE]
 
 CLINICAL_WINDOW = clock.window_before(moment=18, length=12)
 POOLED_MOMENTS = (12, 18, 24, 30)
