@@ -16,7 +16,7 @@ from staytide.functions.values import as_col
 _LARGEST = 1.7e308
 
 
-def number_chunk(c: Column | str, bits: int = 8) -> Column:
+def number_chunk(c: Column | str, bits: int = 12) -> Column:
     """Chunk of a number: its power of two, cut into 2**bits equal parts."""
     c = as_col(c).cast("double")
     size = F.least(F.abs(c), F.lit(_LARGEST))

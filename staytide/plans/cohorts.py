@@ -396,7 +396,12 @@ def job_cohort_folds(spark, sf):
     return _cohort_out(jobs.cohort_with_folds(rows, "stay_id"), "fold")
 
 
-@query("cohort_features")
+@query(
+    "cohort_features",
+    f"""WITH {_COHORT_SQL.strip()}
+    SELECT stay_id, {', '.join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES)}, mortality FROM cohort""",
+)
 def cohort_features(spark, sf):
     """The feature matrix itself: all features in the order of the models."""
-    return _cohort(spark, sf).select("stay_id", *[F.col(c).cast("double").alias(c) for c in FEATURES], "mortality")
+    features = [r6(F.coalesce(F.col(c).cast("double"), F.lit(-1.0))).alias(c) for c in FEATURES]
+    return _cohort(spark, sf).select("stay_id", *features, "mortality")
