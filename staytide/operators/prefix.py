@@ -1,8 +1,9 @@
 """Running totals, ranks and lags of groups that may be too large for one task.
 
 Each operator takes a chunk column that rises with the order of the rows. Rows are sorted
-within (group, chunk); the totals of the chunks, a few per group, are summed up apart and
-joined back. No task ever holds a whole group.
+within (group, chunk). What a chunk needs to know of the chunks before it, a few numbers per
+group, is worked out apart and goes in front of its rows. So no task ever holds a whole
+group, the rows are shuffled once, and key columns may be NULL.
 """
 
 from __future__ import annotations
@@ -12,12 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _before(*keys_and_order) -> Window:
-    keys, order = keys_and_order
-    return (
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
+from staytide.functions.values import as_col
 
 
 def sums_before(
@@ -29,31 +25,27 @@ def sums_before(
 ) -> DataFrame:
     """Adds, per name in `sums`, the sum over the earlier rows of the same group.
 
-    `order` must order the rows of a (group, chunk) fully. Key columns may be NULL.
+    `order` must order the rows of a (group, chunk) fully.
     """
+    earlier_chunks = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, chunk).agg(*[F.sum(c).alias(f"_total_{n}") for n, c in sums.items()])
-    earlier_chunks = _before(keys, [chunk])
-    offsets = totals.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col(chunk).alias("_key_chunk"),
-        *[
-            F.coalesce(F.sum(f"_total_{n}").over(earlier_chunks), F.lit(0)).alias(f"_offset_{n}")
-            for n in sums
-        ],
+    heads = totals.select(
+        *keys,
+        chunk,
+        F.lit(0).alias("_place"),
+        *[F.coalesce(F.sum(f"_total_{n}").over(earlier_chunks), F.lit(0)).alias(f"_add_{n}") for n in sums],
     )
-    earlier_rows = _before([*keys, chunk], order)
-    running = df.select(
-        "*",
-        *[
-            F.coalesce(F.sum(c).over(earlier_rows), F.lit(0)).alias(f"_running_{n}")
-            for n, c in sums.items()
-        ],
+    rows = df.select(
+        "*", F.lit(1).alias("_place"), *[as_col(c).alias(f"_add_{n}") for n, c in sums.items()]
     )
-    same = F.col(chunk) == F.col("_key_chunk")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return running.join(offsets, same).select(
-        *df.columns, *[(F.col(f"_running_{n}") + F.col(f"_offset_{n}")).alias(n) for n in sums]
+    earlier = (
+        Window.partitionBy(*keys, chunk).orderBy("_place", *order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return (
+        rows.unionByName(heads, allowMissingColumns=True)
+        .select(*df.columns, "_place", *[F.sum(f"_add_{n}").over(earlier).alias(n) for n in sums])
+        .filter(F.col("_place") == 1)
+        .drop("_place")
     )
 
 
@@ -69,18 +61,17 @@ def lag_in_group(
 ) -> DataFrame:
     """Adds `value` of the row before, within the group; NULL in its first row."""
     last = F.max_by(value, F.struct(*order)) if list(order) != [value] else F.max(value)
-    chunk_ends = df.groupBy(*keys, chunk).agg(last.alias("_last"))
     by_chunk = Window.partitionBy(*keys).orderBy(chunk)
-    carried = chunk_ends.select(
-        *keys, F.col(chunk).alias("_key_chunk"), F.lag("_last").over(by_chunk).alias("_carried")
-    ).withColumnsRenamed({k: f"_key_{k}" for k in keys})
-    in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order)
-    rows = df.withColumns(
-        {"_before": F.lag(value).over(in_chunk), "_first": F.row_number().over(in_chunk) == 1}
+    heads = (
+        df.groupBy(*keys, chunk)
+        .agg(last.alias("_last"))
+        .select(*keys, chunk, F.lit(0).alias("_place"), F.lag("_last").over(by_chunk).alias("_value"))
+    )
+    rows = df.select("*", F.lit(1).alias("_place"), F.col(value).alias("_value"))
+    in_chunk = Window.partitionBy(*keys, chunk).orderBy("_place", *order)
+    return (
+        rows.unionByName(heads, allowMissingColumns=True)
+        .select(*df.columns, "_place", F.lag("_value").over(in_chunk).alias(name))
+        .filter(F.col("_place") == 1)
+        .drop("_place")
     )
-    same = F.col(chunk) == F.col("_key_chunk")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    # only the first row of a chunk looks to the chunk before
-    before = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
-    return rows.join(carried, same).select(*df.columns, before.alias(name))

@@ -8,6 +8,8 @@ chunk is sorted. Several columns share one pass.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,11 +46,14 @@ def _values_near(
             )
         ).alias("_m"),
     ).select(*keys, "_m.measure", "_m.value")
+    known = [F.col(c).isNotNull() for c in (*keys, "value")]
     counts = (
-        long.filter(F.col("value").isNotNull())
+        long.filter(reduce(and_, known))
         .groupBy(*keys, "measure", "value")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_chunk", number_chunk("value"))
+        # said here as well as by the join below: both uses of the counts then share one shuffle
+        .filter(F.col("_chunk").isNotNull())
     )
     group = [*keys, "measure"]
 
@@ -68,9 +73,10 @@ def _values_near(
         *[F.col(c).alias(f"_key_{c}") for c in group], F.col("_chunk").alias("_key_chunk"), "_before", "n"
     )
 
+    # plain equality, so the shuffle of the join also serves the window after it
     same = F.col("_chunk") == F.col("_key_chunk")
     for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+        same = same & (F.col(c) == F.col(f"_key_{c}"))
     in_chunk = (
         Window.partitionBy(*group, "_chunk")
         .orderBy("value")
@@ -90,7 +96,7 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per group and column: (keys, measure, n, q0, q1, ...), interpolated linearly.
 
-    Missing values are left out; a group without values gives no row.
+    Missing values and rows with a missing key are left out; a group without values gives no row.
     """
     n, found, out = F.col("n"), [], []
     for i, q in enumerate(quantiles):
