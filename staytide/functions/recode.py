@@ -44,6 +44,7 @@ VENTILATION_COLUMNS = {
 }
 # class of an episode by its highest therapy type
 THERAPY_CLASSES = [(1, "oxygen_therapy"), (2, "unknown"), (3, "non_invasive"), (4, "invasive")]
+LEGACY_CLASSES = [(1, "oxygen_therapy"), (2, "unknown"), (3, "mv_non_vasive"), (4, "mv_invasive")]
 
 
 def recode(c: Column | str, mapping: Mapping, keep_others: bool = False) -> Column:

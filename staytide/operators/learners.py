@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -180,6 +180,30 @@ def external_predictions(
     return prediction_table(models, df.withColumn("fold", F.lit(-1)), key, label).drop("subset", "y_pred")
 
 
+def sweep_predictions(
+    cohorts: DataFrame, models: Mapping[tuple[int, int, int], Sequence[PipelineModel]], keys: Sequence[str], label: str
+) -> DataFrame:
+    """Cohorts of many windows, each scored by its own models: (keys, pw, mop, ow, fold, pred_prob, gt).
+
+    `cohorts` has columns pw, mop and ow; written in folders by these, each part reads its own files.
+    """
+    parts = []
+    for (pw, mop, ow), fold_models in models.items():
+        cell = cohorts.filter((F.col("pw") == pw) & (F.col("mop") == mop) & (F.col("ow") == ow))
+        by_fold = F.array(
+            *[
+                F.struct(F.lit(i).alias("fold"), F.col(f"_p{i}").alias("pred_prob"))
+                for i in range(len(fold_models))
+            ]
+        )
+        parts.append(
+            scorer(fold_models, "_p")(cell).select(
+                *keys, "pw", "mop", "ow", F.inline(by_fold), F.col(label).alias("gt")
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def grid_search(
     df: DataFrame,
     features: Sequence[str],

@@ -144,13 +144,20 @@ def with_states(
     return select.fill_zero(out.drop("category"), ORGAN_SCORES)
 
 
-def episode_categories(ventilation_episodes: DataFrame, key: str) -> DataFrame:
-    """Episodes as intervals with a ventilation category, for `with_states`."""
+def episode_categories(
+    ventilation_episodes: DataFrame, key: str, legacy_labels: bool = False
+) -> DataFrame:
+    """Episodes as intervals with a ventilation category, for `with_states`.
+
+    With `legacy_labels` invasive and other ventilation get labels that no one-hot column knows,
+    as in data made before the labels were put right.
+    """
+    classes = recode.LEGACY_CLASSES if legacy_labels else recode.THERAPY_CLASSES
     return ventilation_episodes.select(
         key,
         F.col("vent_start").alias("start"),
         F.col("vent_end").alias("end"),
-        recode.threshold_class("oxygen_therapy_type", recode.THERAPY_CLASSES).alias("category"),
+        recode.threshold_class("oxygen_therapy_type", classes).alias("category"),
     )
 
 

@@ -286,6 +286,15 @@ _SWEEP_LABELS = ", ".join(
 )
 
 
+def _sweep(spark, sf, moments, windows, outcomes):
+    m1, m2 = _offsets(spark, sf)
+    spans = clock.horizon_labels("off_us", "death_us", outcomes, unit_per_hour=_SWEEP_UNIT)
+    labels = dict(zip(outcomes, spans))
+    return cohort.sweep(
+        m1.withColumns(spans), m2, ["stay_id"], "off_us", "value", labels, moments, windows, _SWEEP_UNIT
+    )
+
+
 @query(
     "sweep_cohorts",
     f"""
@@ -300,13 +309,7 @@ _SWEEP_LABELS = ", ".join(
            ROUND(m1, 6) AS m1_valuenum, ROUND(m2, 6) AS m2_valuenum, label FROM o""",
 )
 def sweep_cohorts(spark, sf):
-    m1, m2 = _offsets(spark, sf)
-    spans = clock.horizon_labels("off_us", "death_us", SWEEP_OUTCOMES, unit_per_hour=_SWEEP_UNIT)
-    m1 = m1.withColumns(spans)
-    labels = dict(zip(SWEEP_OUTCOMES, spans))
-    out = cohort.sweep(
-        m1, m2, ["stay_id"], "off_us", "value", labels, SWEEP_MOMENTS, SWEEP_WINDOWS, _SWEEP_UNIT
-    )
+    out = _sweep(spark, sf, SWEEP_MOMENTS, SWEEP_WINDOWS, SWEEP_OUTCOMES)
     return out.select(
         "stay_id",
         *[big(c).alias(c) for c in ("pw", "mop", "ow")],
@@ -316,6 +319,28 @@ def sweep_cohorts(spark, sf):
     )
 
 
+@query("sweep_predictions")
+def sweep_predictions(spark, sf):
+    """Models per window and fold, the first fold's prediction of each stay, and its AUC per window."""
+    rows = _sweep(spark, sf, [24, 36], [12], [48])
+    rows = materialize(folds.stratified_folds(rows, "stay_id", "label", k=2), "sweep", "pw", "mop", "ow")
+    models = {
+        (pw, mop, ow): learners.train_folds(
+            rows.filter((F.col("pw") == pw) & (F.col("mop") == mop) & (F.col("ow") == ow)),
+            ["m1_valuenum", "m2_valuenum"],
+            "label",
+            k=2,
+            learner="logistic",
+            maxIter=10,
+        )
+        for pw, mop, ow in [(12, 24, 48), (12, 36, 48)]
+    }
+    scored = learners.sweep_predictions(rows, models, ["stay_id"], "label")
+    cell = ["pw", "mop", "ow"]
+    first = folds.first_per_key(scored, ["stay_id", *cell], ["fold"])
+    return metrics.roc_auc(first, cell, "pred_prob", "gt")
+
+
 # --- target search -----------------------------------------------------------------------
 
 

@@ -27,3 +27,12 @@ def pooled_cohort(frames: Mapping[str, DataFrame], label: str) -> DataFrame:
     """Union of sources: unknown ages filled, implausible heights left out, label named `death`."""
     both = tagged_union(frames).withColumn("age", F.coalesce("age", F.lit(UNKNOWN_AGE).cast("double")))
     return both.filter((F.col("height") > LEAST_HEIGHT) & in_range("height")).withColumnRenamed(label, "death")
+
+
+def pooled_by_moment(frames: Mapping[int, Mapping[str, DataFrame]], label: str) -> DataFrame:
+    """Pooled cohorts of several moments of prediction, with the moment as column `mop`."""
+    out = None
+    for mop, sources in frames.items():
+        part = pooled_cohort(sources, label).withColumn("mop", F.lit(mop))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -21,6 +21,7 @@ from staytide.operators import (
     survival,
     targets,
 )
+from staytide.plans import jobs
 from tests.conftest import rows
 
 
@@ -272,3 +273,13 @@ def test_prefix_with_null_keys(spark):
     assert rows(out) == [(None, 1, 0), (None, 2, 1), (1, 1, 0)]
     lag = prefix.lag_in_group(df, ["k"], "c", ["t"], "t", "b").select("k", "t", "b")
     assert rows(lag) == [(None, 1, None), (None, 2, 1), (1, 1, None)]
+
+
+def test_labels_of_episodes(spark):
+    found = spark.createDataFrame([(1, 0, 9, t) for t in (-1, 2, 3, 4)], "k INT, vent_start INT, vent_end INT, oxygen_therapy_type INT")
+    names = [r.category for r in jobs.episode_categories(found, "k").collect()]
+    assert names == ["oxygen_therapy", "unknown", "non_invasive", "invasive"]
+    old = jobs.episode_categories(found, "k", legacy_labels=True)
+    hot = old.withColumns(recode.one_hot("category", recode.VENTILATION_COLUMNS)).collect()
+    assert [r.mv_invasive + r.mv_non_vasive for r in hot] == [0, 0, 0, 0]
+    assert [r.mv_unknown for r in hot] == [0, 1, 0, 0]

@@ -93,6 +93,12 @@ def test_pooled_cohort(spark):
     assert rows(out) == [(1, 64.0, 170.0, 1, "A"), (4, 41.0, 51.0, 1, "B")]
 
 
+def test_pooled_moments(spark):
+    a = spark.createDataFrame([(1, None, 170.0, 1)], "stay_id INT, age DOUBLE, height DOUBLE, d INT")
+    out = pooled.pooled_by_moment({12: {"A": a, "B": a}, 18: {"A": a}}, "d").select("mop", "data_source", "death")
+    assert rows(out) == [(12, "A", 1), (12, "B", 1), (18, "A", 1)]
+
+
 def test_shared_folder(spark):
     one, two = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert one != two
