@@ -7,6 +7,9 @@ import os
 import sys
 import time
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from staytide.plans.catalog import QUERIES
 from staytide.session import local_session
 
@@ -45,12 +48,20 @@ def run(spark, name: str, sf_dir: str) -> float:
     return time.perf_counter() - begun
 
 
+def warm_up(spark, sf_dir: str) -> None:
+    """Loads the JVM's readers, joins and windows on the two smallest tables; not timed."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").withColumnRenamed("r_regionkey", "n_regionkey")
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    joined = nation.join(region, "n_regionkey").withColumn("place", place)
+    joined.groupBy("r_name").agg(F.max("place")).write.format("noop").mode("overwrite").save()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), app="bench")
-    # starts the JVM's readers; not timed
-    spark.read.parquet(f"{sf_dir}/region.parquet").count()
+    warm_up(spark, sf_dir)
     seconds = {name: round(run(spark, name, sf_dir), 3) for name in names}
     print(
         json.dumps(

@@ -19,7 +19,7 @@ def interval_join(
     end: str,
     how: str = "left",
     closed: bool = False,
-    least_width: int = 1,
+    pieces: int = 4,
 ) -> DataFrame:
     """Events with each interval of their key that holds them: start <= time < end.
 
@@ -28,14 +28,15 @@ def interval_join(
     are whole numbers in any unit.
 
     The join key is (key, bucket of time), so a key with very many events and intervals is
-    spread out. A bucket is as wide as the mean interval: the intervals then touch three
-    buckets on average at most, and each event lies in exactly one.
+    spread out. A bucket is the mean interval cut into `pieces`: the intervals then touch
+    pieces + 2 buckets on average at most, however their lengths differ, and each event lies
+    in exactly one.
     """
     open_end = 0 if closed else 1
     last = F.col(end) - open_end
     valid = intervals.filter(F.col(start) <= last).withColumnsRenamed({k: f"_key_{k}" for k in keys})
-    mean_width = valid.agg(F.ceil(F.avg(F.col(end) - F.col(start)))).scalar()
-    width = F.greatest(F.lit(least_width).cast("bigint"), mean_width)
+    piece = valid.agg(F.ceil(F.avg(F.col(end) - F.col(start)) / pieces)).scalar()
+    width = F.greatest(F.lit(1).cast("bigint"), piece)
     spread = valid.withColumn(
         "_key_bucket", F.explode(F.sequence(time_chunk(start, width), time_chunk(last, width)))
     )

@@ -60,7 +60,8 @@ def lag_in_group(
     df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str, name: str
 ) -> DataFrame:
     """Adds `value` of the row before, within the group; NULL in its first row."""
-    last = F.max_by(value, F.struct(*order)) if list(order) != [value] else F.max(value)
+    # where the order begins with the value itself, the last value is just the highest
+    last = F.max(value) if order[0] == value else F.max_by(value, F.struct(*order))
     by_chunk = Window.partitionBy(*keys).orderBy(chunk)
     heads = (
         df.groupBy(*keys, chunk)

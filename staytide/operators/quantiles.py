@@ -33,15 +33,16 @@ def _values_near(
 ) -> DataFrame:
     """The values around each wanted rank: (keys, measure, value, n, _upto).
 
-    `_upto` counts the group's values up to this one, `n` all of them.
+    `measure` is the place of the column in `columns`; `_upto` counts the group's values up to
+    this one, `n` all of them.
     """
     long = df.select(
         *keys,
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(c).alias("measure"), null_if_nan(F.col(c).cast("double")).alias("value"))
-                    for c in columns
+                    F.struct(F.lit(i).alias("measure"), null_if_nan(F.col(c).cast("double")).alias("value"))
+                    for i, c in enumerate(columns)
                 ]
             )
         ).alias("_m"),
@@ -109,7 +110,8 @@ def group_quantiles(
         out.append((F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * share).alias(f"q{i}"))
     near = _values_near(df, keys, columns, quantiles)
     picked = near.groupBy(*keys, "measure").agg(F.max("n").alias("n"), *found)
-    return picked.select(*keys, "measure", "n", *out)
+    name = F.array(*[F.lit(c) for c in columns])[F.col("measure")]
+    return picked.select(*keys, name.alias("measure"), "n", *out)
 
 
 def group_medians(df: DataFrame, keys: Sequence[str], columns: dict[str, str] | Sequence[str]) -> DataFrame:
@@ -121,8 +123,8 @@ def group_medians(df: DataFrame, keys: Sequence[str], columns: dict[str, str] |
     low, high = _bracket(F.col("n"), 0.5)
     odd = F.col("n") % 2 == 1
     middle = []
-    for c, out in names.items():
-        own = F.col("measure") == c
+    for i, out in enumerate(names.values()):
+        own = F.col("measure") == i
         upper = _at_rank(F.when(odd, low).otherwise(high), own)
         middle.append(((_at_rank(low, own) + upper) / 2).alias(out))
     return _values_near(df, keys, list(names), [0.5]).groupBy(*keys).agg(*middle)

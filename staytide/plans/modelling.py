@@ -448,6 +448,7 @@ def counterfactual_risk(spark, sf):
 
 def _report(spark, sf):
     cases = case_medians(spark, sf).withColumn("died", (F.col("stay_id") % 3 == 0).cast("bigint"))
+    cases = materialize(cases, "cases")
     return targets.target_report(cases, "stay_id", "died", surface, PREDS)
 
 

@@ -19,6 +19,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sta
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # plans are built faster without a call site per column
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
