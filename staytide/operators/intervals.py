@@ -36,11 +36,13 @@ def interval_join(
     last = F.col(end) - open_end
     valid = intervals.filter(F.col(start) <= last).withColumnsRenamed({k: f"_key_{k}" for k in keys})
     piece = valid.agg(F.ceil(F.avg(F.col(end) - F.col(start)) / pieces)).scalar()
+    # a step of its own on each side, so that the subquery stands in the plan just twice
     width = F.greatest(F.lit(1).cast("bigint"), piece)
-    spread = valid.withColumn(
-        "_key_bucket", F.explode(F.sequence(time_chunk(start, width), time_chunk(last, width)))
-    )
-    placed = events.withColumn("_bucket", time_chunk(time, width))
+    sized = valid.withColumn("_width", width)
+    first, final = (time_chunk(t, F.col("_width")) for t in (F.col(start), last))
+    spread = sized.withColumn("_key_bucket", F.explode(F.sequence(first, final))).drop("_width")
+    placed = events.withColumn("_width", width)
+    placed = placed.withColumn("_bucket", time_chunk(time, F.col("_width"))).drop("_width")
     same = F.col("_bucket") == F.col("_key_bucket")
     for k in keys:
         same = same & (F.col(k) == F.col(f"_key_{k}"))

@@ -107,9 +107,10 @@ def multi_row_keys(df: DataFrame, key: str) -> DataFrame:
     return value_counts(df, key).filter(F.col("n") > 1)
 
 
-def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing values become the median over all rows of the column."""
-    medians = group_medians(df, [], {c: f"_median_{c}" for c in columns})
+def fill_median(df: DataFrame, columns: Sequence[str], over: DataFrame | None = None) -> DataFrame:
+    """Missing values become the median over all rows of the column, in `df` or in `over`."""
+    source = df if over is None else over
+    medians = group_medians(source, [], {c: f"_median_{c}" for c in columns})
     # one row, so this side has a fixed size
     filled = df.crossJoin(F.broadcast(medians))
     return filled.withColumns({c: F.coalesce(c, f"_median_{c}") for c in columns}).drop(

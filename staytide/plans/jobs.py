@@ -90,11 +90,14 @@ def therapy_episodes(ticks: DataFrame, stays: DataFrame, key: str, discharge: st
     )
 
 
-def with_body(df: DataFrame, groups: Sequence[str] = BODY) -> DataFrame:
-    """Adds body-mass index and availability flags, then fills what is missing with medians."""
-    df = df.withColumn("bmi", V.body_mass_index("height", "weight"))
-    df = df.withColumns({f"{c}_avail": V.available(c) for c in groups})
-    return profile.fill_median(df, groups)
+def with_body(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """Adds body-mass index and availability flags, then fills what is missing with medians.
+
+    The medians are those of `df`, or of `over`, which has height and weight too.
+    """
+    bmi = V.body_mass_index("height", "weight")
+    df = df.withColumn("bmi", bmi).withColumns({f"{c}_avail": V.available(c) for c in BODY})
+    return profile.fill_median(df, BODY, None if over is None else over.withColumn("bmi", bmi))
 
 
 def clean_stays(
@@ -199,14 +202,26 @@ def enrich_timestamp_events(
     `time` and all starts and ends are microseconds. `stays` has `admitted`, height and further
     attributes, `admissions` has `died` and further ones. For a cohort leave the further ones out:
     they are the same on all events of a stay, and join its one row in the end.
+
+    Only what the interval joins and the window need goes with the events through them; a filter
+    on `off_us` moves in front of them. Medians are those of all events with a weight, before
+    overlapping states repeat an event.
     """
-    out = joins.with_dimension(events, stays, [key])
-    out = intervals.interval_join(
-        out, weights, [key], time, "start", "end", how="inner", closed=True
+    early = [key, "admitted", "height"]
+    placed = joins.with_dimension(events, stays.select(early), [key]).withColumn(
+        "off_us", F.col(time) - F.col("admitted")
+    )
+    weighed = intervals.interval_join(
+        placed, weights, [key], time, "start", "end", how="inner", closed=True
     ).drop("start", "end")
-    out = select.fill_zero(with_body(out), [c for c in COMORBIDITY if c in out.columns])
-    out = with_states(out, ventilation, scores, key, time, "mv_unknown")
-    out = out.withColumn("off_us", F.col(time) - F.col("admitted"))
+    out = with_body(
+        with_states(weighed, ventilation, scores, key, time, "mv_unknown"),
+        over=weighed.select("height", "weight"),
+    )
+    late = [c for c in stays.columns if c not in early]
+    if late:
+        out = joins.with_dimension(out, stays.select(key, *late), [key])
+        out = select.fill_zero(out, [c for c in COMORBIDITY if c in late])
     out = joins.with_dimension(out, admissions, [key], "inner")
     return out.withColumns(clock.horizon_labels(time, "died", HORIZON_HOURS))
 
