@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staytide.functions.radix import number_chunk, text_chunk
-from staytide.operators.prefix import row_ranks
+from staytide.operators.prefix import row_ranks, sums_before
 from staytide.session import materialize
 
 BLOCK_ROWS = 2048
@@ -59,6 +59,21 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame, key: str, vec: str, k: int
     return pd.DataFrame({key: keys, "neighbor": neighbors, "distance2": distances})
 
 
+def _count_upto(points: DataFrame, queries: DataFrame, including: bool) -> DataFrame:
+    """(block, n): how many points lie below the value of each query row, or at most at it."""
+    value = points.columns[0]
+    block, asked = queries.columns
+    points = points.select(
+        F.col(value).alias("_v"), F.lit(0 if including else 1).alias("_side"), F.lit(1).cast("bigint").alias("_one")
+    )
+    queries = queries.select(
+        F.col(asked).alias("_v"), F.lit(1 if including else 0).alias("_side"), F.lit(0).cast("bigint").alias("_one"), block
+    )
+    line = points.unionByName(queries, allowMissingColumns=True).withColumn("_chunk", number_chunk("_v"))
+    counted = sums_before(line, [], "_chunk", ["_v", "_side"], {"n": "_one"})
+    return counted.filter(F.col(block).isNotNull()).select(block, "n")
+
+
 def _ranked(found: DataFrame, key: str, k: int) -> DataFrame:
     order = Window.partitionBy(key).orderBy("distance2", "neighbor")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -101,14 +116,14 @@ def nearest_neighbors(
         )
     )
     spans = materialize(spans, "block-spans")
-    other = spans.select(F.col("block").alias("other"), F.col("low").alias("o_low"), F.col("high").alias("o_high"))
-    last = spans.agg(F.max("block")).scalar()
+    # blocks follow each other in distance, so the near ones are a run of block numbers
+    first = _count_upto(spans.select("high"), spans.select("block", "from_low"), including=False)
+    end = _count_upto(spans.select("low"), spans.select("block", "to_high"), including=True)
     pairs = (
-        spans.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        first.withColumnRenamed("n", "_first")
+        .join(end.withColumnRenamed("n", "_end"), "block")
+        .select("block", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("other"))
         .filter(F.col("other") != F.col("block"))
-        .join(other, "other")
-        .filter((F.col("o_high") >= F.col("from_low")) & (F.col("o_low") <= F.col("to_high")))
-        .select("block", "other")
     )
     left = blocks.join(pairs, "block").select("block", "other", key, vec)
     right = (
