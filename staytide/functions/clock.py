@@ -28,6 +28,11 @@ def micros(ts: Column | str) -> Column:
     )
 
 
+def instant(ts: Column | str) -> Column:
+    """A timestamp without zone as the instant of that time in UTC; a watermark needs an instant."""
+    return F.timestamp_micros(micros(ts))
+
+
 def elapsed_us(start: Column | str, end: Column | str) -> Column:
     return micros(end) - micros(start)
 

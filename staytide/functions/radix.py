@@ -35,6 +35,6 @@ def time_chunk(micros: Column | str, width_us: Column | int) -> Column:
     return ((micros - F.pmod(micros, width)) / width).cast("bigint")
 
 
-def text_chunk(hex_text: Column | str, digits: int = 3) -> Column:
+def text_chunk(hex_text: Column | str, digits: int = 4) -> Column:
     """Chunk of a hash in hexadecimal: its first digits."""
     return F.substring(as_col(hex_text), 1, digits)

@@ -569,10 +569,10 @@ def _alert_targets(spark, sf):
     )
 
 
-def _alert_columns(df):
+def _alert_columns(df, micros=clock.micros):
     return df.select(
         "stay_id",
-        clock.micros(F.col("window_start").cast("timestamp_ntz")).alias("window_us"),
+        micros("window_start").alias("window_us"),
         r6("mean_value").alias("mean_value"),
         "n_events",
         r6("deviation").alias("deviation"),
@@ -599,9 +599,9 @@ def deviation_alerts_stream(spark, sf):
     schema = tables.table(spark, sf, "events").schema
     stream = A.event_stream(spark, sf, schema, files="events*.parquet")
     events = stream.filter((F.col("event_type") == "view") & (F.col("value") <= 300)).select(
-        F.col("user_id").alias("stay_id"), F.col("ts").cast("timestamp").alias("ts"), "value"
+        F.col("user_id").alias("stay_id"), clock.instant("ts").alias("ts"), "value"
     )
     out = A.alerts(
         events, _alert_targets(spark, sf), "stay_id", "ts", "value", "target", "1 day", 40, delay="1 hour"
     )
-    return _alert_columns(A.drain(out, "alerts"))
+    return _alert_columns(A.drain(out, "alerts"), F.unix_micros)

@@ -132,10 +132,10 @@ _SELF = """
     GROUP BY ALL""",
 )
 def null_safe_join(spark, sf):
-    v = F.col("value")
+    v, us = F.col("value"), clock.micros("ts")
     rows = tables.table(spark, sf, "events").select(
         F.col("user_id").alias("stay_id"),
-        clock.micros(F.date_trunc("day", "ts").cast("timestamp_ntz")).alias("day_us"),
+        (us - F.pmod(us, F.lit(clock.DAY_US))).alias("day_us"),
         F.col("event_type").alias("string"),
         F.when(v > 100, True).when(v > 20, False).alias("active"),
         v,
