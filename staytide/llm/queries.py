@@ -35,3 +35,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    from staytide.llm import pii
+
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.spans_text("p_base"), 256).alias("base_sha256"),
+        pii.spans_text("p_spans").alias("spans"),
+    )
