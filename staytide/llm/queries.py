@@ -49,3 +49,38 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.spans_text("p_base"), 256).alias("base_sha256"),
         pii.spans_text("p_spans").alias("spans"),
     )
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    from staytide.llm import mixing
+
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    return mixing.taken_per_document(sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# A source's stream is taken from its start up to the target, over again once used up.
+ORACLES["op7_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+per_source AS (
+  SELECT source, sum(size) AS total, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rk FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][rk % 3 + 1] AS w, total::DOUBLE * 2 AS lim FROM per_source),
+leveled AS (
+  SELECT *, lim / w AS ratio,
+    (sum(total::DOUBLE) OVER () * 1.5::DOUBLE - coalesce(sum(lim) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM weighed WINDOW b AS (ORDER BY lim / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aimed AS (
+  SELECT source, total, rk,
+    least((SELECT level FROM leveled WHERE level <= ratio ORDER BY ratio, rk LIMIT 1) * w, lim) AS target FROM leveled),
+placed AS (
+  SELECT s.doc_id, s.size, a.total, a.target, least(floor(a.target + 0.5), a.total * 2) AS quota,
+    coalesce(sum(s.size) OVER (PARTITION BY a.rk ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.doc_id, s.size
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, target,
+  CAST(greatest(least(start + size, quota) - start, 0) + greatest(least(start + size, quota - total) - start, 0) AS BIGINT) AS taken
+FROM placed
+"""
