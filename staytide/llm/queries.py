@@ -84,3 +84,11 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_siz
   CAST(greatest(least(start + size, quota) - start, 0) + greatest(least(start + size, quota - total) - start, 0) AS BIGINT) AS taken
 FROM placed
 """
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and group of every document."""
+    from staytide.llm import order_minhash
+
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
