@@ -92,3 +92,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staytide.llm import order_minhash
 
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document."""
+    from staytide.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"))
