@@ -100,3 +100,20 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staytide.llm import packing
 
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated bytes dropped from every document."""
+    from staytide.llm import suffix_dedup
+
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and Pitman-Yor scores of all documents, learned from six sevenths of them."""
+    from staytide.llm import pitman_yor
+
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"), train)

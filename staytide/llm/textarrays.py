@@ -114,3 +114,18 @@ class Words:
         begin = self.first[:-1][owner] + np.arange(at[-1]) - at[:-1][owner]
         end = np.minimum(begin + k, self.first[1:][owner])
         return mix64((total[end] - total[begin]) * down[begin]), at
+
+
+def pack_planes(values: np.ndarray) -> bytes:
+    """Bytes of the numbers, plane by plane, compressed: high bytes of ids and places are mostly the same."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_planes(blob: bytes, n: int, kind) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel()
