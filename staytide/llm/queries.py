@@ -117,3 +117,11 @@ def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
     return pitman_yor.score_documents(table(spark, sf_dir, "documents"), train)
+
+
+@query
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    from staytide.llm import itq
+
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"))
