@@ -191,7 +191,8 @@ def _verify(similarity: float):
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of the pairs whose texts align well enough. `docs` has one row per id."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
+    # no size bounds the wanted ids, so they are not broadcast, however few
+    texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
     left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double")
