@@ -125,3 +125,11 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staytide.llm import itq
 
     return itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from staytide.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
