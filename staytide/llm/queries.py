@@ -133,3 +133,18 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from staytide.llm import html_text
 
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from four fifths of the labels."""
+    from staytide.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    model = toxicity.character_model(docs)
+    classifier = toxicity.learn(docs, labels, fold != 0, model)
+    return toxicity.score(docs, model, classifier).select(
+        "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
