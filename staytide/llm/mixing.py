@@ -33,7 +33,6 @@ BLOCK_WORDS = 2048
 GOLDEN = 0.6180339887498949
 CELLS = 4096
 SLOTS_PER_CHUNK = 65_536
-NEVER_AT_ONCE = Window.partitionBy()
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST_REPEATS) -> DataFrame:
@@ -43,7 +42,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = T
     sources in order of limit per weight, those before the first one whose level fits are at their limit.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("m_total"))
-    everything = NEVER_AT_ONCE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("m_rank"), F.lit(len(weights))))
     listed = (
