@@ -19,12 +19,17 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int
     return ranked.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_hash", "_chunk", "_rank")
 
 
+def _spread(df: DataFrame, key: str) -> Column:
+    """Chunk of a numeric key by its distance from the smallest one, so that large, close keys spread too."""
+    return number_chunk(F.col(key) - df.agg(F.min(key)).scalar())
+
+
 def contiguous_folds(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     """Adds fold 0..k-1; rows in the order of a unique numeric key, cut into k runs of equal length.
 
     The first folds take one row more each if the rows do not divide evenly.
     """
-    placed = df.withColumn("_chunk", number_chunk(key))
+    placed = df.withColumn("_chunk", _spread(df, key))
     ranked = row_ranks(placed, [], "_chunk", [key], "_rank")
     n = df.agg(F.count(F.lit(1))).scalar()
     size, extra = F.floor(n / k), n % k
@@ -37,7 +42,7 @@ def contiguous_folds(df: DataFrame, key: str, k: int = 5) -> DataFrame:
 
 def row_range(df: DataFrame, key: str, start: int, end: int) -> DataFrame:
     """Rows start..end-1 in the order of a unique numeric key."""
-    placed = df.withColumn("_chunk", number_chunk(key))
+    placed = df.withColumn("_chunk", _spread(df, key))
     ranked = row_ranks(placed, [], "_chunk", [key], "_rank")
     return ranked.filter((F.col("_rank") >= start) & (F.col("_rank") < end)).drop("_chunk", "_rank")
 

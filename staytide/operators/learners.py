@@ -14,11 +14,12 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from staytide.operators.folds import subset
 
@@ -67,23 +68,65 @@ def calibrated_svc(label: str, **settings) -> list:
     return [svc, margin, LogisticRegression(labelCol=label, featuresCol="_margin")]
 
 
-def build(learner: str, features: Sequence[str], label: str, **settings) -> Pipeline:
-    """A pipeline of assembler and learner: "boosted", "forest", "svc" or "logistic"."""
+def missing_fills(df: DataFrame, features: Sequence[str], constant: float | None = None) -> dict[str, float]:
+    """A value for the gaps of each number column: its median (0 where nothing is known), or a constant.
+
+    Features of other types, such as vectors, have no gaps and no entry.
+    """
+    numbers = [f for f in features if isinstance(df.schema[f].dataType, NumericType)]
+    if constant is not None or not numbers:
+        return {f: float(constant or 0.0) for f in numbers}
+    known = [F.percentile_approx(F.nanvl(F.col(f).cast("double"), F.lit(None)), 0.5, 10_000).alias(f) for f in numbers]
+    row = df.agg(*known).first()
+    return {f: float(row[f]) if row[f] is not None else 0.0 for f in numbers}
+
+
+def filled(fills: Mapping[str, float]) -> SQLTransformer:
+    """A stage that fills the gaps (NULL or NaN) of columns, as _fill_<name>, and flags them, as _gap_<name>.
+
+    Part of the pipeline, it is saved with the model.
+    """
+    parts = ["*"]
+    for name, value in fills.items():
+        known = f"nanvl(cast(`{name}` AS DOUBLE), cast(NULL AS DOUBLE))"
+        parts += [
+            f"coalesce({known}, double('{value!r}')) AS `_fill_{name}`",
+            f"cast({known} IS NULL AS DOUBLE) AS `_gap_{name}`",
+        ]
+    return SQLTransformer(statement=f"SELECT {', '.join(parts)} FROM __THIS__")
+
+
+def build(
+    learner: str, features: Sequence[str], label: str, fills: Mapping[str, float] | None = None, **settings
+) -> Pipeline:
+    """A pipeline of filling, assembler and learner: "boosted", "forest", "svc" or "logistic".
+
+    `fills` are the values for gaps, learned from the training rows; without them no gap may occur.
+    """
+    fills = fills or {}
+    inputs = [c for f in features for c in ([f"_fill_{f}", f"_gap_{f}"] if f in fills else [f])]
     # a feature may already be a vector column; the assembler takes both
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
+    first = [filled(fills), assemble] if fills else [assemble]
     if learner == "boosted":
-        return Pipeline(stages=[assemble, boosted_trees(label, **settings)])
+        return Pipeline(stages=[*first, boosted_trees(label, **settings)])
     if learner == "forest":
-        return Pipeline(stages=[assemble, random_forest(label, **settings)])
+        return Pipeline(stages=[*first, random_forest(label, **settings)])
     assemble.setOutputCol("_raw")
     scale = StandardScaler(inputCol="_raw", outputCol="features", withMean=True)
     if learner == "svc":
-        return Pipeline(stages=[assemble, scale, *calibrated_svc(label, **settings)])
+        return Pipeline(stages=[*first, scale, *calibrated_svc(label, **settings)])
     if learner == "logistic":
-        return Pipeline(stages=[assemble, scale, logistic(label, **settings)])
+        return Pipeline(stages=[*first, scale, logistic(label, **settings)])
     raise ValueError(f"unknown learner {learner!r}")
 
 
+def fit(learner: str, rows: DataFrame, features: Sequence[str], label: str, **settings) -> PipelineModel:
+    """A model whose fills are learned from the same rows. Rows without a label are left out."""
+    known = rows.filter(F.col(label).isNotNull())
+    return build(learner, features, label, missing_fills(known, features), **settings).fit(known)
+
+
 def with_class_weight(df: DataFrame, label: str, weight: float) -> DataFrame:
     return df.withColumn("_weight", F.when(F.col(label) == 1, float(weight)).otherwise(1.0))
 
@@ -131,7 +174,7 @@ def train_folds(
             rows = resample(rows)
         if learner == "boosted":
             rows = with_class_weight(rows, label, 1 if resample is not None else weight)
-        return build(learner, features, label, **settings).fit(rows)
+        return fit(learner, rows, features, label, **settings)
 
     with ThreadPoolExecutor(parallelism) as pool:
         return list(pool.map(train, range(k)))
@@ -214,26 +257,28 @@ def grid_search(
     parallelism: int = 4,
     **settings,
 ) -> DataFrame:
-    """Cross-validated AUC of each setting: (learning_rate, rounds, auc, best). Folds come from `fold`."""
+    """Cross-validated AUC of each setting: (learning_rate, rounds, auc, best). Folds come from `fold`.
+
+    Gaps are filled by what the training rows of each fold say.
+    """
     spark = df.sparkSession
-    pipeline = build("boosted", features, label, weighted=False, **{"learning_rate": 0.1, **settings})
-    gbt = pipeline.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(gbt.stepSize, learning_rates).addGrid(gbt.maxIter, rounds).build()
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    search = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=grid,
-        evaluator=evaluator,
-        numFolds=k,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(df)
-    scores = list(search.avgMetrics)
+
+    def of_fold(fold: int):
+        train, test = df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
+        fills = missing_fills(train, features)
+        pipeline = build("boosted", features, label, fills, weighted=False, **{"learning_rate": 0.1, **settings})
+        gbt = pipeline.getStages()[-1]
+        grid = ParamGridBuilder().addGrid(gbt.stepSize, learning_rates).addGrid(gbt.maxIter, rounds).build()
+        aucs = [evaluator.evaluate(pipeline.copy(setting).fit(train).transform(test)) for setting in grid]
+        return [(float(g[gbt.stepSize]), int(g[gbt.maxIter])) for g in grid], aucs
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        results = list(pool.map(of_fold, range(k)))
+    grid = results[0][0]
+    scores = [sum(aucs[i] for _, aucs in results) / k for i in range(len(grid))]
     best = scores.index(max(scores))
-    rows = [
-        (float(g[gbt.stepSize]), int(g[gbt.maxIter]), float(s), i == best)
-        for i, (g, s) in enumerate(zip(grid, scores))
-    ]
+    rows = [(rate, n, float(s), i == best) for i, ((rate, n), s) in enumerate(zip(grid, scores))]
     return spark.createDataFrame(rows, "learning_rate DOUBLE, rounds INT, auc DOUBLE, best BOOLEAN")
 
 

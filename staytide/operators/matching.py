@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staytide.functions.radix import number_chunk
-from staytide.operators.learners import build, predict
+from staytide.functions.values import null_if_nan
+from staytide.operators.learners import fit, predict
 
 # Targets of current practice.
 FIXED_M1 = 80
@@ -34,21 +35,23 @@ def with_adherence(df: DataFrame, tolerance: float) -> DataFrame:
 
 def propensity(df: DataFrame, covariates: Sequence[str], treated: str) -> DataFrame:
     """Adds `propensity`, the fitted probability of treatment."""
-    return predict(build("logistic", covariates, treated).fit(df), df, "propensity")
+    return predict(fit("logistic", df, covariates, treated), df, "propensity")
 
 
 def match_nearest(df: DataFrame, key: str, treated: str, score: str = "propensity") -> DataFrame:
     """Each treated row with the control of nearest score: (key, control, gap).
 
-    Controls may serve several rows; ties go to the lower score, then the lower key. Distinct
+    Controls may serve several rows; ties go to the lower score, then the lower key. A control without score
+    serves none, and a treated row without score, or without any control, has a NULL control. Distinct
     scores are sorted by chunk, and the nearest control below and above is carried along them,
     so neither all scores nor all pairs meet in one task.
     """
     rows = df.select(
-        F.col(key), F.col(treated).cast("int").alias("_treated"), F.col(score).cast("double").alias("_score")
+        F.col(key), F.col(treated).cast("int").alias("_treated"), null_if_nan(F.col(score).cast("double")).alias("_score")
     )
     scores = (
-        rows.groupBy("_score")
+        rows.filter(F.col("_score").isNotNull())
+        .groupBy("_score")
         .agg(F.min(F.when(F.col("_treated") == 0, F.col(key))).alias("_lowest"), F.max("_treated").alias("_asks"))
         .withColumn("_chunk", number_chunk("_score"))
         .withColumn("_here", F.when(F.col("_lowest").isNotNull(), F.struct("_score", "_lowest")))
@@ -85,7 +88,7 @@ def match_nearest(df: DataFrame, key: str, treated: str, score: str = "propensit
         F.when(take_below, F.col("_below._lowest")).otherwise(F.col("_above._lowest")).alias("control"),
         F.when(take_below, down).otherwise(up).alias("gap"),
     )
-    return rows.filter(F.col("_treated") == 1).join(chosen, "_score").select(key, "control", "gap")
+    return rows.filter(F.col("_treated") == 1).join(chosen, "_score", "left").select(key, "control", "gap")
 
 
 def matched_outcomes(df: DataFrame, pairs: DataFrame, key: str, outcome: str) -> DataFrame:

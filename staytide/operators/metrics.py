@@ -12,8 +12,11 @@ from staytide.operators.prefix import sums_before
 
 
 def _score_table(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
+    """Classes per distinct score. Rows without a score (NULL or NaN) are left out: see `missing_scores`."""
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     counts = (
-        df.groupBy(*by, F.col(score).cast("double").alias("score"))
+        df.filter(known)
+        .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
         .withColumn("_chunk", number_chunk("score"))
     )
@@ -36,6 +39,12 @@ def roc_auc(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFra
     )
 
 
+def missing_scores(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+    """(by, n_missing): rows without a score, which the metrics leave out."""
+    missing = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    return df.groupBy(*by).agg(F.count_if(missing).alias("n_missing"))
+
+
 def roc_curve(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """One row per distinct score, taken as threshold: (by, threshold, fpr, tpr)."""
     table = _score_table(df, by, score, label)
@@ -69,8 +78,21 @@ def balanced_accuracy(df: DataFrame, by: Sequence[str], score: str, label: str,
     )
 
 
-def fold_metrics(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
-    """AUC and balanced accuracy of every fold (or other group) at once."""
-    return roc_auc(df, by, score, label).join(
-        balanced_accuracy(df, by, score, label), list(by), "left"
+def fold_metrics(
+    df: DataFrame, by: Sequence[str], score: str, label: str, cut: float = 0.5
+) -> DataFrame:
+    """AUC and balanced accuracy of every fold (or other group, say (pw, mop, ow, fold)), in one pass."""
+    above = F.col("score") > cut
+    tpr = F.try_divide(F.sum(F.when(above, F.col("pos")).otherwise(0)), F.sum("pos"))
+    tnr = F.try_divide(F.sum(F.when(above, 0).otherwise(F.col("neg"))), F.sum("neg"))
+    won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
+    return (
+        _score_table(df, by, score, label)
+        .groupBy(*by)
+        .agg(
+            F.sum("pos").alias("n_pos"),
+            F.sum("neg").alias("n_neg"),
+            F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"),
+            ((tpr + tnr) / 2).alias("balanced_accuracy"),
+        )
     )

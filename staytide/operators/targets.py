@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staytide.functions.values import mean_interval
+from staytide.functions.values import mean_interval, null_if_nan
 
 # Grid of both measures, ends included, and points averaged to a target.
 M1_GRID = (40, 150)
 M2_GRID = (60, 200)
 TARGET_POINTS = 100
 
-CASES_PER_TASK = 1000
-
 # Predictions that agree to this many digits count as equal.
 TIE_DIGITS = 9
 
@@ -28,16 +25,15 @@ def with_grid(
     key: str,
     m1: tuple[int, int] = M1_GRID,
     m2: tuple[int, int] = M2_GRID,
-    cases_per_task: int = CASES_PER_TASK,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Every case with every grid point, as m1_valuenum and m2_valuenum.
 
     Cases are spread by key while they are few rows, and each one unfolds in place. Its points
-    then already lie together for the ranking, and the grid rows are never shuffled. The number
-    of cases is counted, as tasks must hold a bounded number of grid rows.
+    then already lie together for the ranking, and the grid rows are never shuffled. `tasks` is best
+    about a hundredth of the number of cases: Spark's aggregate of arrays hashes up to 128 of them.
     """
-    tasks = 8 * cases.sparkSession.sparkContext.defaultParallelism
-    tasks = max(tasks, math.ceil(cases.count() / cases_per_task))
+    tasks = tasks or 8 * cases.sparkSession.sparkContext.defaultParallelism
     # one more, so the number differs from the session's shuffle partitions: Spark would take
     # such a shuffle for its own, and merge its small-looking partitions into a few tasks
     points = cases.drop("m1_valuenum", "m2_valuenum").repartition(tasks + 1, key)
@@ -86,17 +82,18 @@ def grid_target_points(
 
     Prediction and point become one number that sorts like the three of them. A case then is an
     array of as many numbers as the grid has points, which is far cheaper to sort than rows.
+    Points without a prediction (NULL or NaN) are no candidates; a case without any has NULL targets.
     """
     wide = m2[1] - m2[0] + 1
     points = (m1[1] - m1[0] + 1) * wide
-    level = F.floor(F.col("average_pred") * 10.0**TIE_DIGITS + 0.5)
+    level = F.floor(null_if_nan("average_pred") * 10.0**TIE_DIGITS + 0.5)
     place = (F.col("m1_valuenum") - m1[0]) * wide + (F.col("m2_valuenum") - m2[0])
     codes = scored.select(key, (level * points + place).alias("_code"))
     lowest = codes.groupBy(key).agg(F.slice(F.sort_array(F.collect_list("_code")), 1, k).alias("_codes"))
 
     def mean(of) -> Column:
         total = F.aggregate("_codes", F.lit(0).cast("bigint"), lambda acc, c: acc + of(F.pmod(c, F.lit(points))))
-        return total / F.size("_codes")
+        return F.try_divide(total.cast("double"), F.size("_codes"))
 
     return lowest.select(
         key,

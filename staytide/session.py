@@ -18,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sta
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="staytide-"))
         .config("spark.ui.enabled", "false")
         # plans are built faster without a call site per column
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -30,7 +31,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sta
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the shared folder that the session names in spark.checkpoint.dir.
 
-    Only a local session may go without that setting; there a folder of its own is made once.
+    A local session made elsewhere may go without that setting; it gets a folder of its own once.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:

@@ -13,8 +13,22 @@ from staytide.functions.values import null_if_nan
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header. Types are declared, so the files are read once and columns can be pruned."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """The declared columns of CSV files with a header, by name; other columns are skipped.
+
+    The header gives the order of the columns, the schema their types, so the files are read once and columns can be
+    pruned. An absent column raises; so does a file whose header differs from the others'.
+    """
+    return _reader(spark, path, schema).csv(path).select(*schema.names)
+
+
+def _reader(spark: SparkSession, path: str, schema: StructType):
+    """A reader for files whose header holds the declared columns, in any order, among others."""
+    header = spark.read.option("header", True).csv(path).columns
+    absent = [n for n in schema.names if n not in header]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    fields = [schema[n] if n in schema.names else StructField(n, StringType()) for n in header]
+    return spark.read.schema(StructType(fields)).option("header", True).option("enforceSchema", False)
 
 
 def _as_text(schema: StructType, names: Sequence[str]) -> StructType:
@@ -66,9 +80,7 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "p
 
 def read_batches(spark: SparkSession, root: str, schema: StructType, fmt: str = "csv") -> DataFrame:
     """All batch folders below a root (`.../batch_<i>/`) as one frame, with the number of the batch."""
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    files = reader.format(fmt).load(f"{root}/batch_*")
+    path = f"{root}/batch_*"
+    reader = _reader(spark, path, schema) if fmt == "csv" else spark.read.schema(schema)
     number = F.regexp_extract(F.col("_metadata.file_path"), r"/batch_(\d+)/", 1).cast("int")
-    return files.withColumn("batch", number)
+    return reader.format(fmt).load(path).select(*schema.names, number.alias("batch"))

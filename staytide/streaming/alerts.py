@@ -55,13 +55,14 @@ def event_stream(
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
+def drain(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Runs a stream over what its source holds now, and reads back the table it wrote.
 
-    Offsets, state and output lie in the shared folder, so a restart goes on where it ended.
+    Offsets, state and output lie in `folder`; called again with the same one, the stream goes on where it
+    ended. Without it, a new folder in the shared one is taken, for a single run.
     """
     spark = stream.sparkSession
-    root = shared_dir(spark, label)
+    root = folder or shared_dir(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{root}/out")
