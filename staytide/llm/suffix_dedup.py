@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staytide.llm.textarrays import U64, column, mix64, pack_planes, parts, text_bytes, unpack_planes
+from staytide.llm.textarrays import BYTE_CODE, U64, column, mix64, pack_planes, parts, powers, text_bytes, unpack_planes
 from staytide.session import materialize
 
 WINDOW = 100
@@ -38,7 +38,7 @@ _LAST_ID = np.iinfo(np.int64).max
 _PLACE_BITS = 24
 # Grams or snippet bytes that a task handles at a time.
 GRAMS_PER_BUCKET = 1_000_000
-BYTES_PER_SHARD = 6 << 20
+BYTES_PER_SHARD = 2 << 20
 
 
 def words_at(flat: np.ndarray) -> np.ndarray:
@@ -157,18 +157,18 @@ def _snippets(shards: int):
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             ids = _ids(part)
             rows = []
+
+            def add(key: int, o: np.ndarray, data: bytes) -> None:
+                size_bytes = size[o].astype(np.uint8).tobytes()
+                rows.append((key, len(o), pack_planes(ids[doc[o]]), pack_planes(first[o].astype(np.uint32)), size_bytes, data))
+
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[s] : cuts[s + 1]]
-                rows.append(
-                    (
-                        s,
-                        len(o),
-                        pack_planes(ids[doc[o]]),
-                        pack_planes(first[o].astype(np.uint32)),
-                        size[o].astype(np.uint8).tobytes(),
-                        zstandard.ZstdCompressor(level=1).compress(_gather(flat, begin[o], size[o]).tobytes()),
-                    )
-                )
+                data = _gather(flat, begin[o], size[o])
+                heads, late = first_copies(ids[doc[o]], first[o], size[o], data)
+                add(s, o[heads], zstandard.ZstdCompressor(level=1).compress(data[np.repeat(heads, size[o])].tobytes()))
+                if late.any():  # no bytes: it is known that they go
+                    add(-1 - s, o[late], b"")
             if rows:
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 names = ["shard", "n", "id", "first", "sizes", "bytes"]
@@ -191,32 +191,65 @@ def suffix_array(flat: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> n
     """
     n = len(flat)
     key = words_at(flat)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
+    order = np.argsort(key).astype(np.int32)
+    rank = np.empty(n + 1, np.int32)
+    rank[n] = 0
     fresh = np.ones(n, bool)
     fresh[1:] = key[order[1:]] != key[order[:-1]]
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    # ranks count from 1; what lies beyond the end has rank 0
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(1, n + 1, dtype=np.int32), 0))
+    del key
     sorted_depth = 8
     while sorted_depth < depth:
         alone = fresh & np.append(fresh[1:], True)
-        places = np.flatnonzero(~alone)
+        places = np.flatnonzero(~alone).astype(np.int32)
         if not len(places):
             break
         members = order[places]
-        ahead = rank[np.minimum(members + sorted_depth, n)]
-        again = np.lexsort((ahead, rank[members]))
-        members, ahead = members[again], ahead[again]
+        both = rank[members].astype(np.int64) << 32 | rank[np.minimum(members.astype(np.int64) + sorted_depth, n)]
+        again = np.argsort(both)
+        members, both = members[again], both[again]
         order[places] = members
-        old = rank[members]
         cut = np.ones(len(places), bool)
-        cut[1:] = (old[1:] != old[:-1]) | (ahead[1:] != ahead[:-1])
+        cut[1:] = both[1:] != both[:-1]
         fresh[places] = cut
-        rank[members] = places[np.maximum.accumulate(np.where(cut, np.arange(len(places)), 0))]
+        rank[members] = places[np.maximum.accumulate(np.where(cut, np.arange(len(places), dtype=np.int32), 0))] + 1
         sorted_depth *= 2
     wanted = np.zeros(n, bool)
     wanted[starts] = True
-    return order[wanted[order]]
+    return order[wanted[order]].astype(np.int64)
+
+
+def first_copies(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of the earliest of each set of identical snippets, mask of the later ones).
+
+    A snippet at the same place of the same id as the earliest is the same one, and in neither. Snippets of equal
+    hash are compared byte by byte; one that differs after all counts as a first.
+    """
+    n = len(ids)
+    at = np.cumsum(sizes) - sizes
+    up, down = powers(len(flat) + 1)
+    total = np.zeros(len(flat) + 1, U64)
+    np.cumsum(BYTE_CODE[flat] * up[: len(flat)], out=total[1:])
+    key = mix64((total[at + sizes] - total[at]) * down[at]) + sizes.astype(U64)
+    order = np.lexsort((first, ids, key))
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    head = np.empty(n, np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(n), 0))]
+    later = np.flatnonzero(head != np.arange(n))
+    own = np.repeat(at[later] - (np.cumsum(sizes[later]) - sizes[later]), sizes[later]) + np.arange(int(sizes[later].sum()))
+    fits = sizes[later] == sizes[head[later]]
+    other = np.minimum(own + np.repeat(at[head[later]] - at[later], sizes[later]), max(len(flat) - 1, 0))
+    if len(later):
+        ends = np.cumsum(sizes[later]) - sizes[later]
+        fits &= np.logical_and.reduceat(flat[own] == flat[other], ends)
+    heads = np.ones(n, bool)
+    heads[later[fits]] = False
+    late = np.zeros(n, bool)
+    late[later[fits]] = True
+    late &= (ids != ids[head]) | (first != first[head])
+    return heads, late
 
 
 def common_prefixes(flat: np.ndarray, order: np.ndarray, first: np.ndarray, counts: np.ndarray, depth: int = WINDOW) -> np.ndarray:
@@ -328,13 +361,19 @@ def _shard_repeats(table: pa.Table) -> pa.Table:
     ids = np.concatenate([unpack_planes(b, n, np.int64) for b, n in zip(rows["id"], rows["n"])])
     first = np.concatenate([unpack_planes(b, n, np.uint32) for b, n in zip(rows["first"], rows["n"])]).astype(np.int64)
     sizes = np.concatenate([np.frombuffer(b, np.uint8) for b in rows["sizes"]]).astype(np.int64)
+    if rows["shard"][0] < 0:
+        return pa.table({"id": ids, "from": first, "to": first + sizes})
     flat = np.frombuffer(b"".join(unzip.decompress(b) for b in rows["bytes"]), np.uint8)
+    heads, late = first_copies(ids, first, sizes, flat)
+    whole = pa.table({"id": ids[late], "from": first[late], "to": (first + sizes)[late]})
+    flat = flat[np.repeat(heads, sizes)]
+    ids, first, sizes = ids[heads], first[heads], sizes[heads]
     at = np.append(0, np.cumsum(sizes))
     cuts = np.searchsorted(at, np.arange(0, at[-1], 2 * BYTES_PER_SHARD))
     cuts = np.unique(np.append(cuts, len(sizes)))
     shards = [Shard(ids[a:b], first[a:b], sizes[a:b], flat[at[a] : at[b]]) for a, b in zip(cuts[:-1], cuts[1:])]
     merge(shards)
-    return pa.concat_tables([s.repeated() for s in shards])
+    return pa.concat_tables([whole, *(s.repeated() for s in shards)])
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
