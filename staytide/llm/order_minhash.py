@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staytide.llm.components import components
@@ -231,6 +231,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near-duplicates: the first of each group, one row of it, and rows with a NULL id."""
-    groups = near_duplicates(docs, similarity)
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("_kept"))
+    # the window goes by the join's key, so texts are shuffled once; NULL ids stay out of it, and apart
+    joined = docs.filter(F.col("doc_id").isNotNull()).join(kept.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_kept"))
+    place = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64("text")))
+    first = joined.withColumn("_place", place).filter("_place = 1").select(*docs.columns)
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
