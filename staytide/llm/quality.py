@@ -275,5 +275,5 @@ def keep(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
     The row number ties the filter to its place above the statistics, which are worked out once.
     """
-    judged = judge(docs.withColumn("q_row", F.monotonically_increasing_id()), rules)
+    judged = judge(docs, rules).withColumn("q_row", F.monotonically_increasing_id())
     return judged.filter(F.col("kept") & (F.col("q_row") >= 0)).select(*docs.columns)
