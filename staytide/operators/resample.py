@@ -11,7 +11,8 @@ from staytide.functions.radix import number_chunk, text_chunk
 from staytide.operators.prefix import row_ranks, sums_before
 from staytide.session import materialize
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 20_000
+ROWS_AT_ONCE = 128
 
 
 def _distance_to(center: Column, vec: str) -> Column:
@@ -39,26 +40,44 @@ def _blocks(df: DataFrame, key: str, vec: str, size: int) -> DataFrame:
     return ranked.select(key, vec, "dist", F.floor(F.col("_rank") / size).alias("block"))
 
 
+def _matrix(rows: pd.DataFrame, vec: str) -> np.ndarray:
+    return np.stack(rows[vec].to_numpy()).astype("float64")
+
+
 def _nearest(left: pd.DataFrame, right: pd.DataFrame, key: str, vec: str, k: int) -> pd.DataFrame:
-    """The k nearest right rows of each left row, itself left out. Both sides are one block at most."""
+    """The k nearest right rows of each left row, itself left out. Both sides are one block at most.
+
+    Products of matrices say which rows may be among the k; their distances are sums of squared
+    differences, so copies lie at distance 0 exactly, and ties are ties.
+    """
     if left.empty or right.empty:
         return pd.DataFrame({key: [], "neighbor": [], "distance2": []})
-    a = np.stack(left[vec].to_numpy()).astype("float64")
-    b = np.stack(right[vec].to_numpy()).astype("float64")
-    ids = right[key].to_numpy()
-    keys, neighbors, distances = [], [], []
-    for own, row in zip(left[key].to_numpy(), a):
-        # differences, not the dot-product form, so copies lie at distance 0 exactly
-        d = ((b - row) ** 2).sum(axis=1)
-        other = ids != own
-        d, found = d[other], ids[other]
-        order = np.lexsort((found, d))[:k]
-        keys.extend([own] * len(order))
-        neighbors.extend(found[order])
-        distances.extend(d[order])
+    a, b = _matrix(left, vec), _matrix(right, vec)
+    own, ids = left[key].to_numpy(), right[key].to_numpy()
+    b2 = (b * b).sum(axis=1)
+    found = []
+    for begin in range(0, len(a), ROWS_AT_ONCE):
+        rows = a[begin : begin + ROWS_AT_ONCE]
+        a2 = (rows * rows).sum(axis=1)
+        rough = a2[:, None] + b2 - 2 * (rows @ b.T)
+        rough[own[begin : begin + ROWS_AT_ONCE, None] == ids] = np.inf
+        bound = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+        error = 1e-12 * (a2 + b2.max())
+        i, j = np.nonzero((rough <= (bound + error)[:, None]) & np.isfinite(rough))
+        d = ((rows[i] - b[j]) ** 2).sum(axis=1)
+        order = np.lexsort((ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        near = place < k
+        found.append((own[begin + i[near]], ids[j[near]], d[near]))
+    keys, neighbors, distances = (np.concatenate(x) for x in zip(*found))
     return pd.DataFrame({key: keys, "neighbor": neighbors, "distance2": distances})
 
 
+def _nearest_both(left: pd.DataFrame, right: pd.DataFrame, key: str, vec: str, k: int) -> pd.DataFrame:
+    return pd.concat([_nearest(left, right, key, vec, k), _nearest(right, left, key, vec, k)])
+
+
 def _count_upto(points: DataFrame, queries: DataFrame, including: bool) -> DataFrame:
     """(block, n): how many points lie below the value of each query row, or at most at it."""
     value = points.columns[0]
@@ -87,8 +106,9 @@ def nearest_neighbors(
     Rows lie in blocks of bounded size, ordered by distance from the mean vector. Neighbours
     within the own block bound how far the true ones can be. By the triangle inequality only
     blocks whose distance range is that near can hold a closer row; the other pairs of blocks
-    are left out before any vector moves. A pair of blocks yields k rows per row, never all
-    pairs of rows.
+    are left out before any vector moves. A pair of blocks is one task, which yields k rows per row of
+    both, never all pairs of rows. In many dimensions no pair can be left out: each row is then
+    copied once per block, n / block_rows times, so blocks are as large as a task's memory allows.
     """
     schema = f"{key} BIGINT, neighbor BIGINT, distance2 DOUBLE"
     blocks = materialize(
@@ -124,18 +144,16 @@ def nearest_neighbors(
         .join(end.withColumnRenamed("n", "_end"), "block")
         .select("block", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("other"))
         .filter(F.col("other") != F.col("block"))
+        .select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .distinct()
     )
-    left = blocks.join(pairs, "block").select("block", "other", key, vec)
-    right = (
-        blocks.withColumnRenamed("block", "other")
-        .join(pairs, "other")
-        .select("block", "other", key, vec)
-        .toDF("block", "other", key, vec)
-    )
+    left = blocks.withColumnRenamed("block", "low").join(pairs, "low").select("low", "high", key, vec)
+    right = blocks.withColumnRenamed("block", "high").join(pairs, "high").select("low", "high", key, vec)
+    right = right.toDF("low", "high", key, vec)
     across = (
-        left.groupBy("block", "other")
-        .cogroup(right.groupBy("block", "other"))
-        .applyInPandas(lambda a, b: _nearest(a, b, key, vec, k), schema)
+        left.groupBy("low", "high")
+        .cogroup(right.groupBy("low", "high"))
+        .applyInPandas(lambda a, b: _nearest_both(a, b, key, vec, k), schema)
     )
     return _ranked(own.unionByName(across), key, k)
 

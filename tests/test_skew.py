@@ -183,3 +183,22 @@ def test_nearest_controls(spark):
         want = min(controls, key=lambda c: (abs(c[0] - s) if c[0] != s else 0.0, c[0], c[1]))
         assert got[i][1] == pytest.approx(abs(want[0] - s), abs=1e-12)
         assert got[i][0] == want[1] or abs(abs(want[0] - s) - got[i][1]) < 1e-12
+
+
+def test_neighbors_across_many_blocks(spark):
+    """64 dimensions, where no pair of blocks can be left out; copies and ties included."""
+    import numpy as np
+
+    from staytide.operators import resample
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 64)).round(1)
+    x[50:60] = x[50]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vec array<double>")
+    got = {}
+    for r in resample.nearest_neighbors(df, "id", "vec", k=5, block_rows=30).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbor))
+    for i, row in enumerate(x):
+        d = ((x - row) ** 2).sum(axis=1)
+        want = sorted((d[j], j) for j in range(len(x)) if j != i)[:5]
+        assert [n for _, n in sorted(got[i])] == [j for _, j in want]
