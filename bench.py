@@ -6,6 +6,7 @@ import json
 import os
 import sys
 import time
+from statistics import median
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -38,16 +39,32 @@ HEADLINE = [
     "optimal_targets",
     "optimal_target_report",
     "deviation_alerts",
+    "deviation_alerts_stream",
     "match_nearest",
+    "psm_match",
+    "csv_scan",
+    "smote_neighbors",
+    "model_targets",
+    "sweep_predictions",
+    "gbt_fold_auc",
 ]
+# a query that takes less is timed three times, and its median counts
+REPEAT_BELOW_S = 6
 
 
-def run(spark, name: str, sf_dir: str) -> float:
+def once(spark, name: str, sf_dir: str) -> float:
     begun = time.perf_counter()
     QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - begun
 
 
+def run(spark, name: str, sf_dir: str) -> float:
+    seconds = [once(spark, name, sf_dir)]
+    if seconds[0] < REPEAT_BELOW_S:
+        seconds += [once(spark, name, sf_dir) for _ in range(2)]
+    return median(seconds)
+
+
 def warm_up(spark, sf_dir: str) -> None:
     """Loads the JVM's readers, joins and windows on the two smallest tables; not timed."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
