@@ -36,7 +36,8 @@ GRAM = 16
 GRAMS_PER_WINDOW = WINDOW - GRAM + 1
 _LAST_ID = np.iinfo(np.int64).max
 _PLACE_BITS = 24
-# Grams or snippet bytes that a task handles at a time.
+# Text, grams or snippet bytes that a task handles at a time.
+PART_BYTES = 3 << 20
 GRAMS_PER_BUCKET = 1_000_000
 BYTES_PER_SHARD = 2 << 20
 
@@ -94,7 +95,7 @@ GRAM_SCHEMA = "bucket int, n int, gram binary, id binary, first binary, runs bin
 
 def _grams(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "text", 8 << 20):
+        for part in parts(batches, "text", PART_BYTES):
             flat, at = text_bytes(column(part, "text"))
             gram, place, first, last, doc = minimal_grams(flat, at)
             bucket = (gram % U64(buckets)).astype(np.int64)
@@ -144,7 +145,7 @@ def _snippets(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for part in parts(batches, "text", 8 << 20):
+        for part in parts(batches, "text", PART_BYTES):
             flat, at = text_bytes(column(part, "text"))
             runs = column(part, "runs")
             doc = np.repeat(np.arange(part.num_rows), np.diff(runs.offsets.to_numpy()))
@@ -377,7 +378,7 @@ def _shard_repeats(table: pa.Table) -> pa.Table:
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts(batches, "text", 8 << 20):
+    for part in parts(batches, "text", PART_BYTES):
         flat, at = text_bytes(column(part, "text"))
         data = flat.tobytes()
         spans_of = column(part, "spans")
