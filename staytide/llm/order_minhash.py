@@ -2,9 +2,10 @@
 
 A document's shingles (five words) are labelled with their occurrence, so that the second equal shingle differs
 from the first. A sketch takes the few labelled shingles of smallest hash and keeps them in the order of the text; documents
-with many shingles in the same order agree in many sketches. Documents that share a sketch are compared with
-a few pivots of its bucket, never all with all, if enough of their sketches agree. A pair is a link if the
-alignment of the two shingle sequences, within the band that the threshold allows, matches at least
+with many shingles in the same order agree in many sketches. All documents that share a sketch are compared, if enough
+of their sketches agree: pair by pair in a small bucket; a large one is split by a second sketch and its blocks meet
+block by block, which sends counts of links, never the pairs. A pair belongs to the first sketches in which it agrees, so it counts once.
+A pair is a link if the alignment of the two shingle sequences, within the band that the threshold allows, matches at least
 0.8 of all shingles: matched / (n_a + n_b - matched).
 
 Two documents with the same words in the same order are one class; only the class's first id goes on. Then
@@ -35,6 +36,11 @@ SKETCH_SIZE = 2
 # Sketches of two documents that must agree before they are compared: at similarity 0.8 about
 # 0.64 of them agree, so fewer than two of twelve do once in 10,000 times.
 SHARED_SKETCHES = 2
+# Members of a bucket up to which its pairs are rows; what a block of a larger one holds at most on average.
+PAIR_MEMBERS = 12
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 300_000
+# Shingles that the documents sent to one task hold, about.
+TASK_SHINGLES = 3_000_000
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 SKETCH_SCHEMA = "doc_id bigint, n_shingles bigint, content binary, sketches array<bigint>"
@@ -109,30 +115,125 @@ def sketched(docs: DataFrame) -> DataFrame:
     return some.mapInArrow(_sketch_batches, SKETCH_SCHEMA)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of class ids that may be similar: each member of a bucket with the bucket's pivots.
+def buckets(classes: DataFrame) -> DataFrame:
+    """doc_id, k, value, size of the documents that meet another one in enough buckets."""
+    slim = classes.select("doc_id", F.posexplode("sketches").alias("k", "value"))
+    sizes = slim.groupBy("k", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = materialize(slim.join(sizes, ["k", "value"]), "met")
+    enough = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED_SKETCHES)
+    return met.join(enough.hint("merge"), "doc_id", "left_semi")
 
-    Pivots are the smallest id, the shortest and the longest member, and two by a hash, which members of one group share
-    across buckets. They come from an aggregate, so a hot bucket is combined before the shuffle.
+
+def small_pairs(met: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a < b) that first agree in a bucket of at most PAIR_MEMBERS, agree often enough, and are of like length."""
+    members = met.filter(F.col("size") <= PAIR_MEMBERS).select("doc_id", "k", "value").join(classes, "doc_id")
+    held = members.groupBy("k", "value").agg(F.collect_list(F.struct("doc_id", "n_shingles", "sketches")).alias("m"))
+    pairs = held.select(
+        "k", F.expr("explode(flatten(transform(m, x -> transform(filter(m, y -> x.doc_id < y.doc_id), y -> struct(x, y)))))").alias("p")
+    ).select("k", "p.x", "p.y")
+    agree = "zip_with(x.sketches, y.sketches, (s, t) -> s = t)"
+    return pairs.filter(
+        f"least(x.n_shingles, y.n_shingles) >= {similarity} * greatest(x.n_shingles, y.n_shingles) "
+        f"AND array_position({agree}, true) = k + 1 AND size(filter({agree}, e -> e)) >= {SHARED_SKETCHES}"
+    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
+def block_cells(met: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The large buckets as cells of two blocks: cell, side (0: a block with itself), doc_id, k, second, n_shingles, sketches.
+
+    A bucket is split by each later sketch, so a cell's pairs are those that first agree in `k` and next in
+    `second`. Documents without such a pair in the cell are left out.
     """
-    one = F.posexplode("sketches").alias("k", "value")
-    rows = classes.select("doc_id", "n_shingles", "sketches", one)
-    slim = rows.select("doc_id", "n_shingles", "k", "value")
-    pivots = [
-        F.min("doc_id"),
-        F.min_by("doc_id", F.struct("n_shingles", "doc_id")),
-        F.max_by("doc_id", F.struct("n_shingles", "doc_id")),
-        F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")),
-        F.max_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")),
-    ]
-    buckets = slim.groupBy("k", "value").agg(F.count(F.lit(1)).alias("size"), F.array(*pivots).alias("pivots")).filter("size > 1")
-    met = slim.join(buckets, ["k", "value"]).select("doc_id", F.explode(F.array_distinct("pivots")).alias("pivot"), "k")
-    pairs = (
-        met.filter(F.col("doc_id") != F.col("pivot"))
-        .groupBy(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
-        .agg(F.count_distinct("k").alias("shared"))
+    large = met.filter(F.col("size") > PAIR_MEMBERS).select("doc_id", "k", "value").join(classes, "doc_id")
+    joined = large.select("doc_id", "n_shingles", "k", "value", F.posexplode("sketches").alias("second", "next")).filter("second > k")
+    by = ["k", "value", "second", "next"]
+    sizes = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("held")).filter("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
+    split = joined.join(sizes, by).withColumn("blocks", F.least(blocks, F.col("size").cast("int")))
+    split = split.withColumn("own", F.pmod(F.xxhash64("doc_id", *by), F.col("blocks")).cast("int"))
+    met_by = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met_by.select(
+        "doc_id",
+        "k",
+        "second",
+        F.xxhash64(*by, F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"),
     )
-    return pairs
+    return _dealt(cells.join(classes, "doc_id"), "near-rows").mapInArrow(_with_company(similarity), CELL_SCHEMA)
+
+
+CELL_SCHEMA = "cell bigint, side int, doc_id bigint, k int, second int, n_shingles bigint, sketches array<bigint>"
+
+
+def _dealt(cells: DataFrame, label: str, held: int | None = None) -> DataFrame:
+    """The rows of a cell in one task, one after the other, sides in order."""
+    if held is None:
+        cells = materialize(cells, label)
+        held = cells.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+        held //= 10  # sketches alone
+    tasks = int(held // TASK_SHINGLES) + cells.sparkSession.sparkContext.defaultParallelism
+    return cells.repartition(tasks, "cell").sortWithinPartitions("cell", "side", "doc_id")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted rows cell by cell."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = column(batch, "cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            if kept and column(kept[0], "cell")[0].as_py() != keys[begin]:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(batch.slice(begin, end - begin))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+class _Cell:
+    """The documents of a cell, each once per side, and the pairs that are its own."""
+
+    def __init__(self, table: pa.Table, similarity: float):
+        side, ids = table["side"].to_numpy(), table["doc_id"].to_numpy()
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (side[1:] != side[:-1])
+        self.rows = np.flatnonzero(fresh)
+        self.side, self.ids, self.n = side[fresh], ids[fresh], table["n_shingles"].to_numpy()[fresh]
+        sketches = table["sketches"].combine_chunks()
+        self._sketches = sketches.flatten().to_numpy().reshape(-1, SKETCHES)[fresh]
+        self._k, self._second = table["k"][0].as_py(), table["second"][0].as_py()
+        self._similarity = similarity
+        self._crossed = int(np.searchsorted(self.side, 1)) if self.side[0] else 0
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A row, and the later rows that may be similar to it."""
+        n, k, second = len(self.ids), self._k, self._second
+        for i in range(self._crossed or n):
+            begin = self._crossed or i + 1
+            equal = self._sketches[begin:] == self._sketches[i]
+            sizes = self.n[begin:]
+            fit = equal[:, k] & equal[:, second] & (equal[:, : second].sum(1) == 1)
+            fit &= np.minimum(sizes, self.n[i]) >= self._similarity * np.maximum(sizes, self.n[i])
+            found = np.flatnonzero(fit)
+            if len(found):
+                yield i, begin + found
+
+
+def _with_company(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in CELL_SCHEMA.split(", ")]
+        for table in _whole_cells(batches):
+            cell = _Cell(table, similarity)
+            meets = np.zeros(len(cell.ids), bool)
+            for i, others in cell.pairs():
+                meets[i] = True
+                meets[others] = True
+            if meets.any():
+                yield from table.select(names).take(pa.array(cell.rows[meets])).combine_chunks().to_batches()
+
+    return run
 
 
 def _aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
@@ -188,16 +289,89 @@ def _verify(similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity) of the pairs whose texts align well enough. `docs` has one row per id."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # no size bounds the wanted ids, so they are not broadcast, however few
-    texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
+def _linked(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches):
+            cell = _Cell(table, similarity)
+            shingles, at = _shingles_of(table["text"].take(pa.array(cell.rows)))
+            links, root = links_of(cell, shingles, at, similarity)
+            has = np.flatnonzero(links)
+            yield pa.record_batch([pa.array(cell.ids[has]), pa.array(cell.ids[root[has]]), pa.array(links[has])], ["a", "b", "n"])
+
+    return run
+
+
+def _shingles_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    found, sizes = [], []
+    for batch in pa.table({"text": texts}).to_batches():
+        for part in parts(iter([batch]), "text", 1 << 20):
+            shingles, at = _labelled(column(part, "text"))
+            found.append(shingles)
+            sizes.append(np.diff(at))
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def links_of(cell: _Cell, shingles: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row with others of the cell, and the first row of those it hangs together with.
+
+    A row's common shingles with all its candidates are counted at once; only pairs with enough of them that are not all
+    in the same order are aligned one by one.
+    """
+    distinct, number = np.unique(shingles, return_inverse=True)
+    place = np.full(len(distinct), -1, np.int64)
+    links, root = np.zeros(len(cell.ids), np.int64), np.arange(len(cell.ids))
+    sizes = np.diff(at)
+    for i, others in cell.pairs():
+        own = number[at[i] : at[i + 1]]
+        place[own] = np.arange(len(own))
+        n, m = len(own), sizes[others]
+        begins = np.cumsum(m) - m
+        owner = np.repeat(np.arange(len(others)), m)
+        spot = place[number[np.arange(len(owner)) + (at[others] - begins)[owner]]]
+        place[own] = -1
+        hit = spot >= 0
+        spot, owner = spot[hit], owner[hit]
+        common = np.bincount(owner, minlength=len(others))
+        back = (spot[1:] <= spot[:-1]) & (owner[1:] == owner[:-1])
+        mixed = np.bincount(owner[1:][back], minlength=len(others)) > 0
+        # common shingles bound the matched ones from above
+        similar = common / (n + m - common) >= similarity
+        for j in np.flatnonzero(similar & mixed).tolist():
+            o = others[j]
+            similar[j] = _aligned(shingles[at[i] : at[i + 1]], shingles[at[o] : at[o + 1]], similarity) >= similarity
+        linked = others[similar]
+        if len(linked):
+            links[i] += len(linked)
+            links[linked] += 1
+            roots = np.unique(root[np.append(linked, i)])
+            if len(roots) > 1:
+                root[np.isin(root, roots)] = roots[0]
+    return links, root
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity) of the pairs whose texts align well enough. `texts` has one row per id."""
     left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double")
 
 
+def near_links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, n) rows: `a` has n further links, and hangs together with `b`. `classes`: doc_id, n_shingles, sketches."""
+    met = materialize(buckets(classes), "near-buckets")
+    pairs = materialize(small_pairs(met, classes, similarity), "near-pairs")
+    cells = materialize(block_cells(met, classes, similarity), "near-cells")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(cells.select("doc_id"))
+    # no size bounds the wanted ids, so they are not broadcast, however few
+    texts = materialize(docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), "near-texts")
+    found = materialize(verified(pairs, texts, similarity).select("a", "b").distinct(), "near-found")
+    one = F.lit(1).cast("bigint").alias("n")
+    few = found.select("a", "b", one).unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), one))
+    held = cells.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    many = _dealt(cells.join(texts, "doc_id"), "near-cells", held).mapInArrow(_linked(similarity), "a bigint, b bigint, n bigint")
+    return materialize(few.unionByName(many), "near-links")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document id: doc_id, class_id (its exact class), n_links (of the class), group_id and kept."""
     sketches = materialize(sketched(docs), "sketches")
@@ -208,16 +382,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
     classes = materialize(firsts, "classes")
     reps = classes.select(F.col("class_id").alias("doc_id"), "n_shingles", "sketches")
-    pairs = candidates(reps).filter(F.col("shared") >= SHARED_SKETCHES)
-    sized = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(
-        reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b")), "b"
-    )
-    sized = sized.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
-    sized = materialize(sized, "near-pairs")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    links = materialize(verified(sized, texts, similarity).distinct(), "near-links")
+    links = near_links(texts, reps, similarity)
     groups = components(links)
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.groupBy("a").agg(F.sum("n").alias("n_links"))
     told = (
         classes.select("content", "class_id")
         .join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")

@@ -122,3 +122,51 @@ def test_components(spark):
             parent[high] = low
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def _links(docs):
+    """Links of each text by all pairs, with distinct texts."""
+    sets = [(i, labelled(t), set(labelled(t))) for i, t in docs]
+    links = dict.fromkeys((i for i, _ in docs), 0)
+    for at, (i, a, x) in enumerate(sets):
+        for j, b, y in sets[at + 1 :]:
+            common = len(x & y)
+            if common / (len(a) + len(b) - common) < 0.8:
+                continue
+            # the same order in both: the common ones are the subsequence
+            same = [s for s in a if s in y] == [s for s in b if s in x]
+            if same or similarity(" ".join(w for w in dict(docs)[i].split()), dict(docs)[j]) >= 0.8:
+                links[i] += 1
+                links[j] += 1
+    return links
+
+
+def test_links_of_a_large_group(spark):
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(200)]
+    docs = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        docs.append((k, " ".join(copy)))
+    got = {r.doc_id: r.n_links for r in om.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    want = _links(docs)
+    wrong = sum(abs(got[i] - want[i]) for i in want)
+    assert wrong <= 0.001 * sum(want.values())
+
+
+def test_links_of_texts_that_share_a_passage(spark, monkeypatch):
+    # blocks of a few rows, so that cells of two blocks are met too
+    monkeypatch.setattr(om, "BLOCK_ROWS", 40)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(170)]
+    docs = []
+    for k in range(0, 240, 2):
+        own = [f"o{k}x{i}" for i in range(30)]
+        copy = list(own)
+        copy[rng.randrange(5, 25)] = "changed"
+        docs += [(k, " ".join(passage + own)), (k + 1, " ".join(passage + copy))]
+    rows = om.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.n_links for r in rows} == dict.fromkeys(range(240), 1)
+    assert all(r.group_id == r.doc_id // 2 * 2 for r in rows)
