@@ -2,8 +2,8 @@
 
 A character trigram model is counted over all texts. A token with signs of disguise (digits or symbols between
 letters, letters set apart one by one, letters repeated) becomes a lattice: each character stands for itself or for letters
-it may replace, separators may vanish, a run may be one or two letters. Viterbi finds the most likely spelling under the channel
-and the model. Other tokens are their own spelling.
+it may replace, separators may vanish, a run may be one or two letters; letters set apart may also be several words. Viterbi
+finds the most likely spelling under the channel and the model. A run of two counts as it stands, too. Other tokens are their own spelling.
 
 The restored words, and their beginnings of four to six letters, are a text's features. Those that tell labelled classes apart
 are chosen by chi-square, and a logistic regression weighs them. It learns from a bounded sample of the labelled rows;
@@ -40,15 +40,15 @@ STANDS_FOR = {
 SEPARATORS = frozenset(" .-_*~'`,/\\+|^")
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‚‘’…*#$%&|@~^_=+-/\\`"
 # Costs in nats of the channel.
-SUBSTITUTE, DROP, DOUBLE, FOREIGN = 0.4, 0.3, 1.2, 4.0
+SUBSTITUTE, DROP, DOUBLE, SINGLE, BOUNDARY, FOREIGN = 0.4, 0.3, 1.2, 0.4, 0.3, 4.0
 REMEMBERED_WORDS = 200_000
 # Text symbols of the character model: a-z, a word's end, any other byte.
 _END, _OTHER, _SIZE = 26, 27, 28
 _CODE = np.full(256, _OTHER, np.int64)
 _CODE[97:123] = np.arange(26)
 _CODE[[0x20, *range(0x09, 0x0E)]] = _END
-_APART = re.compile(r"(?<!\S)\S(?:[ ._*~/|-]{1,2}\S(?!\w)){2,}(?!\S)")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_APART = re.compile(r"(?<!\S)[^\s._*~/|-](?:[\s._*~/|-]{1,3}[^\s._*~/|-](?!\w)){2,}(?!\S)")
+_RUN = re.compile(r"([^\W\d_])\1")
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,16 +86,24 @@ def symbol(c: str) -> int:
 
 
 def suspicious(word: str) -> bool:
-    """Whether a word may be in disguise: signs between its letters, or a letter three times in a row."""
+    """Whether a word may be in disguise: signs between its letters, or a letter twice in a row."""
     return any(c.isalpha() for c in word) and (not word.isalpha() or _RUN.search(word) is not None)
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """The most likely spelling of a word in lower case, by Viterbi over (last two symbols)."""
+def signs_alone(word: str) -> bool:
+    """Whether a word has no letter but may be one: different signs that stand for letters."""
+    return len(word) > 2 and len(set(word)) > 1 and all(c in STANDS_FOR for c in word)
+
+
+def decode(word: str, model: np.ndarray, single: bool = True, spaced: bool = False) -> str:
+    """The most likely spelling of a word in lower case, by Viterbi over (last two symbols).
+
+    A run of two may be one letter if `single`. If `spaced`, each character is a letter of its own and words may end after any.
+    """
     # runs of one character are one step of the lattice
     steps: list[tuple[str, int]] = []
     for c in word:
-        if steps and steps[-1][0] == c:
+        if steps and steps[-1][0] == c and not spaced:
             steps[-1] = (c, steps[-1][1] + 1)
         else:
             steps.append((c, 1))
@@ -117,12 +125,16 @@ def decode(word: str, model: np.ndarray) -> str:
             for letter, price in options:
                 s = symbol(letter)
                 one = cost + price - model[a, b, s]
-                # a letter three times or more is mostly one letter, sometimes two; twice is as it stands
-                if n != 2 or not is_letter:
-                    put(ahead, (b, s), one, (path, letter))
+                # three times or more is mostly one letter, sometimes two; twice mostly two, sometimes one
+                if n != 2 or single:
+                    put(ahead, (b, s), one + (SINGLE if n == 2 else 0.0), (path, letter))
+                if spaced:
+                    put(ahead, (s, _END), one - model[b, s, _END] + BOUNDARY, ((path, letter), " "))
                 if n > 1:
                     put(ahead, (s, s), one - model[b, s, s] + (DOUBLE if n > 2 else 0.0), ((path, letter), letter))
         best = ahead
+    if spaced:  # the last word ends once
+        best = {k: v for k, v in best.items() if k[1] != _END} or best
     (a, b), (_, path) = min(best.items(), key=lambda x: (x[1][0] - model[x[0][0], x[0][1], _END], x[0]))
     letters = []
     while path:
@@ -135,38 +147,49 @@ class Reader:
     """Restored words of texts; spellings are remembered up to a number of words."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self._known = model, {}
+        self.model = model
+        self._known: dict[str, tuple[str, ...]] = {}
 
-    def _restored(self, word: str) -> str:
-        out = self._known.get(word)
+    def _restored(self, word: str, spaced: bool = False) -> tuple[str, ...]:
+        key = " " + word if spaced else word
+        out = self._known.get(key)
         if out is None:
-            out = decode(word, self.model)
+            if spaced:
+                out = tuple(decode(word, self.model, spaced=True).split())
+            else:
+                out = (decode(word, self.model),)
+                if any(a == b for a, b in zip(word, word[1:])):
+                    out += (decode(word, self.model, single=False),)
             if len(self._known) < REMEMBERED_WORDS:
-                self._known[word] = out
+                self._known[key] = out
         return out
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        runs = _RUN.search(text) is not None
         out = set()
         for token in set(text.split()):
             if token.isalpha():
-                if runs and _RUN.search(token):
-                    out.add(self._restored(token))
+                if _RUN.search(token):
+                    out.update(self._restored(token))
                 out.add(token)
                 continue
             word = token.strip(EDGES)
-            if word.isalpha() and not (runs and _RUN.search(word)):
+            if word.isalpha():
                 out.add(word)
+                if _RUN.search(word):
+                    out.update(self._restored(word))
                 # a sign at an edge may be a letter too
                 if token[0] in STANDS_FOR or token[-1] in "$3":
-                    out.add(self._restored(token.strip(".,;:?\"'()-")))
+                    out.update(self._restored(token.strip(".,;:?\"'()-")))
             elif suspicious(word):
-                out.add(self._restored(word))
+                out.update(self._restored(word))
+            elif signs_alone(bare := token.strip(".,;:?\"'()-")):
+                out.update(self._restored(bare))
         for found in _APART.finditer(text):
-            letters = "".join(c for c in found.group() if c not in SEPARATORS)
+            letters = "".join(c for c in found.group() if c not in SEPARATORS and not c.isspace())
             if len(set(letters)) > 1 and any(c.isalpha() for c in letters):
-                out.add(self._restored(letters))
+                out.update(self._restored(letters))
+                out.update(self._restored(letters, spaced=True))
         out.discard("")
         return out
 

@@ -31,6 +31,25 @@ def test_words(model):
     assert read.words("") == set() == read.words(" *** 1 2")
 
 
+@pytest.mark.parametrize("word, plain", [("stuppid", "stupid"), ("iddiot", "idiot"), ("1ddiot", "idiot"), ("100ser", "loser")])
+def test_decode_of_a_letter_twice(model, word, plain):
+    assert plain in tx.Reader(model).words(word)
+
+
+def test_letters_apart_are_several_words(model):
+    read = tx.Reader(model)
+    assert "stupid" in read.words("such a s t u p i d person")
+    assert "stupid" in read.words("such a\ts\tt\tu\tp\ti\td person") and "idiot" in read.words("i\nd\ni\no\nt")
+    assert "idiot" in read.words("t h e i d i o t")
+    assert "stupid" in read.words("-" * 200 + "ab s t u p i d")
+
+
+def test_signs_alone(model):
+    read = tx.Reader(model)
+    assert read.words("1$ 455 $#!7") & {"ass", "as"} and len(read.words("$#!7")) == 1
+    assert read.words("*** 888 12 --") == set()
+
+
 def test_held_out(spark):
     from staytide.llm.queries import QUERIES
 
