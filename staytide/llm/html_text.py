@@ -4,10 +4,12 @@ The standard library's parser streams a page's events. Text gathers in blocks, t
 ends where a block-level tag begins or ends. Each block has a ratio of text to tags. The ratios are smoothed with a
 Gaussian along the page and split by the threshold that separates them best; blocks above it mark
 the regions of the page that hold the content: the outermost article or main element, else the container next
-to the block. All blocks of those regions are the text, so that a short paragraph between long ones stays.
+to the block. All blocks of those regions are the text, so that a short paragraph between long ones stays. Article
+and main elements come before other regions if one of their blocks is above the threshold.
 
-What is not article by its tag (navigation, forms, scripts, and the like), or by the words of its class, id or
-role (advert, sidebar, comments, cookie notice, ...), is left out with all it holds.
+What is not article by its tag (navigation, forms, scripts, and the like), is left out with all it holds. An element whose class, id or
+role has a word for such parts (advert, sidebar, comments, cookie notice, ...) is left out too, unless it holds most of the page's text of
+high ratio; one that is named by such a word alone must hold all of it. Article and main elements are never left out by name.
 
 Defined results: NULL and empty pages, and pages without text, give an empty text; text outside any tag is a block of the body;
 unclosed tags end with what holds them. Other columns pass through.
@@ -51,22 +53,29 @@ SIGMA = 1.5
 
 
 class Block:
-    __slots__ = ("text", "tags", "link", "region")
+    __slots__ = ("pieces", "text", "tags", "link", "region")
 
-    def __init__(self, text: str, tags: int, link: int, region: tuple[int, bool]):
-        self.text, self.tags, self.link, self.region = text, tags, link, region
+    def __init__(self, pieces: list[tuple[str, int, tuple[int, ...]]], tags: int, region: tuple[int, bool]):
+        self.pieces, self.tags, self.region = pieces, tags, region
+        self.text = " ".join("".join(p for p, _, _ in pieces).split())
+        self.link = sum(n for _, n, _ in pieces)
+
+    def without(self, left_out: set[int]) -> "Block":
+        kept = [p for p in self.pieces if left_out.isdisjoint(p[2])]
+        return self if len(kept) == len(self.pieces) else Block(kept, self.tags, self.region)
 
 
 class BlockReader(HTMLParser):
-    """Blocks of a page in order, without those that tags or names leave out."""
+    """Blocks of a page in order, without those that tags leave out, and the elements that names may leave out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self._stack: list[tuple[str, bool, int]] = []  # name, left out, region number
+        self.named: dict[int, bool] = {}  # by region number: whether a word alone is the name
+        self._stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, left out, region number, named elements around
         self._regions = 0
-        self._text: list[str] = []
-        self._tags = self._link = 0
+        self._text: list[tuple[str, int, tuple[int, ...]]] = []  # text, its length if a link, named elements around
+        self._tags = 0
 
     def _out(self) -> bool:
         return bool(self._stack) and self._stack[-1][1]
@@ -74,7 +83,7 @@ class BlockReader(HTMLParser):
     def _region(self) -> tuple[int, bool]:
         """(number, whether an article or main element) of what the block counts to."""
         inner = 0
-        for name, _, number in self._stack:
+        for name, _, number, _ in self._stack:
             if name in REGIONS:
                 return number, True
             if name in CONTAINERS:
@@ -82,17 +91,16 @@ class BlockReader(HTMLParser):
         return inner, False
 
     def _end_block(self) -> None:
-        text = " ".join("".join(self._text).split())
-        if text:
-            self.blocks.append(Block(text, self._tags, self._link, self._region()))
-        self._text, self._tags, self._link = [], 0, 0
+        if any(p.strip() for p, _, _ in self._text):
+            self.blocks.append(Block(self._text, self._tags, self._region()))
+        self._text, self._tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS and not self._out():
             self._end_block()
         self._tags += 1
         if tag in VOID:
-            self._text.append(" ")
+            self._text.append((" ", 0, ()))
             return
         if tag == "p":
             self._close("p", BLOCKS - {"p"})
@@ -100,22 +108,32 @@ class BlockReader(HTMLParser):
             self._close("li", frozenset(["ul", "ol"]))
         elif tag in ("td", "th", "tr"):
             self._close(tag, frozenset(["table"]))
-        inside = any(name in REGIONS for name, _, _ in self._stack)
+        inside = any(name in REGIONS for name, _, _, _ in self._stack)
         out = self._out() or tag in SKIPPED or (tag == "header" and not inside)
-        if not out and tag not in ("html", "body"):
-            out = self._named_out(attrs, inside)
+        out = out or (tag not in ("html", "body") and self._hidden(attrs))
         self._regions += 1
-        self._stack.append((tag, out, self._regions))
-
-    def _named_out(self, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+        around = self._stack[-1][3] if self._stack else ()
+        if not out and tag not in ("html", "body") and tag not in REGIONS and (alone := self._name(attrs, inside)) is not None:
+            self.named[self._regions] = alone
+            around += (self._regions,)
+        self._stack.append((tag, out, self._regions, around))
+
+    def _name(self, attrs: list[tuple[str, str | None]], inside: bool) -> bool | None:
+        """None without a word for other parts of a page, else whether such a word alone is one of the names."""
+        found = None
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
-                for word in _WORD.findall(value.lower()):
-                    if word in BOILERPLATE and not (inside and word in WITHIN_REGION):
-                        return True
-            elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+                for token in value.lower().split():
+                    words = _WORD.findall(token)
+                    if any(w in BOILERPLATE and not (inside and w in WITHIN_REGION) for w in words):
+                        found = found or len(words) == 1
+        return found
+
+    def _hidden(self, attrs: list[tuple[str, str | None]]) -> bool:
+        for name, value in attrs:
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
+            if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
         return False
 
@@ -143,9 +161,8 @@ class BlockReader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self._out():
             return
-        self._text.append(data)
-        if any(name == "a" for name, _, _ in self._stack[-3:]):
-            self._link += len(data.strip())
+        link = any(name == "a" for name, _, _, _ in self._stack[-3:])
+        self._text.append((data, len(data.strip()) if link else 0, self._stack[-1][3] if self._stack else ()))
 
     def close(self) -> None:
         super().close()
@@ -176,21 +193,56 @@ def threshold(values: np.ndarray) -> float:
     return float((v[best] + v[best + 1]) / 2)
 
 
+def _content(blocks: list[Block]) -> np.ndarray:
+    """Whether each block's smoothed ratio of text to tags is above the threshold."""
+    level = smoothed(np.array([(len(b.text) - b.link) / max(b.tags, 1) for b in blocks]))
+    return level > threshold(level)
+
+
+def _left_out(blocks: list[Block], named: dict[int, bool]) -> set[int]:
+    """The named elements that do not hold most of the text of high ratio, or all of it if a word alone names them."""
+    if not named or not blocks:
+        return set()
+    inside, total = dict.fromkeys(named, 0), 0
+    regions = {b.region[0]: set(b.pieces[0][2]) for b in blocks if b.region[1]}
+    for block, good in zip(blocks, _content(blocks)):
+        if good:
+            for text, link, around in block.pieces:
+                n = len(text.strip()) - link
+                total += n
+                for number in around:
+                    inside[number] += n
+    out = set()
+    for number, alone in named.items():
+        if alone:
+            keep = 0 < total == inside[number] and all(number in around for around in regions.values())
+        else:
+            keep = 2 * inside[number] > total
+        if not keep:
+            out.add(number)
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     reader = BlockReader()
     reader.feed(html)
     reader.close()
-    blocks = reader.blocks
+    left_out = _left_out(reader.blocks, reader.named)
+    blocks, tags = [], 0
+    for block in reader.blocks:
+        block = block.without(left_out)
+        if block.text:
+            # the tags of what is left out count to the next block
+            block.tags += tags
+            blocks.append(block)
+        tags = 0 if block.text else tags + block.tags
     if not blocks:
         return ""
-    ratio = np.array([(len(b.text) - b.link) / max(b.tags, 1) for b in blocks])
-    level = smoothed(ratio)
-    content = level > threshold(level)
-    regions = {b.region for b, good in zip(blocks, content) if good}
-    # an article or main element is the article, whatever else holds long text
-    chosen = {r for r in regions if r[1]} or {b.region for b in blocks if b.region[1]} or regions
+    regions = {b.region for b, good in zip(blocks, _content(blocks)) if good}
+    # an article or main element that has content is the article, whatever else holds long text
+    chosen = {r for r in regions if r[1]} or regions
     return "\n".join(b.text for b in blocks if b.region in chosen)
 
 

@@ -29,6 +29,25 @@ def test_cases(html):
     assert main_text(html) == CASES[html]
 
 
+BODY = f"<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+TEXT = "\n".join([LONG] * 3)
+WRAPPED = [
+    f"<div class='content-sidebar-wrap'><article>{BODY}</article><div class='sidebar'><a>x</a></div></div>",
+    f"<div class='page has-sidebar'><div>{BODY}</div><div class='sidebar-right'><p>short</p></div></div>",
+    f"<article class='post category-social tag-advertising'>{BODY}</article>",
+    f"<div id='main-with-comments'>{BODY}<div class='comments'><p>{LONG}</p></div></div>",
+    f"<div class='no-sidebar'>{BODY}</div>",
+    f"<article>{BODY}</article><div class='comments'>{BODY * 5}</div>",
+    f"<div>{BODY}</div><div>" + "<article><a>Read</a><b>on</b></article>" * 6 + "</div>",
+]
+
+
+@pytest.mark.parametrize("html", WRAPPED)
+def test_names_do_not_lose_the_article(html):
+    got = main_text(f"<body><nav><a>Home</a></nav>{html}<footer>f</footer></body>")
+    assert got == TEXT
+
+
 def expected(html):
     """The article of the given template, taken apart by hand."""
     inner = re.search(r"<article>(.*)</article>", html, re.S).group(1)
