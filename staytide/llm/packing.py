@@ -8,7 +8,8 @@ first. Pieces then find their places by rank: the k-th piece of a length takes t
 patterns hold for that length. Ranks go over chunks, so no task holds all pieces of a length.
 
 Token ids are those of the byte-level BPE file of the public tokenizers. Words seen before are looked up, and others go
-through the same vocabulary's merge ranks; a test holds both against the `tokenizers` library.
+through the same vocabulary's merge ranks. The file's added tokens (an end-of-text mark) are found in the text first, and what is
+between them is encoded. A test holds all of it against the `tokenizers` library.
 
 Defined results: NULL and empty texts are the end mark alone; rows with a NULL id and repeated rows are
 packed like any other. Other columns are not read.
@@ -16,6 +17,7 @@ packed like any other. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,6 +34,7 @@ from staytide.session import materialize
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 # Words that a task remembers the ids of.
 REMEMBERED_WORDS = 300_000
 # The second length of a pattern of three is a multiple of this.
@@ -45,11 +48,13 @@ class Encoder:
     """Token ids of a text, as the bytes of little-endian unsigned 32-bit numbers.
 
     A space in front of a word always begins a new piece of the vocabulary's pattern, so a text
-    splits there, and the ids of its parts follow each other. Runs of white space are left to the library.
+    splits there, and the ids of its parts follow each other. Runs of white space are left to the library. Added tokens of
+    the tokenizer's file split the text before that.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, remember: int = REMEMBERED_WORDS):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -58,6 +63,15 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("text", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._encode = bpe.encode_ordinary
+        with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+            added = {t["content"]: t for t in json.load(f).get("added_tokens", [])}
+        self._added = {c: np.array([t["id"]], "<u4").tobytes() for c, t in added.items()}
+        # longer ones first; some take the white space beside them
+        marks = [
+            (r"\s*" if added[c].get("lstrip") else "") + f"({re.escape(c)})" + (r"\s*" if added[c].get("rstrip") else "")
+            for c in sorted(added, key=lambda c: (-len(c), c))
+        ]
+        self._marks = re.compile("|".join(marks)) if marks else None
         self._known: dict[str, bytes] = {}
         self._remember = remember
 
@@ -65,6 +79,16 @@ class Encoder:
         return np.asarray(self._encode(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self._marks is None or not any(c in text for c in self._added):
+            return self._plain(text)
+        out, at = [], 0
+        for found in self._marks.finditer(text):
+            out += [self._plain(text[at : found.start()]), self._added[found.group(found.lastindex)]]
+            at = found.end()
+        return b"".join(out) + self._plain(text[at:])
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not text:
             return b""
         words = text.split(" ")

@@ -34,6 +34,17 @@ def test_ids(reference, encoder, text):
     assert encoder(text) == np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+ADDED = [
+    "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b", "x  <|endoftext|>\n\n y", "<|endoftext|><|endoftext|> <|endoftext|", "<|END|>",
+    " <|endoftext|> a  b\t<|endoftext|>",
+]
+
+
+@pytest.mark.parametrize("text", ADDED)
+def test_ids_of_added_tokens(reference, encoder, text):
+    assert encoder(text) == np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from(list("ab'  \n\t 1.é ")), max_size=12))
 def test_ids_of_any_text(reference, encoder, text):
