@@ -27,9 +27,22 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
+# How many characters an IBAN of a country has.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LONG_IBAN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+# as long as the country says, else (an unknown country) as far as it goes, up to where one of a known country begins
+IBAN = (
+    rf"(?<![A-Za-z0-9])(?:(?:{_LONG_IBAN})|[A-Z]{{2}}[0-9]{{2}}"
+    rf"(?:(?!\x20(?:{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[0-9]{{2}})\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+)
+
 # Patterns of the added kinds, their weight, and the words that speak for them.
 ADDED = {
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.1, "iban|account|konto|compte|cuenta|bank"),
+    "iban": (IBAN, 0.1, "iban|account|konto|compte|cuenta|bank"),
     "secret": (
         r"(?i)(?<=(?:token|secret|password|passwd|api_key|api-key|apikey|access_key)[\x20]{0,2}[:=][\x20]{0,2}[\"']{0,1})[A-Za-z0-9+/_=-]{16,}",
         0.6,

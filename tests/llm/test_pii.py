@@ -85,6 +85,22 @@ def test_added_spans_need_checksum_or_context(spark):
     assert got[5].s.startswith("local_phone") and got[6].s == ""
 
 
+def test_iban_before_capitals_and_numbers(spark):
+    cases = {
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFF": "[IBAN] BIC COBADEFF",
+        "IBAN: DE89 3704 0044 0532 0130 00 BIC: COBADEFF": "IBAN: [IBAN] BIC: COBADEFF",
+        "GB82 WEST 1234 5698 7654 32 EUR 500": "[IBAN] EUR 500",
+        "DE89370400440532013000 GB82WEST12345698765432": "[IBAN] [IBAN]",
+        "NO93 8601 1117 947 12 A": "[IBAN] 12 A",
+        "RE12 ABCD EFGH 1234 DE89 3704 0044 0532 0130 00 X": "RE12 ABCD EFGH 1234 [IBAN] X",
+        "DE89 3704 0044 0532 0130 01 BIC COBADEFF": "DE89 3704 0044 0532 0130 01 BIC COBADEFF",
+        "DE89 3704 0044 0532 0130 001": "DE89 3704 0044 0532 0130 001",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.t for r in pii.find_spans(df).select("doc_id", pii.redacted().alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_redaction_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "a b@c.de f", "x"), (None, None, None)], "doc_id long, text string, spans string")
     got = pii.find_spans(df).select("doc_id", "spans", pii.redacted().alias("t")).orderBy(F.col("doc_id").asc_nulls_last()).collect()
