@@ -148,3 +148,75 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, classifier).select(
         "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors, removals and losses of five filters in all orders, by source."""
+    from staytide.llm import filter_audit
+
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+split AS (SELECT d.*, f.first, regexp_extract_all(d.t, '[^\x20\x09-\x0D]+') AS w FROM docs d JOIN firsts f ON d.t = f.t),
+judged AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+marked AS (
+  SELECT s.part, coalesce(j.good, 0) AS good, coalesce(j.toxic, 0) AS toxic,
+    (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN s.doc_id > first THEN 16 ELSE 0 END) AS m
+  FROM split s LEFT JOIN judged j ON s.doc_id = j.doc_id),
+filters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM filters a, filters b, filters c, filters d, filters e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS own, coalesce(list_sum(bits[1:i - 1]), 0) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
+sets AS (SELECT DISTINCT own, before FROM steps),
+counted AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM marked GROUP BY part, m),
+told AS (
+  SELECT part, own, before, sum(CASE WHEN m & (before + own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN m & before = 0 AND m & own > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN m & before > 0 AND m & own > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN m = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN m & before = 0 AND m & own > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN m & before = 0 AND m & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counted, sets GROUP BY part, own, before)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM told JOIN steps USING (own, before)
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which repeat a stretch of theirs."""
+    from staytide.llm import periodic
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digests(periodic.runs_of(periodic.exercised(docs)))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document among those of equal text."""
+    from staytide.llm import stream_dedup
+
+    found = stream_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op13_exact_dedup"] = """
+WITH norm AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM norm WINDOW same AS (PARTITION BY t)
+"""
