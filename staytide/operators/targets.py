@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staytide.functions.values import mean_interval, null_if_nan
+from staytide.operators import learners, surfaces
 
 # Grid of both measures, ends included, and points averaged to a target.
 M1_GRID = (40, 150)
@@ -109,6 +110,26 @@ def optimal_targets(
     return grid_target_points(with_average(score(with_grid(cases, key)), preds), key, k)
 
 
+def model_targets(
+    cases: DataFrame,
+    key: str,
+    models: Sequence,
+    k: int = TARGET_POINTS,
+    m1: tuple[int, int] = M1_GRID,
+    m2: tuple[int, int] = M2_GRID,
+) -> DataFrame:
+    """Targets of all cases under trained pipelines, from their surfaces; one row per row of `cases`.
+
+    The grid is unfolded only for models whose surface is not known (see `surfaces.search`).
+    """
+    found = surfaces.search(cases, key, models, m1, m2, k, TIE_DIGITS)
+    if found is not None:
+        return found
+    preds = [f"pred_{i}" for i in range(len(models))]
+    scored = with_average(learners.scorer(models)(with_grid(cases, key, m1, m2)), preds)
+    return grid_target_points(scored, key, k, m1, m2)
+
+
 def _risk_at(df: DataFrame, m1: str, m2: str, score: Scorer, preds: Sequence[str], how: str, out: str):
     """Adds the risk at the point (m1, m2): by the last model, or the mean of all."""
     kept = df.columns
@@ -142,9 +163,14 @@ def target_report(
     preds: Sequence[str],
     k: int = TARGET_POINTS,
     risk_model: str = "last",
+    targets: DataFrame | None = None,
 ) -> DataFrame:
-    """(case_id, hr, bp, optimal_hr, optimal_bp, actual_risk, optimal_risk, mortality)."""
-    targets = optimal_targets(cases, key, score, preds, k)
+    """(case_id, hr, bp, optimal_hr, optimal_bp, actual_risk, optimal_risk, mortality).
+
+    `targets` (key, optimal_m1, optimal_m2) may be given; else the grid is unfolded and scored.
+    """
+    if targets is None:
+        targets = optimal_targets(cases, key, score, preds, k)
     risks = counterfactual_risk(cases.join(targets, key), score, preds, risk_model)
     return risks.select(
         F.col(key).alias("case_id"),
