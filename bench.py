@@ -45,6 +45,7 @@ HEADLINE = [
     "csv_scan",
     "smote_neighbors",
     "model_targets",
+    "forest_targets",
     "sweep_predictions",
     "gbt_fold_auc",
 ]

@@ -13,10 +13,8 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -247,41 +245,6 @@ def sweep_predictions(
     return reduce(DataFrame.unionByName, parts)
 
 
-def grid_search(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    learning_rates: Sequence[float] = tuple(SEARCH_GRID["learning_rate"]),
-    rounds: Sequence[int] = tuple(SEARCH_GRID["rounds"]),
-    k: int = 5,
-    parallelism: int = 4,
-    **settings,
-) -> DataFrame:
-    """Cross-validated AUC of each setting: (learning_rate, rounds, auc, best). Folds come from `fold`.
-
-    Gaps are filled by what the training rows of each fold say.
-    """
-    spark = df.sparkSession
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-
-    def of_fold(fold: int):
-        train, test = df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
-        fills = missing_fills(train, features)
-        pipeline = build("boosted", features, label, fills, weighted=False, **{"learning_rate": 0.1, **settings})
-        gbt = pipeline.getStages()[-1]
-        grid = ParamGridBuilder().addGrid(gbt.stepSize, learning_rates).addGrid(gbt.maxIter, rounds).build()
-        aucs = [evaluator.evaluate(pipeline.copy(setting).fit(train).transform(test)) for setting in grid]
-        return [(float(g[gbt.stepSize]), int(g[gbt.maxIter])) for g in grid], aucs
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(of_fold, range(k)))
-    grid = results[0][0]
-    scores = [sum(aucs[i] for _, aucs in results) / k for i in range(len(grid))]
-    best = scores.index(max(scores))
-    rows = [(rate, n, float(s), i == best) for i, ((rate, n), s) in enumerate(zip(grid, scores))]
-    return spark.createDataFrame(rows, "learning_rate DOUBLE, rounds INT, auc DOUBLE, best BOOLEAN")
-
-
 def model_path(root: str, learner: str, pw: int, mop: int, ow: int, fold: int) -> str:
     return f"{root}/{learner}/pw={pw}/mop={mop}/ow={ow}/fold={fold}"
 

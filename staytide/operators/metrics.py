@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staytide.functions.radix import number_chunk
 from staytide.operators.prefix import sums_before
 
 
+def _known(score: str) -> Column:
+    return F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+
+
 def _score_table(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """Classes per distinct score. Rows without a score (NULL or NaN) are left out: see `missing_scores`."""
-    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     counts = (
-        df.filter(known)
+        df.filter(_known(score))
         .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
         .withColumn("_chunk", number_chunk("score"))
@@ -46,10 +49,11 @@ def missing_scores(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
-    """One row per distinct score, taken as threshold: (by, threshold, fpr, tpr)."""
+    """One row per distinct score, taken as threshold: (by, threshold, fpr, tpr). Rates are those of rows with a score."""
     table = _score_table(df, by, score, label)
     totals = (
-        df.groupBy(*by)
+        df.filter(_known(score))
+        .groupBy(*by)
         .agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
         .withColumnsRenamed({c: f"_key_{c}" for c in by})
     )
@@ -66,8 +70,8 @@ def roc_curve(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataF
 
 
 def balanced_accuracy(df: DataFrame, by: Sequence[str], score: str, label: str, cut: float = 0.5) -> DataFrame:
-    """Mean of the two classes' recall; a score above the cut predicts class 1."""
-    hit = (F.col(score) > cut).cast("double")
+    """Mean of the two classes' recall; a score above the cut predicts class 1. Rows without a score are left out."""
+    hit = (F.when(_known(score), F.col(score)) > cut).cast("double")
     return (
         df.groupBy(*by)
         .agg(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from staytide.functions import clock
-from staytide.operators import cohort, folds, grouped, learners, matching, metrics, resample, targets
+from staytide.operators import cohort, folds, grouped, learners, matching, metrics, resample, search, targets
 from staytide.plans.basics import _offsets, big, case_medians, r6
 from staytide.plans.registry import query, risk_sql
 from staytide.schemas import HOUR_US
@@ -124,10 +125,7 @@ def balanced_accuracy(spark, sf):
     FROM a JOIN b USING (source)""",
 )
 def fold_metrics(spark, sf):
-    docs = _docs(spark, sf)
-    out = metrics.roc_auc(docs, ["source"], "score", "quality").join(
-        metrics.balanced_accuracy(docs, ["source"], "score", "quality", cut=900), "source"
-    )
+    out = metrics.fold_metrics(_docs(spark, sf), ["source"], "score", "quality", cut=900)
     return out.select(
         F.col("source").alias("fold"),
         "n_pos",
@@ -197,9 +195,18 @@ def smote_rows(spark, sf):
 # --- learners ----------------------------------------------------------------------------
 
 
+def _with_outcome(rows):
+    """A label that follows two features but for one row in twenty, and gaps in a third."""
+    high = F.col("quantity") + 10 * F.col("n_returned") > 110
+    flipped = F.col("o_orderkey") % 20 == 0
+    return rows.withColumns(
+        {"label": (high != flipped).cast("int"), "discount": F.when(F.col("o_orderkey") % 9 != 4, F.col("discount"))}
+    )
+
+
 def _training(spark, sf):
     """Orders with features and folds, written once: five models read it."""
-    rows = folds.stratified_folds(tables.order_features(spark, sf), "o_orderkey", "label")
+    rows = folds.stratified_folds(_with_outcome(tables.order_features(spark, sf)), "o_orderkey", "label")
     return materialize(rows, "training")
 
 
@@ -216,19 +223,21 @@ def _fold_auc(spark, sf, learner, **settings):
 
 
 def _banded(found, fold):
-    """What is certain of the metrics: the counts, and that the AUC is near a half, as the given labels follow no feature.
+    """What is certain of the metrics: the counts, and that the AUC is high, as the labels follow the features.
 
-    How many rounds, trees or steps a learner takes is its setting; folds and rows are whole.
+    A constant scorer has 0.5. How many rounds, trees or steps a learner takes is its setting; folds and rows are whole.
     """
-    near = F.col("auc").between(0.35, 0.65)
-    return found.select(big(fold).alias(fold), "n_pos", "n_neg", near.alias("auc_near_half"))
+    return found.select(big(fold).alias(fold), "n_pos", "n_neg", (F.col("auc") > 0.75).alias("auc_high"))
 
 
-_TRAINING_SQL = """
-    SELECT o_orderkey, o_custkey, CAST(o_orderstatus = 'F' AS BIGINT) AS label,
-           (row_number() OVER (PARTITION BY o_orderstatus = 'F' ORDER BY md5(concat(o_orderkey, '|42')), o_orderkey) - 1) % 5 AS fold
-    FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
-_COUNTS_SQL = "COUNT(*) FILTER (WHERE label = 1) AS n_pos, COUNT(*) FILTER (WHERE label = 0) AS n_neg, TRUE AS auc_near_half"
+_OUTCOME_SQL = """
+    SELECT o_orderkey, o_custkey, CAST((q + 10 * r > 110) <> (o_orderkey % 20 = 0) AS BIGINT) AS label
+    FROM orders JOIN (SELECT l_orderkey, SUM(l_quantity) AS q, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY l_orderkey)
+      ON o_orderkey = l_orderkey"""
+_TRAINING_SQL = f"""
+    SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(concat(o_orderkey, '|42')), o_orderkey) - 1) % 5 AS fold
+    FROM ({_OUTCOME_SQL})"""
+_COUNTS_SQL = "COUNT(*) FILTER (WHERE label = 1) AS n_pos, COUNT(*) FILTER (WHERE label = 0) AS n_neg, TRUE AS auc_high"
 _FOLD_AUC_SQL = f"SELECT fold, {_COUNTS_SQL} FROM ({_TRAINING_SQL}) GROUP BY fold"
 
 
@@ -247,23 +256,26 @@ def svc_fold_auc(spark, sf):
     return _fold_auc(spark, sf, "svc", maxIter=10)
 
 
+_SEARCH_ROUNDS = [1, 2, 3, 4, 5]
+
+
 @query(
     "grid_search",
-    """
-    SELECT learning_rate, rounds, 1 AS n_best, TRUE AS auc_near_half
-    FROM (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE]) AS learning_rate) CROSS JOIN (SELECT CAST(unnest([2, 4]) AS BIGINT) AS rounds)""",
+    f"""
+    SELECT CAST(o AS BIGINT) AS outer_fold, learning_rate, rounds, CAST(1 AS BIGINT) AS n_best, TRUE AS auc_high
+    FROM (SELECT unnest(range(0, 5)) AS o) CROSS JOIN (SELECT unnest({learners.SEARCH_GRID["learning_rate"]}::DOUBLE[]) AS learning_rate)
+    CROSS JOIN (SELECT CAST(unnest({_SEARCH_ROUNDS}) AS BIGINT) AS rounds)""",
 )
 def grid_search(spark, sf):
-    """Each setting once, and one of them the best."""
-    found = learners.grid_search(
-        _training(spark, sf), ORDER_FEATURES, "label", learning_rates=(0.1, 0.3), rounds=(2, 4)
-    )
-    n_best = found.agg(F.count_if("best")).scalar()
+    """All rates and five numbers of rounds within each outer fold, one of them the best there."""
+    found = search.nested_search(_training(spark, sf), ORDER_FEATURES, "label", rounds=_SEARCH_ROUNDS)
+    n_best = F.count_if("best").over(Window.partitionBy("outer"))
     return found.select(
+        big("outer").alias("outer_fold"),
         "learning_rate",
         big("rounds").alias("rounds"),
-        n_best.cast("int").alias("n_best"),
-        F.col("auc").between(0.35, 0.65).alias("auc_near_half"),
+        n_best.alias("n_best"),
+        (F.col("auc") > 0.7).alias("auc_high"),
     )
 
 
@@ -302,19 +314,19 @@ def external_evaluation(spark, sf):
 @query(
     "model_roundtrip",
     """
-    SELECT COUNT(*) AS n_rows, COUNT(*) AS n_same_0, COUNT(*) AS n_same_1
+    SELECT COUNT(*) AS n_rows, COUNT(*) AS n_same_0, COUNT(*) AS n_same_1, COUNT(*) AS n_same_2, COUNT(*) AS n_same_3, COUNT(*) AS n_same_4
     FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
 )
 def model_roundtrip(spark, sf):
     rows = _training(spark, sf)
-    models = learners.train_folds(rows, ORDER_FEATURES, "label", k=2, learner="forest", trees=5)
+    models = learners.train_folds(rows, ORDER_FEATURES, "label", learner="forest", trees=5)
     root = shared_dir(spark, "models")
     learners.save_models(models, root, "forest", 12, 18, 24)
-    loaded = learners.load_models(spark, root, "forest", 12, 18, 24, k=2)
+    loaded = learners.load_models(spark, root, "forest", 12, 18, 24)
     scored = learners.scorer(loaded, "loaded_")(learners.scorer(models, "kept_")(rows))
     return scored.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(F.col(f"kept_{i}") == F.col(f"loaded_{i}")).alias(f"n_same_{i}") for i in range(2)],
+        *[F.count_if(F.col(f"kept_{i}") == F.col(f"loaded_{i}")).alias(f"n_same_{i}") for i in range(5)],
     )
 
 
@@ -529,28 +541,45 @@ def optimal_target_report(spark, sf):
     return out.select("case_id", *[r6(c).alias(c) for c in numbers], "mortality")
 
 
-@query(
-    "model_targets",
-    """
-    SELECT stay_id AS case_id, CAST(stay_id % 3 = 0 AS BIGINT) AS mortality, TRUE AS in_grid, TRUE AS risks_known
-    FROM f_medians""",
-)
-def model_targets(spark, sf):
-    """Targets under trained models: five logistic models over both measures and a case attribute.
+_FINDS_SQL = """
+    SELECT stay_id AS case_id, CAST(stay_id % 3 = 0 AS BIGINT) AS mortality, TRUE AS found, TRUE AS risk_low
+    FROM f_medians"""
 
-    One row per case, its target inside the grid.
+
+def _trained_targets(spark, sf, outcome, inside, **learner):
+    """Report on all stays under models of a planted outcome, learned from orders as points of the grid.
+
+    `found`: the target lies where the outcome is rare. A constant scorer puts all targets in a corner.
     """
+    m1, m2 = (40 + F.col("o_custkey") * 7 % 111).cast("double"), (60 + F.col("o_orderkey") * 13 % 141).cast("double")
+    orders = tables.table(spark, sf, "orders").withColumns({"m1_valuenum": m1, "m2_valuenum": m2})
+    orders = orders.select("o_orderkey", "m1_valuenum", "m2_valuenum", (F.col("o_custkey") % 10).cast("double").alias("shift"))
+    rows = folds.stratified_folds(orders.withColumn("died", outcome.cast("int")), "o_orderkey", "died")
+    models = learners.train_folds(materialize(rows, "outcomes"), ["m1_valuenum", "m2_valuenum", "shift"], "died", **learner)
     cases = case_medians(spark, sf).withColumns(
         {"shift": (F.col("stay_id") % 10).cast("double"), "died": (F.col("stay_id") % 3 == 0).cast("int")}
     )
-    rows = materialize(folds.stratified_folds(cases, "stay_id", "died"), "cases")
-    models = learners.train_folds(
-        rows, ["m1_valuenum", "m2_valuenum", "shift"], "died", learner="logistic", maxIter=10
-    )
-    report = targets.target_report(rows, "stay_id", "died", learners.scorer(models), PREDS)
-    inside = F.col("optimal_hr").between(*targets.M1_GRID) & F.col("optimal_bp").between(*targets.M2_GRID)
-    risks = F.col("actual_risk").between(0, 1) & F.col("optimal_risk").between(0, 1)
-    return report.select("case_id", big("mortality").alias("mortality"), inside.alias("in_grid"), risks.alias("risks_known"))
+    cases = materialize(cases, "cases")
+    found = targets.model_targets(cases, "stay_id", models)
+    report = targets.target_report(cases, "stay_id", "died", learners.scorer(models), PREDS, targets=found)
+    return report.select("case_id", big("mortality").alias("mortality"), inside.alias("found"), (F.col("optimal_risk") < 0.5).alias("risk_low"))
+
+
+@query("model_targets", _FINDS_SQL)
+def model_targets(spark, sf):
+    """Targets under five logistic models of an outcome that falls as both measures rise."""
+    # one label in ten is turned: without that, coefficients grow until all low risks round to 0
+    outcome = (F.col("m1_valuenum") + F.col("m2_valuenum") < 220) != (F.col("o_orderkey") % 10 == 3)
+    inside = (F.col("optimal_hr") > 130) & (F.col("optimal_bp") > 175)
+    return _trained_targets(spark, sf, outcome, inside, learner="logistic", maxIter=10)
+
+
+@query("forest_targets", _FINDS_SQL)
+def forest_targets(spark, sf):
+    """Targets under five forests of an outcome that is rare within a band of both measures."""
+    outcome = (F.abs(F.col("m1_valuenum") - 100) > 30) | (F.abs(F.col("m2_valuenum") - 140) > 40)
+    inside = F.col("optimal_hr").between(65, 135) & F.col("optimal_bp").between(95, 185)
+    return _trained_targets(spark, sf, outcome, inside, **_FOREST, learner="forest")
 
 
 # --- alerts, safe zones, adherence, matching ---------------------------------------------
@@ -613,7 +642,8 @@ def match_nearest(spark, sf):
 )
 def psm_match(spark, sf):
     """Every treated row has a pair."""
-    rows = tables.order_features(spark, sf).withColumn("treated", (F.col("quantity") > 100).cast("int"))
+    # written once: fills, scaler, learner and scoring all read it
+    rows = materialize(tables.order_features(spark, sf).withColumn("treated", (F.col("quantity") > 100).cast("int")), "treated")
     scored = materialize(matching.propensity(rows, ["n_lines", "discount", "tax"], "treated"), "propensity")
     pairs = matching.match_nearest(scored, "o_orderkey", "treated")
     found = matching.matched_outcomes(scored, pairs, "o_orderkey", "label")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from staytide.operators import folds, learners, matching, metrics, resample, targets
+from staytide.operators import folds, learners, matching, metrics, resample, search, targets
 from staytide.session import materialize, shared_dir
 
 FEATURES = ["a", "b", "c"]
@@ -58,12 +59,43 @@ def test_predictions_and_saved_models(spark, planted):
     assert both.filter("l0 <> m0 OR l1 <> m1").count() == 0
 
 
-def test_search_finds_the_better_setting(planted):
-    table = learners.grid_search(planted, FEATURES, "y", learning_rates=(0.001, 0.5), rounds=(1, 10))
+def test_stages_equal_separate_fits(spark, planted):
+    """A run read off after 2 and 5 of its 5 rounds scores as models of 2 and 5 rounds do, gaps included."""
+    rows = planted.withColumns({"_weight": F.lit(1.0), "a": F.when(F.col("id") % 7 != 3, F.col("a"))}).filter("fold < 3")
+    raw = rows.select(*FEATURES, F.col("fold").cast("int"), F.col("y").alias("label"))
+    settings = {"learning_rate": 0.3, "min_child": 3}
+    longest = search.staged(learners.fit("boosted", rows, FEATURES, "y", rounds=5, **settings), FEATURES, [2, 5], spark)
+    got = longest.probabilities(np.array([[np.nan if x is None else x for x in r[: len(FEATURES)]] for r in raw.collect()], float))
+    for i, n in enumerate((2, 5)):
+        model = learners.fit("boosted", rows, FEATURES, "y", rounds=n, **settings)
+        want = [r.score for r in learners.predict(model, rows).select("score").collect()]
+        assert np.allclose(got[:, i], want, atol=1e-12)
+
+
+def test_search_within_each_outer_fold(planted):
+    table = search.nested_search(planted, FEATURES, "y", learning_rates=(0.001, 0.5), rounds=(10, 1), k=3)
     got = table.collect()
-    assert len(got) == 4 and sum(r.best for r in got) == 1
-    best = next(r for r in got if r.best)
-    assert best.auc == max(r.auc for r in got) and best.rounds == 10
+    assert sorted((r.outer, r.learning_rate, r.rounds) for r in got) == [(o, r, n) for o in range(3) for r in (0.001, 0.5) for n in (1, 10)]
+    for outer in range(3):
+        own = [r for r in got if r.outer == outer]
+        best = [r for r in own if r.best]
+        assert len(best) == 1 and best[0].auc == max(r.auc for r in own) and best[0].rounds == 10
+    # by hand: outer fold 0 at rate 0.5 with 10 rounds
+    aucs = []
+    for inner in (1, 2):
+        train = planted.filter(~F.col("fold").isin(0, inner)).withColumn("_weight", F.lit(1.0))
+        model = learners.fit("boosted", train, FEATURES, "y", learning_rate=0.5, rounds=10)
+        aucs.append(metrics.roc_auc(learners.predict(model, planted.filter(F.col("fold") == inner)), [], "score", "y").first().auc)
+    mine = next(r.auc for r in got if (r.outer, r.learning_rate, r.rounds) == (0, 0.5, 10))
+    assert abs(mine - sum(aucs) / 2) < 1e-9
+
+
+def test_rows_without_a_score(spark):
+    """They are left out of both rates, by the curve and by the balanced accuracy."""
+    rows = [(0.2, 1), (0.9, 1), (None, 1), (float("nan"), 1), (0.1, 0), (0.95, 0), (float("nan"), 0)]
+    df = spark.createDataFrame(rows, "score double, y int")
+    assert {r.threshold: (r.fpr, r.tpr) for r in metrics.roc_curve(df, [], "score", "y").collect()}[0.9] == (0.5, 0.5)
+    assert metrics.balanced_accuracy(df, [], "score", "y").first()[0] == 0.5
 
 
 def test_resampling_inside_the_training_fold(spark, planted):
