@@ -3,8 +3,8 @@
 A document's shingles (five words) are labelled with their occurrence, so that the second equal shingle differs
 from the first. A sketch takes the few labelled shingles of smallest hash and keeps them in the order of the text; documents
 with many shingles in the same order agree in many sketches. All documents that share a sketch are compared, if enough
-of their sketches agree: pair by pair in a small bucket; a large one is split by a second sketch and its blocks meet
-block by block, which sends counts of links, never the pairs. A pair belongs to the first sketches in which it agrees, so it counts once.
+of their sketches agree: pair by pair in a small bucket; in a large one blocks meet block by block, which sends counts of links, never the pairs,
+and a very large one is split by a second sketch before. A pair belongs to the first sketches in which it agrees, so it counts once.
 A pair is a link if the alignment of the two shingle sequences, within the band that the threshold allows, matches at least
 0.8 of all shingles: matched / (n_a + n_b - matched).
 
@@ -36,9 +36,10 @@ SKETCH_SIZE = 2
 # Sketches of two documents that must agree before they are compared: at similarity 0.8 about
 # 0.64 of them agree, so fewer than two of twelve do once in 10,000 times.
 SHARED_SKETCHES = 2
-# Members of a bucket up to which its pairs are rows; what a block of a larger one holds at most on average.
-PAIR_MEMBERS = 12
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 300_000
+# Members of a bucket up to which its pairs are rows, and up to which it is not split by a second sketch; what a block
+# of a larger one holds at most on average.
+PAIR_MEMBERS, SPLIT_MEMBERS = 12, 8192
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
 # Shingles that the documents sent to one task hold, about.
 TASK_SHINGLES = 3_000_000
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
@@ -116,10 +117,10 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """doc_id, k, value, size of the documents that meet another one in enough buckets."""
-    slim = classes.select("doc_id", F.posexplode("sketches").alias("k", "value"))
-    sizes = slim.groupBy("k", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = materialize(slim.join(sizes, ["k", "value"]), "met")
+    """doc_id, k, value, and size and held (members and their shingles) of the bucket, of documents that meet another one in enough buckets."""
+    slim = classes.select("doc_id", "n_shingles", F.posexplode("sketches").alias("k", "value"))
+    sizes = slim.groupBy("k", "value").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("held")).filter("size > 1")
+    met = materialize(slim.drop("n_shingles").join(sizes, ["k", "value"]), "met")
     enough = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED_SKETCHES)
     return met.join(enough.hint("merge"), "doc_id", "left_semi")
 
@@ -141,15 +142,21 @@ def small_pairs(met: DataFrame, classes: DataFrame, similarity: float = SIMILARI
 def block_cells(met: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The large buckets as cells of two blocks: cell, side (0: a block with itself), doc_id, k, second, n_shingles, sketches.
 
-    A bucket is split by each later sketch, so a cell's pairs are those that first agree in `k` and next in
-    `second`. Documents without such a pair in the cell are left out.
+    A cell's pairs are those that first agree in `k`. A bucket beyond SPLIT_MEMBERS is split by each later sketch, and a cell's
+    pairs next agree in `second` (-1: not split). Documents without such a pair in the cell are left out, so that
+    a document is sent once per bucket and block, and its text only to where it has company.
     """
-    large = met.filter(F.col("size") > PAIR_MEMBERS).select("doc_id", "k", "value").join(classes, "doc_id")
-    joined = large.select("doc_id", "n_shingles", "k", "value", F.posexplode("sketches").alias("second", "next")).filter("second > k")
+    large = met.filter(F.col("size") > PAIR_MEMBERS)
+    whole = large.filter(F.col("size") <= SPLIT_MEMBERS).select(
+        "doc_id", "k", "value", F.lit(-1).alias("second"), F.lit(0).cast("bigint").alias("next"), "size", "held"
+    )
+    huge = large.filter(F.col("size") > SPLIT_MEMBERS).select("doc_id", "k", "value").join(classes, "doc_id")
+    joined = huge.select("doc_id", "n_shingles", "k", "value", F.posexplode("sketches").alias("second", "next")).filter("second > k")
     by = ["k", "value", "second", "next"]
     sizes = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("held")).filter("size > 1")
+    split = whole.unionByName(joined.drop("n_shingles").join(sizes, by).select(*whole.columns))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
-    split = joined.join(sizes, by).withColumn("blocks", F.least(blocks, F.col("size").cast("int")))
+    split = split.withColumn("blocks", F.least(blocks, F.col("size").cast("int")))
     split = split.withColumn("own", F.pmod(F.xxhash64("doc_id", *by), F.col("blocks")).cast("int"))
     met_by = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = met_by.select(
@@ -214,7 +221,10 @@ class _Cell:
             begin = self._crossed or i + 1
             equal = self._sketches[begin:] == self._sketches[i]
             sizes = self.n[begin:]
-            fit = equal[:, k] & equal[:, second] & (equal[:, : second].sum(1) == 1)
+            if second < 0:
+                fit = equal[:, k] & ~equal[:, :k].any(1) & (equal.sum(1) >= SHARED_SKETCHES)
+            else:
+                fit = equal[:, k] & equal[:, second] & (equal[:, :second].sum(1) == 1)
             fit &= np.minimum(sizes, self.n[i]) >= self._similarity * np.maximum(sizes, self.n[i])
             found = np.flatnonzero(fit)
             if len(found):
@@ -399,9 +409,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near-duplicates: the first of each group, one row of it, and rows with a NULL id."""
-    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("_kept"))
-    # the window goes by the join's key, so texts are shuffled once; NULL ids stay out of it, and apart
-    joined = docs.filter(F.col("doc_id").isNotNull()).join(kept.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_kept"))
-    place = F.row_number().over(Window.partitionBy("_kept").orderBy(F.xxhash64("text")))
-    first = joined.withColumn("_place", place).filter("_place = 1").select(*docs.columns)
+    kept = near_duplicates(docs, similarity).filter("kept").select("doc_id")
+    # the user's columns as one struct, so none can clash; the window goes by the join's key, so texts are shuffled once
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    joined = rows.filter(F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))
+    first = joined.withColumn("place", place).filter("place = 1").select("row.*")
     return first.unionByName(docs.filter(F.col("doc_id").isNull()))

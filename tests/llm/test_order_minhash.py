@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from staytide.llm import order_minhash as om
 from staytide.llm.components import components
 
@@ -141,7 +143,9 @@ def _links(docs):
     return links
 
 
-def test_links_of_a_large_group(spark):
+@pytest.mark.parametrize("split", [8192, 30])
+def test_links_of_a_large_group(spark, monkeypatch, split):
+    monkeypatch.setattr(om, "SPLIT_MEMBERS", split)
     rng = random.Random(3)
     base = [f"t{i}" for i in range(200)]
     docs = []
@@ -156,7 +160,9 @@ def test_links_of_a_large_group(spark):
     assert wrong <= 0.001 * sum(want.values())
 
 
-def test_links_of_texts_that_share_a_passage(spark, monkeypatch):
+@pytest.mark.parametrize("split", [8192, 30])
+def test_links_of_texts_that_share_a_passage(spark, monkeypatch, split):
+    monkeypatch.setattr(om, "SPLIT_MEMBERS", split)
     # blocks of a few rows, so that cells of two blocks are met too
     monkeypatch.setattr(om, "BLOCK_ROWS", 40)
     rng = random.Random(8)
