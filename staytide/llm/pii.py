@@ -69,6 +69,9 @@ NEEDS = {
 CHECKSUM_WEIGHT, CONTEXT_WEIGHT, THRESHOLD = 0.7, 0.4, 0.6
 CONTEXT_REACH = 40
 
+# Matches that a fold appends before it passes them on.
+FOLD_BLOCK = 200
+
 SPAN = "struct<start:int,kind:int,stop:int,hit:string>"
 
 
@@ -76,19 +79,32 @@ def _quoted(regex: str) -> str:
     return "r'" + regex.replace("'", r"\x27") + "'"
 
 
+def _in_blocks(items: str, start: str, inner: str, step: str, joined: str, given: str = "''") -> str:
+    """SQL for a fold over an array that appends to `out`: block by block, as each append copies what its own block has gathered so far.
+
+    `start` and `inner` are states with `at` and `out`; a block begins with `inner`, which knows the outer state as `w`, and
+    `joined` is the outer `out` after the block's state `r`; `given` is worked out once a block, and is `q` in a step. A lambda over
+    an array of one value names that value.
+    """
+    block = f"transform(array({given}), q -> aggregate(slice(z, b * {FOLD_BLOCK} + 1, {FOLD_BLOCK}), {inner}, {step}))[0]"
+    whole = f"transform(array({block}), r -> named_struct('at', r.at, 'out', {joined}))[0]"
+    return f"transform(array({items}), z -> aggregate(sequence(0, size(z) div {FOLD_BLOCK}), {start}, (w, b) -> {whole}))[0]"
+
+
 def _matches(text: str, kind: str, regex: str) -> str:
     """SQL for the array of spans: the gaps between matches and the matches, laid end to end."""
     number = KINDS.index(kind)
     hits = f"regexp_extract_all({text}, {_quoted(regex)}, 0)"
     gaps = f"split({text}, {_quoted(regex)}, -1)"
-    walk = (
-        f"aggregate(zip_with({gaps}, {hits}, (g, h) -> named_struct('gap', g, 'hit', h)), "
-        f"named_struct('at', 0, 'out', cast(array() AS array<{SPAN}>)), "
+    pairs = f"zip_with({gaps}, {hits}, (g, h) -> named_struct('gap', g, 'hit', h))"
+    none = f"cast(array() AS array<{SPAN}>)"
+    step = (
         "(a, x) -> IF(x.hit IS NULL, a, named_struct("
         "'at', a.at + length(x.gap) + length(x.hit), "
         f"'out', concat(a.out, array(named_struct('start', a.at + length(x.gap), 'kind', {number}, "
-        "'stop', a.at + length(x.gap) + length(x.hit), 'hit', x.hit))))), a -> a.out)"
+        "'stop', a.at + length(x.gap) + length(x.hit), 'hit', x.hit)))))"
     )
+    walk = _in_blocks(pairs, f"named_struct('at', 0, 'out', {none})", f"named_struct('at', w.at, 'out', {none})", step, "concat(w.out, r.out)") + ".out"
     return f"CASE WHEN {NEEDS[kind].format(t=text)} THEN {walk} ELSE cast(array() AS array<{SPAN}>) END"
 
 
@@ -150,9 +166,18 @@ def count_of(kind: str, spans: str = "p_base") -> Column:
 def redacted(spans: str = "p_spans", text: str = "p_text") -> Column:
     """The text with each run of overlapping spans replaced by the kind of its first one, as [EMAIL]."""
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    return F.expr(
-        f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, x) -> "
-        "IF(x.start < a.at, named_struct('at', greatest(a.at, x.stop), 'out', a.out), named_struct('at', x.stop, 'out', "
-        f"concat(a.out, array(substring({text}, a.at + 1, x.start - a.at), get({names}, x.kind))))), "
-        f"a -> concat(array_join(a.out, ''), substring({text}, a.at + 1)))"
+    none = "cast(array() AS array<string>)"
+    # places within the block's own stretch of the text, as a place is found by going through what lies before it
+    step = (
+        "(a, x) -> IF(x.start < a.at, named_struct('at', greatest(a.at, x.stop), 'out', a.out), named_struct('at', x.stop, 'out', "
+        f"concat(a.out, array(substring(q, a.at - w.at + 1, x.start - a.at), get({names}, x.kind)))))"
+    )
+    fold = _in_blocks(
+        spans,
+        f"named_struct('at', 0, 'out', {none})",
+        f"named_struct('at', w.at, 'out', {none})",
+        step,
+        "concat(w.out, array(array_join(r.out, '')))",
+        f"substring({text}, w.at + 1, array_max(transform(slice(z, b * {FOLD_BLOCK} + 1, {FOLD_BLOCK}), x -> x.stop)) - w.at)",
     )
+    return F.expr(f"transform(array({fold}), e -> concat(array_join(e.out, ''), substring({text}, e.at + 1)))[0]")

@@ -275,5 +275,6 @@ def keep(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
     The row number ties the filter to its place above the statistics, which are worked out once.
     """
-    judged = judge(docs, rules).withColumn("q_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("q_row") >= 0)).select(*docs.columns)
+    # the user's columns as one struct, so that none can clash with the statistics
+    judged = judge(docs.select("text", F.struct(*docs.columns).alias("row")), rules).withColumn("q_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("q_row") >= 0)).select("row.*")
