@@ -9,7 +9,7 @@ documents pass through until the last stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staytide.llm import mixing, order_minhash, packing, pii, quality
@@ -28,11 +28,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return order_minhash.keep_first(docs)
 
 
+def _row(docs: DataFrame) -> Column:
+    """The given columns as one struct, so that no working column can clash with them."""
+    return F.struct(*docs.columns).alias("row")
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind; n_chars follows."""
-    clean = pii.find_spans(docs).withColumn("p_clean", pii.redacted())
-    new = {"text": F.col("p_clean"), "n_chars": F.length("p_clean").cast(dict(docs.dtypes).get("n_chars", "int"))}
-    return clean.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    clean = pii.find_spans(docs.select("text", _row(docs))).select("row", pii.redacted().alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(dict(docs.dtypes).get("n_chars", "int"))}
+    return clean.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +49,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = (
         taken.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0))
         .groupBy("doc_id")
-        .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times"))
+        .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("times"))
     )
-    copies = docs.join(times.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    n = F.when(F.col("doc_id").isNull(), 1).otherwise(F.coalesce("_times", F.lit(0)))
-    return copies.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    copies = docs.select("doc_id", _row(docs)).join(times, "doc_id", "left")
+    n = F.when(F.col("doc_id").isNull(), 1).otherwise(F.coalesce("times", F.lit(0)))
+    return copies.select("row", F.explode(F.array_repeat(F.lit(1), n))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
