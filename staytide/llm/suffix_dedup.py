@@ -14,8 +14,9 @@ strings hold the same one at the same place. So
 
 Nothing is compared by hash alone but the choice of grams. Identical snippets of a part travel once.
 
-Defined results: NULL text is empty; a NULL id sorts behind all others; rows that share an id count as one
-document, so repeated rows are not copies of each other. Other columns are not read.
+Defined results: NULL text is empty; a NULL id sorts behind all others. Repeated rows are one document, so they are not
+copies of each other. Rows that share an id, or have none, but differ in text are documents of their own, which follow each other
+in the order of a digest of the text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staytide.llm.textarrays import BYTE_CODE, U64, column, mix64, pack_planes, parts, powers, text_bytes, unpack_planes
+from staytide.operators.prefix import row_ranks
 from staytide.session import materialize
 
 WINDOW = 100
@@ -40,6 +42,8 @@ _PLACE_BITS = 24
 PART_BYTES = 3 << 20
 GRAMS_PER_BUCKET = 1_000_000
 BYTES_PER_SHARD = 2 << 20
+# Ranges of ids that are ranked apart.
+ID_CHUNKS = 4096
 
 
 def words_at(flat: np.ndarray) -> np.ndarray:
@@ -409,9 +413,29 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, from, to): stretches of bytes that windows with an earlier twin cover. They may overlap."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key and text: a key per document, in their order. It is the id itself where each id has one text."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    slim = texts.select("doc_id", digest.alias("digest"))
+    shared = slim.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low != high")
+    if shared.isEmpty():
+        return texts.select("doc_id", F.coalesce("doc_id", F.lit(int(_LAST_ID))).alias("key"), "text")
+    ids = materialize(slim.distinct(), "suffix-ids")
+    ends = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    width = ((ends["high"] or 0) - (ends["low"] or 0)) // ID_CHUNKS + 1
+    # those without an id come last, in the order of their digests
+    apart = F.lit(ID_CHUNKS) + F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")
+    chunk = F.coalesce(F.floor((F.col("doc_id") - (ends["low"] or 0)) / width).cast("int"), apart)
+    numbered = row_ranks(ids.withColumn("chunk", chunk), [], "chunk", [F.col("doc_id").asc_nulls_last(), "digest"], "key")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (digest == F.col("digest"))
+    keys = numbered.select(F.col("doc_id").alias("of_id"), "digest", "key")
+    return materialize(texts.join(keys, same).select("doc_id", "key", "text"), "suffix-texts")
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """(id, from, to): stretches of bytes, by the document's key, that windows with an earlier twin cover. They may overlap."""
+    texts = rows.select(F.col("key").alias("doc_id"), "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = int(2 * size / (GRAMS_PER_WINDOW + 1) / GRAMS_PER_BUCKET) + 1
     grams = texts.mapInArrow(_grams(buckets), GRAM_SCHEMA)
@@ -420,16 +444,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     per_doc = materialize(per_doc, "gram-runs")
     around = per_doc.agg(F.sum(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + WINDOW)).alias("n")).first()["n"]
     shards = int((around or 0) / BYTES_PER_SHARD) + 1
-    held = texts.join(per_doc, F.coalesce("doc_id", F.lit(int(_LAST_ID))) == F.col("id")).select("doc_id", "text", "runs")
+    held = texts.join(per_doc, F.col("doc_id") == F.col("id")).select("doc_id", "text", "runs")
     snippets = held.mapInArrow(_snippets(shards), SNIPPET_SCHEMA)
     return snippets.groupBy("shard").applyInArrow(_shard_repeats, "id bigint, from bigint, to bigint")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    spans = repeated_spans(docs).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = keyed(docs)
+    spans = repeated_spans(rows).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     none = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    joined = texts.join(spans, F.coalesce("doc_id", F.lit(int(_LAST_ID))) == F.col("id"), "left")
+    joined = rows.join(spans, F.col("key") == F.col("id"), "left")
     joined = joined.select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
     return joined.mapInArrow(_drop, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

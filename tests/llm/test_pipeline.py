@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
@@ -46,3 +48,17 @@ def test_run_and_edges(spark, tmp_path):
     assert {r.doc_id for r in out} <= {1, 3, None} and out
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     assert cp.run(spark, folder).count() == 0
+
+
+NAMES = ["q_text", "q_words", "kept", "_kept", "place", "row", "p_text", "p_base", "clean", "_id", "_copy", "times", "m_rank", "size", "col"]
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES[:-1])
+def test_columns_of_any_name_pass_through(spark, sf, name, stage):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + " a@b.cd", "en", "s", 5) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in NAMES})
+    out = stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c} of {r.doc_id}" for r in got for c in NAMES)

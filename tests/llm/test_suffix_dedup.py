@@ -79,3 +79,19 @@ def test_edges(spark):
 def test_whole_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert result(df) == brute([tuple(r) for r in df.collect()])
+
+
+def test_rows_that_share_an_id(spark):
+    """Shared ids and several NULL ids with texts of different lengths: each row is judged as a document of its own."""
+    rng = np.random.default_rng(9)
+    words = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = words(300)
+    texts = [(7, words(500) + passage), (7, passage + words(20)), (7, "short"), (None, passage), (None, words(150)), (None, None), (None, words(80) + passage), (3, passage), (3, passage), (9, "")]
+    texts += [(None, words(200) + passage[:150]) for _ in range(30)]
+    df = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, key int").repartition(4)
+    order = sorted(set(texts), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    want = brute([(i, t) for i, (_, t) in enumerate(order)])
+    by_row = {r: want[i] for i, r in enumerate(order)}
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.without_repeats(df).collect())
+    assert got == sorted((t[0] or -1, *by_row[t]) for t in texts)
+    assert sum(r[2] for r in got) > 1000
