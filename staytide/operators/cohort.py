@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staytide.functions.clock import window_test
+from staytide.operators import panes
 from staytide.operators.quantiles import group_medians
 
 
@@ -82,35 +83,6 @@ def window_starts(moments: Sequence[int], lengths: Sequence[int]) -> list[tuple[
     return [(w, m) for w in lengths for m in moments if m >= w]
 
 
-def in_each_window(
-    df: DataFrame, offset: str, windows: Sequence[tuple[int, int]], unit: int
-) -> DataFrame:
-    """Repeats an event for every (PW, MOP) window that holds it, as columns pw and mop.
-
-    The windows are a literal array, so this is one narrow step over the events.
-    """
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(w).alias("pw"),
-                F.lit(m).alias("mop"),
-                F.lit((m - w) * unit).cast("bigint").alias("lo"),
-                F.lit(m * unit).cast("bigint").alias("hi"),
-            )
-            for w, m in windows
-        ]
-    )
-    first = min((m - w) * unit for w, m in windows)
-    last = max(m * unit for _, m in windows)
-    return (
-        df.filter(window_test(offset, first, last))
-        .withColumn(
-            "_w", F.explode(F.filter(options, lambda o: window_test(F.col(offset), o["lo"], o["hi"])))
-        )
-        .select(*df.columns, "_w.pw", "_w.mop")
-    )
-
-
 def sweep(
     m1: DataFrame,
     m2: DataFrame,
@@ -125,16 +97,15 @@ def sweep(
     """Cohorts of all windows and outcome spans in one plan: (keys, pw, mop, ow, medians, label).
 
     `labels` maps an outcome span to its 0/1 column on the events of m1; the label of a stay
-    is the highest one within the window.
+    is the highest one within the window. Events are shuffled as counts per pane, once for all windows.
     """
-    by = [*keys, "pw", "mop"]
-    events = side_by_side(
-        m1.select(*keys, offset, value, *labels.values()), m2.select(*keys, offset, value), value
-    )
-    placed = in_each_window(events, offset, window_starts(moments, lengths), unit)
-    spec = {"m1_valuenum": "median", "m2_valuenum": "median", **{c: "max" for c in labels.values()}}
-    rows = collapse(placed, by, spec, order=[offset]).dropna(subset=["m1_valuenum", "m2_valuenum"])
+    named = window_starts(moments, lengths)
+    windows = [((m - w) * unit, m * unit) for w, m in named]
+    events = side_by_side(m1.select(*keys, offset, value), m2.select(*keys, offset, value), value)
+    measures = ["m1_valuenum", "m2_valuenum"]
+    medians = panes.window_medians(events, keys, measures, offset, windows).dropna(subset=measures)
+    highest = panes.window_maxima(m1, keys, list(labels.values()), offset, windows)
+    names = F.array(*[F.struct(F.lit(w).alias("pw"), F.lit(m).alias("mop")) for w, m in named])
     outcomes = F.array(*[F.struct(F.lit(h).alias("ow"), F.col(c).alias("label")) for h, c in labels.items()])
-    return rows.withColumn("_o", F.explode(outcomes)).select(
-        *by, "_o.ow", "m1_valuenum", "m2_valuenum", "_o.label"
-    )
+    rows = medians.join(highest, [*keys, "window"]).withColumn("_w", names[F.col("window")]).withColumn("_o", F.explode(outcomes))
+    return rows.select(*keys, "_w.pw", "_w.mop", "_o.ow", *measures, "_o.label")
