@@ -14,6 +14,7 @@ from staytide.session import materialize, shared_dir
 from staytide.sources import tables
 from staytide.sources.tables import ORDER_FEATURES, PREDS, surface
 from staytide.streaming import alerts as A
+from staytide.streaming import episodes as E
 from staytide.streaming.ensemble import latest_moment
 
 # --- folds -------------------------------------------------------------------------------
@@ -716,3 +717,49 @@ def deviation_alerts_stream(spark, sf):
         events, _alert_targets(spark, sf), "stay_id", "ts", "value", "target", "1 day", 40, delay="1 hour"
     )
     return _alert_columns(A.drain(out, "alerts"), F.unix_micros)
+
+
+_EPISODE_DAYS = 2
+_EPISODE_SQL = f"""
+    WITH mark AS (SELECT epoch_us(date_trunc('millisecond', MAX(ts))) - 3600000000 AS us FROM events WHERE event_type = 'view' AND value <= 300),
+    w AS (SELECT user_id AS stay_id, epoch_us(date_trunc('day', ts)) AS s, AVG(value) - (70 + user_id % 10) AS dev
+          FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'view' AND value <= 300 GROUP BY user_id, date_trunc('day', ts)),
+    seen AS (SELECT *, s + 86400000000 AS e, abs(dev) > 40 AS bad FROM w WHERE s + 86400000000 <= (SELECT us FROM mark)),
+    placed AS (SELECT *, lead(s) OVER o AS next_s,
+                 bad AND (lag(bad) OVER o IS NOT TRUE OR s - lag(e) OVER o > {_EPISODE_DAYS} * 86400000000) AS fresh
+               FROM seen WINDOW o AS (PARTITION BY stay_id ORDER BY s)),
+    runs AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY stay_id ORDER BY s) AS run FROM placed),
+    told AS (SELECT stay_id, min(s) AS start_us, max(e) AS end_us, count(*) AS n_windows, arg_max(dev, abs(dev)) AS peak, arg_max(next_s, s) AS last_next, max(CASE WHEN next_s IS NULL THEN 1 ELSE 0 END) AS open
+             FROM runs WHERE bad GROUP BY stay_id, run)
+    SELECT stay_id, CAST(start_us AS BIGINT) AS start_us, CAST(end_us AS BIGINT) AS end_us, CAST(n_windows AS BIGINT) AS n_windows, ROUND(peak, 6) AS peak,
+           CASE WHEN open = 0 AND last_next - end_us <= {_EPISODE_DAYS} * 86400000000 THEN 'return' ELSE 'silence' END AS reason
+    FROM told WHERE n_windows >= 2 AND (open = 0 OR end_us + {_EPISODE_DAYS} * 86400000000 < (SELECT max(e) FROM seen))"""
+
+
+def _judged(spark, sf, events, delay=None):
+    return E.judged_windows(events, _alert_targets(spark, sf), "stay_id", "ts", "value", "target", "1 day", 40, delay)
+
+
+def _episode_columns(df):
+    return df.select("stay_id", "start_us", "end_us", big("n_windows").alias("n_windows"), r6("peak").alias("peak"), "reason")
+
+
+@query("alert_episodes", _EPISODE_SQL)
+def alert_episodes(spark, sf):
+    """Episodes of two deviating days or more that have closed by the last day but for the delay."""
+    events = tables.m1_events(spark, sf).withColumn("ts", clock.instant("ts"))
+    windows = materialize(_judged(spark, sf, events), "alert-windows")
+    watermark = events.agg(F.max(F.unix_micros(F.date_trunc("millisecond", "ts"))) - HOUR_US).first()[0]
+    now = E.last_end(windows, watermark or 0)
+    return _episode_columns(E.episodes(windows, "stay_id", 2, _EPISODE_DAYS * 24 * HOUR_US, now))
+
+
+@query("alert_episodes_stream", _EPISODE_SQL)
+def alert_episodes_stream(spark, sf):
+    """The same episodes, told by a stream as they close."""
+    stream = A.event_stream(spark, sf, tables.table(spark, sf, "events").schema, files="events*.parquet")
+    events = stream.filter((F.col("event_type") == "view") & (F.col("value") <= 300)).select(
+        F.col("user_id").alias("stay_id"), clock.instant("ts").alias("ts"), "value"
+    )
+    found = E.follow_alerts(_judged(spark, sf, events, "1 hour"), "stay_id", 2, _EPISODE_DAYS * 24 * HOUR_US, shared_dir(spark, "alert-episodes"))
+    return _episode_columns(found)
