@@ -15,7 +15,7 @@ from staytide.sources import tables
 from staytide.sources.tables import ORDER_FEATURES, PREDS, surface
 from staytide.streaming import alerts as A
 from staytide.streaming import episodes as E
-from staytide.streaming.ensemble import latest_moment
+from staytide.streaming.ensemble import ensemble_scores, latest_moment
 
 # --- folds -------------------------------------------------------------------------------
 
@@ -666,6 +666,27 @@ def asof_cohort(spark, sf):
     return m1.select("event_id", big(F.coalesce(moment, F.lit(-1))).alias("mop"))
 
 
+@query(
+    "temporal_ensemble",
+    f"""
+    WITH c AS (SELECT event_id, stay_id % 2 AS site, off_us, value FROM f_off1),
+    m AS (SELECT site, mop, mop * {HOUR_US}::BIGINT AS at_us, AVG(value) AS mean, stddev_pop(value) AS dev
+          FROM c JOIN (SELECT unnest({_MOMENTS[1:]}) AS mop) ON off_us < mop * {HOUR_US}::BIGINT GROUP BY site, mop HAVING stddev_pop(value) > 0)
+    SELECT event_id, CAST(coalesce(m.mop, -1) AS BIGINT) AS mop, ROUND(1 / (1 + exp(-((value - mean) / dev))), 6) AS pred_prob
+    FROM c ASOF LEFT JOIN m ON c.site = m.site AND c.off_us >= m.at_us""",
+)
+def temporal_ensemble(spark, sf):
+    """Each event scored by the model of its moment and site: one logistic model per moment, of what came before it."""
+    cases = _offsets(spark, sf)[0].select("event_id", (F.col("stay_id") % 2).alias("site"), "off_us", "value")
+    windows = [(0, m * HOUR_US) for m in _MOMENTS[1:]]
+    held = F.array(*[F.struct(F.lit(m).alias("mop"), F.lit(end).alias("end")) for m, (_, end) in zip(_MOMENTS[1:], windows)])
+    seen = cases.select("site", "value", F.inline(F.filter(held, lambda w: F.col("off_us") < w["end"])))
+    models = seen.groupBy("site", "mop").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("dev")).filter("dev > 0")
+    models = models.select("site", "mop", F.array(-F.col("mean") / F.col("dev"), 1 / F.col("dev")).alias("weights"))
+    scored = ensemble_scores(cases, models, ["site"], "off_us", "mop", ["value"], HOUR_US)
+    return scored.select("event_id", big(F.coalesce("mop", F.lit(-1))).alias("mop"), r6("pred_prob").alias("pred_prob"))
+
+
 _ALERT_SQL = """
     WITH w AS (SELECT stay_id, epoch_us(date_trunc('day', ts)) AS window_us, AVG(value) AS mean_value, COUNT(*) AS n_events
                FROM (SELECT user_id AS stay_id, ts, value FROM events WHERE event_type = 'view' AND value <= 300) GROUP BY ALL)
