@@ -651,6 +651,36 @@ def psm_match(spark, sf):
     return found.select("n_pairs", r6("treated_rate").alias("treated_rate"), F.col("control_rate").between(0, 1).alias("control_rate_known"))
 
 
+_CALIPER = 50.0
+
+
+@query(
+    "match_caliper",
+    f"""
+    SELECT COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS n_treated, COUNT(*) FILTER (WHERE o_orderstatus <> 'F') AS n_controls, CAST(0 AS BIGINT) AS n_twice,
+           CAST(0 AS BIGINT) AS n_wide, CAST(0 AS BIGINT) AS n_not_free, CAST(0 AS BIGINT) AS n_left, TRUE AS some
+    FROM orders""",
+)
+def match_caliper(spark, sf):
+    """Pairs without replacement: none twice, none too wide, of the two sides; and no treated row left with a free control within reach."""
+    orders = tables.table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("treated"), "o_totalprice"
+    )
+    pairs = materialize(matching.match_without_replacement(orders, "o_orderkey", "treated", _CALIPER, "o_totalprice"), "pairs")
+    used = pairs.select("o_orderkey").unionByName(pairs.select(F.col("control").alias("o_orderkey")))
+    free = orders.join(used, "o_orderkey", "left_anti")
+    near = matching.match_nearest(free, "o_orderkey", "treated", "o_totalprice").filter(F.col("gap") <= _CALIPER)
+    sides = orders.agg(
+        F.count_if(F.col("treated") == 1).alias("n_treated"), F.count_if(F.col("treated") == 0).alias("n_controls")
+    )
+    of = orders.select(F.col("o_orderkey").alias("control"), F.col("treated").alias("other"))
+    facts = pairs.join(orders.select("o_orderkey", "treated"), "o_orderkey").join(of, "control").agg(
+        F.count_if(F.col("gap") > _CALIPER).alias("n_wide"), F.count_if((F.col("treated") != 1) | (F.col("other") != 0)).alias("n_not_free"), (F.count(F.lit(1)) > 10).alias("some")
+    )
+    twice = used.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_twice"))
+    return sides.crossJoin(twice).crossJoin(facts).crossJoin(near.agg(F.count(F.lit(1)).alias("n_left")))
+
+
 _MOMENTS = [0, 18, 36, 72, 144, 288]
 
 
