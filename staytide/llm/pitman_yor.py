@@ -1,13 +1,14 @@
 """A hierarchical Pitman-Yor model of words, its seating sampled by Gibbs, and the scores of documents under it.
 
-Each context is a restaurant whose dishes are words; a context is the word before, hashed into `CONTEXTS` restaurants, so the
-rare ones share theirs. All of them have the unigram restaurant as parent, which has the even distribution over the
+Each context is a restaurant whose dishes are words; a context is the word before, hashed into restaurants whose number grows with
+the text, so that the rare ones share theirs. All of them have the unigram restaurant as parent, which has the even distribution over the
 training vocabulary and one unknown word as its base. A restaurant's customers are its words' occurrences; its
 tables are customers of the parent.
 
 The sampler takes all customers of one dish out of a restaurant and seats them anew, one by one, at an old table or a
-new one, given the tables of the last sweep elsewhere. Predictive probabilities are averaged over the sweeps
-after the burn-in.
+new one, given the tables of the last sweep elsewhere. A state is a seating of the contexts and, drawn for it, one of the
+parent; scores use that very draw, so the probabilities of all words and the unknown one sum to one. They are averaged over
+the states after the burn-in, which drops the start and a sweep.
 
 On Spark: occurrences (word, context, document) are dealt into buckets by word, those of hot words by word and context, as
 compressed columns. A bucket holds all that its words need; what buckets must know of each other is two vectors over the
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from staytide.llm.textarrays import U64, Words, column, mix64, pack_planes, parts, text_bytes, unpack_planes
 from staytide.session import materialize
 
-CONTEXTS = 1 << 17
-BURN_IN, SAMPLES = 1, 2
+# Bits of a restaurant's number, least and most, and the words of text that it has on average between these.
+CONTEXT_BITS, WORDS_PER_CONTEXT = (17, 26), 1024
+BURN_IN, SAMPLES = 2, 2
 TOKENS_PER_BUCKET = 4_000_000
 # Words of a larger share than this are hot, or than an eighth of a bucket.
 LEAST_HOT_SHARE = 1e-5
@@ -42,7 +44,13 @@ START = int(mix64(np.array([2], U64))[0])
 _CHUNK = 8192
 
 
-def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def context_bits(size: int) -> int:
+    """Bits of a context's number for so many bytes of text."""
+    least, most = CONTEXT_BITS
+    return min(max((size // 6 // WORDS_PER_CONTEXT).bit_length(), least), most)
+
+
+def tokens(part: pa.RecordBatch, bits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: hash of the word or the end, its context, its row; documents one after the other."""
     words = Words(*text_bytes(column(part, "text")))
     rows = part.num_rows
@@ -54,7 +62,7 @@ def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before[1:] = token[:-1]
     before[np.append(0, ends[:-1] + 1)] = START
     row = np.repeat(np.arange(rows), np.diff(words.first) + 1)
-    return token, (mix64(before) & U64(CONTEXTS - 1)).astype(np.int64), row
+    return token, (mix64(before) & U64((1 << bits) - 1)).astype(np.int64), row
 
 
 def _frequent(share: float):
@@ -78,26 +86,25 @@ def _frequent(share: float):
 OCCURRENCES = "bucket bigint, part bigint, n int, n_words int, words binary, sizes binary, contexts binary, rows binary, times binary"
 
 
-def _deal(buckets: int, hot: np.ndarray):
+def _deal(buckets: int, hot: np.ndarray, context_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         number = context.partitionId() << 24 if context else 0
         for k, part in enumerate(parts(batches, "text")):
-            token, before, row = tokens(part)
+            token, before, row = tokens(part, context_bits)
             train = column(part, "train").to_numpy(zero_copy_only=False)
             row = row * 2 + train[row]  # the last bit says whether the row trains
             word, code = np.unique(token, return_inverse=True)
             # one number per occurrence, whose order is that of word, context and row
             row_bits = (2 * part.num_rows).bit_length()
-            context_bits = CONTEXTS.bit_length() - 1
             packed = np.sort((code.astype(np.int64) << (context_bits + row_bits)) | (before << row_bits) | row)
             fresh = np.append(True, packed[1:] != packed[:-1])
             times = np.diff(np.append(np.flatnonzero(fresh), len(packed)))
             packed = packed[fresh]
             row = packed & ((1 << row_bits) - 1)
-            before = (packed >> row_bits) & (CONTEXTS - 1)
+            before = (packed >> row_bits) & ((1 << context_bits) - 1)
             code = packed >> (context_bits + row_bits)
             own = word[code]
             is_hot = np.isin(word, hot)[code]
@@ -159,14 +166,14 @@ def _bucket(table: pa.Table) -> pa.Table:
     times = np.concatenate([unpack_planes(x[6], x[0], np.uint32) for x in each])
     part = np.repeat(np.arange(len(each)), got["n"])
     words, code = np.unique(word, return_inverse=True)
-    pair = code.astype(np.int64) * CONTEXTS + before
+    pair = (code.astype(np.int64) << CONTEXT_BITS[1]) + before
     order = np.argsort(pair, kind="stable")
     pair = pair[order]
     first = np.append(True, pair[1:] != pair[:-1])
     at = np.flatnonzero(first)
     trains = row[order] & 1
     counts = np.add.reduceat(times[order].astype(np.int64) * trains, at)
-    owner = (pair[at] // CONTEXTS).astype(np.int64)
+    owner = pair[at] >> CONTEXT_BITS[1]
     values = (
         bucket,
         len(words),
@@ -174,7 +181,7 @@ def _bucket(table: pa.Table) -> pa.Table:
         len(pair),
         pack_planes(words),
         pack_planes(np.bincount(owner, minlength=len(words)).astype(np.uint32)),
-        pack_planes((pair[at] % CONTEXTS).astype(np.uint32)),
+        pack_planes((pair[at] & ((1 << CONTEXT_BITS[1]) - 1)).astype(np.uint32)),
         pack_planes(counts.astype(np.uint32)),
         pack_planes(np.diff(np.append(at, len(pair))).astype(np.uint32)),
         np.array(got["part"], np.int64).tobytes(),
@@ -187,25 +194,35 @@ def _bucket(table: pa.Table) -> pa.Table:
 
 @dataclass
 class State:
-    """What a sweep needs to know of all buckets: of the sweep before, and of the counts."""
+    """What buckets must know of each other's seating: tables by context, and the parent's customers and tables."""
 
     context_tables: np.ndarray
     tables: int  # of all contexts: the customers of the unigram restaurant
     parent_tables: int
     hot_tables: np.ndarray
+    hot_parent: np.ndarray  # the hot words' tables in the parent
 
 
 @dataclass
 class Model:
     buckets: int
     hot: np.ndarray
+    contexts: int
     discounts: tuple[float, float] = (0.8, 0.8)
     vocabulary: int = 0
     train_tokens: int = 0
-    context_counts: np.ndarray = field(default_factory=lambda: np.zeros(CONTEXTS, np.int64))
+    context_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     hot_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     states: list[State] = field(default_factory=list)
 
+    def parent_seating(self, customers: np.ndarray, k: int, seed: list[int]) -> np.ndarray:
+        """Tables of the parent for the words' customers in state k: one per word at the start, else a draw given the state before."""
+        if k == 0:
+            return (customers > 0).astype(np.int64)
+        before = max(self.states[k - 1].parent_tables, 1)
+        opening = (CONCENTRATION[0] + self.discounts[0] * before) / (self.vocabulary + 1)
+        return seat(customers, np.full(len(customers), opening), self.discounts[0], np.random.default_rng([k, *seed]))
+
 
 def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that the customers of one dish take, one restaurant per entry, seated one by one.
@@ -257,22 +274,22 @@ class Bucket:
     def of_words(self, per_pair: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, per_pair, len(self.words)).astype(np.int64)
 
+    def parent_tables(self, word_tables: np.ndarray, k: int) -> np.ndarray:
+        """Of the bucket's cold words in state k."""
+        cold = ~self.is_hot
+        parent = np.zeros(len(self.words), np.int64)
+        parent[cold] = self.model.parent_seating(word_tables[cold], k, [1, self.bucket])
+        return parent
+
     def sweeps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Tables per pair, customers and tables of each word in the parent, after each known state."""
+        """Tables per pair, customers and tables of each word in the parent, in each known state; `last` is the seating after them."""
         m = self.model
         pair_tables = (self.count > 0).astype(np.int64)
-        d1, d2 = m.discounts
+        d2 = m.discounts[1]
         for k, state in enumerate(m.states):
-            word_tables = self.whole(self.of_words(pair_tables), state.hot_tables)
-            # the hot word's random numbers are the same in all buckets that share it
-            parent = np.zeros(len(self.words), np.int64)
-            opening = (CONCENTRATION[0] + d1 * max(state.parent_tables, 1)) / (m.vocabulary + 1)
-            for mine, seed in ((~self.is_hot, [k, 1, self.bucket]), (self.is_hot, None)):
-                if seed is not None:
-                    parent[mine] = seat(word_tables[mine], np.full(int(mine.sum()), opening), d1, np.random.default_rng(seed))
-                else:
-                    every = seat(state.hot_tables, np.full(len(m.hot), opening), d1, np.random.default_rng([k, 2]))
-                    parent[mine] = every[self.hot_at]
+            own = self.of_words(pair_tables)
+            word_tables = self.whole(own, state.hot_tables)
+            parent = self.whole(self.parent_tables(own, k), state.hot_parent)
             yield pair_tables, word_tables, parent
             p = self.parent_probability(word_tables, parent, state)
             weight = (CONCENTRATION[1] + d2 * state.context_tables[self.context]) * p[self.owner]
@@ -303,7 +320,7 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"key": table["key"][:1], "vector": pa.array([total.tobytes()], pa.binary())})
 
 
-_TOTALS, _HOT_COUNTS, _HOT_TABLES, _COUNTS, _TABLES = 1, 2, 3, 1000, 2000
+_TOTALS, _HOT_COUNTS, _HOT_TABLES, _COUNTS, _TABLES = 1, 2, 3, 1 << 20, 1 << 21
 
 
 def _in_chunks(base: int, vector: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -323,14 +340,12 @@ def _sweep(model: Model):
         for batch in batches:
             for row in _rows(batch):
                 b = Bucket(row, model)
-                parent = None
-                for _, _, parent in b.sweeps():
+                for _ in b.sweeps():
                     pass
-                tables = b.last if model.states else (b.count > 0).astype(np.int64)
+                tables = b.last
                 word_tables, word_counts = b.of_words(tables), b.of_words(b.count)
                 cold = ~b.is_hot
-                if parent is None:
-                    parent = (word_tables > 0).astype(np.int64)
+                parent = b.parent_tables(word_tables, len(model.states))
                 hot_tables = np.bincount(b.hot_at, word_tables[b.is_hot], len(model.hot))
                 hot_counts = np.bincount(b.hot_at, word_counts[b.is_hot], len(model.hot))
                 totals = [
@@ -342,9 +357,9 @@ def _sweep(model: Model):
                     *[(word_tables[cold] == k).sum() for k in (1, 2)],
                 ]
                 out = [(_TOTALS, np.array(totals)), (_HOT_TABLES, hot_tables)]
-                out += _in_chunks(_TABLES, np.bincount(b.context, tables, CONTEXTS))
+                out += _in_chunks(_TABLES, np.bincount(b.context, tables, model.contexts))
                 if not model.states:
-                    out += [(_HOT_COUNTS, hot_counts), *_in_chunks(_COUNTS, np.bincount(b.context, b.count, CONTEXTS))]
+                    out += [(_HOT_COUNTS, hot_counts), *_in_chunks(_COUNTS, np.bincount(b.context, b.count, model.contexts))]
                 yield _vectors(out)
 
     return run
@@ -357,8 +372,11 @@ def _totals(occurrences: DataFrame, model: Model) -> dict[int, np.ndarray]:
     return {r["key"]: np.frombuffer(r["vector"], np.int64) for r in sums.collect()}
 
 
-def _joined(found: dict[int, np.ndarray], base: int) -> np.ndarray:
-    return np.concatenate([found.get(base + i, np.zeros(_CHUNK, np.int64)) for i in range(CONTEXTS // _CHUNK)])
+def _joined(found: dict[int, np.ndarray], base: int, contexts: int) -> np.ndarray:
+    if not any(base <= k < base + contexts // _CHUNK for k in found):
+        return np.zeros(contexts, np.int32)
+    whole = np.concatenate([found.get(base + i, np.zeros(_CHUNK, np.int64)) for i in range(contexts // _CHUNK)])
+    return whole.astype(np.int32) if whole.max() < 1 << 31 else whole
 
 
 def _discount(once: int, twice: int) -> float:
@@ -374,18 +392,13 @@ def fit(occurrences: DataFrame, model: Model, sweeps: int = BURN_IN + SAMPLES) -
         hot_tables = found.get(_HOT_TABLES, none)
         if k == 0:
             model.hot_counts = found.get(_HOT_COUNTS, none)
-            model.context_counts = _joined(found, _COUNTS)
+            model.context_counts = _joined(found, _COUNTS, model.contexts)
             model.vocabulary = int(totals[2] + (model.hot_counts > 0).sum())
             model.train_tokens = int(totals[3])
             model.discounts = (_discount(*totals[6:8].tolist()), _discount(*totals[4:6].tolist()))
-        # tables of the parent: cold ones from the buckets, hot ones as many as their words at the start, then by the draw
-        d1 = model.discounts[0]
-        if model.states:
-            opening = (CONCENTRATION[0] + d1 * max(model.states[-1].parent_tables, 1)) / (model.vocabulary + 1)
-            hot_parent = seat(hot_tables, np.full(len(hot_tables), opening), d1, np.random.default_rng([k, 2])).sum()
-        else:
-            hot_parent = (hot_tables > 0).sum()
-        model.states.append(State(_joined(found, _TABLES), int(totals[0]), int(totals[1] + hot_parent), hot_tables))
+        hot_parent = model.parent_seating(hot_tables, k, [2])
+        tables = _joined(found, _TABLES, model.contexts)
+        model.states.append(State(tables, int(totals[0]), int(totals[1] + hot_parent.sum()), hot_tables, hot_parent))
     return model
 
 
@@ -454,9 +467,8 @@ def _scored(train_tokens: int, vocabulary: int):
     return run
 
 
-def score_documents(docs: DataFrame, train: Column, sweeps: tuple[int, int] = (BURN_IN, SAMPLES)) -> DataFrame:
-    """Scores of all documents under the model of those where `train` holds. Columns as in the query."""
-    burn_in, samples = sweeps
+def learn(docs: DataFrame, train: Column, sweeps: int = BURN_IN + SAMPLES) -> tuple[DataFrame, Model]:
+    """All occurrences by bucket, as a written table, and the model of the documents where `train` holds."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = int(size / 6 / TOKENS_PER_BUCKET) + 1
@@ -465,10 +477,16 @@ def score_documents(docs: DataFrame, train: Column, sweeps: tuple[int, int] = (B
     often = materialize(often, "frequent-words")
     n = often.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     hot = [r["word"] for r in often.filter(F.col("word").isNotNull() & (F.col("n") >= share * n / 2)).select("word").collect()]
-    model = Model(buckets, np.sort(np.array(hot, np.int64).view(U64)))
-    dealt = rows.mapInArrow(_deal(buckets, model.hot), OCCURRENCES).groupBy("bucket").applyInArrow(_bucket, BUCKETS)
+    bits = context_bits(size)
+    model = Model(buckets, np.sort(np.array(hot, np.int64).view(U64)), 1 << bits)
+    dealt = rows.mapInArrow(_deal(buckets, model.hot, bits), OCCURRENCES).groupBy("bucket").applyInArrow(_bucket, BUCKETS)
     occurrences = materialize(dealt, "occurrences")
-    fit(occurrences, model, burn_in + samples)
-    partial = occurrences.mapInArrow(_score(model, burn_in), SCORES)
+    return occurrences, fit(occurrences, model, sweeps)
+
+
+def score_documents(docs: DataFrame, train: Column, sweeps: tuple[int, int] = (BURN_IN, SAMPLES)) -> DataFrame:
+    """Scores of all documents under the model of those where `train` holds. Columns as in the query."""
+    occurrences, model = learn(docs, train, sum(sweeps))
+    partial = occurrences.mapInArrow(_score(model, sweeps[0]), SCORES)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return partial.groupBy("part").applyInArrow(_scored(model.train_tokens, model.vocabulary), schema)
