@@ -18,6 +18,7 @@ unclosed tags end with what holds them. Other columns pass through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -55,13 +56,13 @@ SIGMA = 1.5
 class Block:
     __slots__ = ("pieces", "text", "tags", "link", "region")
 
-    def __init__(self, pieces: list[tuple[str, int, tuple[int, ...]]], tags: int, region: tuple[int, bool]):
+    def __init__(self, pieces: list[tuple[str, int, int]], tags: int, region: tuple[int, bool]):
         self.pieces, self.tags, self.region = pieces, tags, region
         self.text = " ".join("".join(p for p, _, _ in pieces).split())
         self.link = sum(n for _, n, _ in pieces)
 
     def without(self, left_out: set[int]) -> "Block":
-        kept = [p for p in self.pieces if left_out.isdisjoint(p[2])]
+        kept = [p for p in self.pieces if p[2] not in left_out]
         return self if len(kept) == len(self.pieces) else Block(kept, self.tags, self.region)
 
 
@@ -72,23 +73,20 @@ class BlockReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.named: dict[int, bool] = {}  # by region number: whether a word alone is the name
-        self._stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, left out, region number, named elements around
+        self.around: dict[int, int] = {0: 0}  # the named element around each named one; 0: none
+        # name, left out, region number, named element around, what a block in it counts to
+        self._stack: list[tuple[str, bool, int, int, tuple[int, bool]]] = []
+        self._open: Counter[str] = Counter()
         self._regions = 0
-        self._text: list[tuple[str, int, tuple[int, ...]]] = []  # text, its length if a link, named elements around
+        self._text: list[tuple[str, int, int]] = []  # text, its length if a link, named element around
         self._tags = 0
 
     def _out(self) -> bool:
         return bool(self._stack) and self._stack[-1][1]
 
     def _region(self) -> tuple[int, bool]:
-        """(number, whether an article or main element) of what the block counts to."""
-        inner = 0
-        for name, _, number, _ in self._stack:
-            if name in REGIONS:
-                return number, True
-            if name in CONTAINERS:
-                inner = number
-        return inner, False
+        """(number, whether an article or main element) of what a block here counts to: the outermost such element, else the innermost container."""
+        return self._stack[-1][4] if self._stack else (0, False)
 
     def _end_block(self) -> None:
         if any(p.strip() for p, _, _ in self._text):
@@ -100,7 +98,7 @@ class BlockReader(HTMLParser):
             self._end_block()
         self._tags += 1
         if tag in VOID:
-            self._text.append((" ", 0, ()))
+            self._text.append((" ", 0, 0))
             return
         if tag == "p":
             self._close("p", BLOCKS - {"p"})
@@ -108,15 +106,19 @@ class BlockReader(HTMLParser):
             self._close("li", frozenset(["ul", "ol"]))
         elif tag in ("td", "th", "tr"):
             self._close(tag, frozenset(["table"]))
-        inside = any(name in REGIONS for name, _, _, _ in self._stack)
+        region = self._region()
+        inside = region[1]
         out = self._out() or tag in SKIPPED or (tag == "header" and not inside)
         out = out or (tag not in ("html", "body") and self._hidden(attrs))
         self._regions += 1
-        around = self._stack[-1][3] if self._stack else ()
+        around = self._stack[-1][3] if self._stack else 0
         if not out and tag not in ("html", "body") and tag not in REGIONS and (alone := self._name(attrs, inside)) is not None:
-            self.named[self._regions] = alone
-            around += (self._regions,)
-        self._stack.append((tag, out, self._regions, around))
+            self.named[self._regions], self.around[self._regions] = alone, around
+            around = self._regions
+        if not inside and tag in CONTAINERS:
+            region = (self._regions, tag in REGIONS)
+        self._stack.append((tag, out, self._regions, around, region))
+        self._open[tag] += 1
 
     def _name(self, attrs: list[tuple[str, str | None]], inside: bool) -> bool | None:
         """None without a word for other parts of a page, else whether such a word alone is one of the names."""
@@ -139,8 +141,11 @@ class BlockReader(HTMLParser):
 
     def _close(self, tag: str, fence: frozenset[str]) -> None:
         """End an open element of this name, unless one of the fence lies between."""
+        if not self._open[tag]:
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] == tag:
+                self._open.subtract(name for name, *_ in self._stack[k:])
                 del self._stack[k:]
                 return
             if self._stack[k][0] in fence:
@@ -157,12 +162,13 @@ class BlockReader(HTMLParser):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self._stack and self._stack[-1][0] == tag and tag not in BLOCKS | SKIPPED:
             self._stack.pop()
+            self._open[tag] -= 1
 
     def handle_data(self, data: str) -> None:
         if self._out():
             return
-        link = any(name == "a" for name, _, _, _ in self._stack[-3:])
-        self._text.append((data, len(data.strip()) if link else 0, self._stack[-1][3] if self._stack else ()))
+        link = any(name == "a" for name, *_ in self._stack[-3:])
+        self._text.append((data, len(data.strip()) if link else 0, self._stack[-1][3] if self._stack else 0))
 
     def close(self) -> None:
         super().close()
@@ -199,26 +205,31 @@ def _content(blocks: list[Block]) -> np.ndarray:
     return level > threshold(level)
 
 
-def _left_out(blocks: list[Block], named: dict[int, bool]) -> set[int]:
-    """The named elements that do not hold most of the text of high ratio, or all of it if a word alone names them."""
+def _left_out(blocks: list[Block], named: dict[int, bool], around: dict[int, int]) -> set[int]:
+    """The named elements that do not hold most of the text of high ratio, or all of it if a word alone names them; and those in them."""
     if not named or not blocks:
         return set()
-    inside, total = dict.fromkeys(named, 0), 0
-    regions = {b.region[0]: set(b.pieces[0][2]) for b in blocks if b.region[1]}
+    inside, total = dict.fromkeys(around, 0), 0
+    regions = {b.region[0]: b.pieces[0][2] for b in blocks if b.region[1]}
+    held = Counter(regions.values())
     for block, good in zip(blocks, _content(blocks)):
         if good:
-            for text, link, around in block.pieces:
+            for text, link, number in block.pieces:
                 n = len(text.strip()) - link
                 total += n
-                for number in around:
-                    inside[number] += n
+                inside[number] += n
+    # an element has a higher number than the one around it
+    numbers = sorted(named)
+    for number in reversed(numbers):
+        inside[around[number]] += inside[number]
+        held[around[number]] += held[number]
     out = set()
-    for number, alone in named.items():
-        if alone:
-            keep = 0 < total == inside[number] and all(number in around for around in regions.values())
+    for number in numbers:
+        if named[number]:
+            keep = 0 < total == inside[number] and held[number] == len(regions)
         else:
             keep = 2 * inside[number] > total
-        if not keep:
+        if not keep or around[number] in out:
             out.add(number)
     return out
 
@@ -229,7 +240,7 @@ def main_text(html: str | None) -> str:
     reader = BlockReader()
     reader.feed(html)
     reader.close()
-    left_out = _left_out(reader.blocks, reader.named)
+    left_out = _left_out(reader.blocks, reader.named, reader.around)
     blocks, tags = [], 0
     for block in reader.blocks:
         block = block.without(left_out)

@@ -79,3 +79,15 @@ def test_edges(spark):
 def test_deep_and_broken():
     assert main_text("<div>" * 3000 + "x" + "</span>" * 10) == "x"
     assert main_text("<a <b>c</p></p>&#xfffffff;<<>") is not None
+
+
+def test_depth_takes_time_in_proportion():
+    import time
+
+    text = "Words of the article, long enough to count as one. " * 20
+    for tag in ("<div>", "<div class='wrap sidebar-left'>", "<span>", "<article>", "<li>", "<p>"):
+        name = tag[1:].split()[0].rstrip(">")
+        began = time.time()
+        found = main_text(tag * 16_000 + text + f"</{name}>" * 16_000 + "<p>" * 100 + "</b>" * 16_000)
+        assert time.time() - began < 2, tag
+        assert found == text.strip(), tag
