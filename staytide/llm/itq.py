@@ -62,6 +62,13 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUND
     return projection, np.median(sample @ projection, 0)
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1. A power of two goes first, which is exact, so that no square is too large or too small."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    scaled = np.ldexp(vectors, -power)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def piece_codes(vectors: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The 16-bit pieces of each vector's codes, all tables side by side."""
     weights = 1 << np.arange(PIECE_BITS)
@@ -89,7 +96,7 @@ def _encode(models: list, length: int):
                 codes = np.full((part.num_rows, tables), -1, np.int32)
                 if len(usual) and models:
                     x = _matrix(column(part, "embedding").take(pa.array(usual)))
-                    codes[usual] = piece_codes(x / np.linalg.norm(x, axis=1, keepdims=True), models)
+                    codes[usual] = piece_codes(unit(x), models)
                 lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, tables, dtype=np.int32), codes.ravel())
                 yield pa.record_batch([*part.columns, lists], [*part.schema.names, "codes"])
 
@@ -129,8 +136,7 @@ def _compare(threshold: float):
             same = side[begin] == 0
             if end - begin < 2 or not len(left) or not len(right):
                 continue
-            x = _matrix(lists.take(pa.array(order[begin:end])))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(_matrix(lists.take(pa.array(order[begin:end]))))
             links = np.zeros(end - begin, np.int64)
             label = np.arange(end - begin)
             for at in range(0, len(left), 512):
@@ -172,8 +178,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     models, length = [], 0
     if sample:
         length = Counter(map(len, sample)).most_common(1)[0][0]
-        usual = np.array([x for x in sample if len(x) == length])
-        usual /= np.linalg.norm(usual, axis=1, keepdims=True)
+        usual = unit(np.array([x for x in sample if len(x) == length]))
         models = [learn_rotation(usual, PIECES_PER_ROTATION * PIECE_BITS, seed) for seed in range(ROTATIONS)]
     fields = "label string, embedding array<double>, vec_id bigint, copies bigint, codes array<int>"
     coded = classes.withColumn("label", F.col("label").cast("string")).mapInArrow(_encode(models, length), fields)
@@ -194,8 +199,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         F.xxhash64(*bucket, low, high).alias("key"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"),
     )
-    n = met.count()
-    tasks = n // ROWS_PER_TASK + 1
+    # rows as they are sent: one for each block that a row's block meets
+    n = met.agg(F.coalesce(F.sum(blocks), F.lit(0)).alias("n")).first()["n"]
+    tasks = int(n) // ROWS_PER_TASK + 1
     ready = keyed.join(coded.select("vec_id", "embedding", "copies", "codes"), "vec_id").withColumn("task", F.pmod("key", F.lit(tasks * 8)))
     found = ready.groupBy("task").applyInArrow(_compare(threshold), "vec_id bigint, n_links bigint, root bigint")
     found = materialize(found, "vector-links")

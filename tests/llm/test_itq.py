@@ -78,3 +78,15 @@ def test_whole_table(spark):
 
 def test_empty_table(spark):
     assert result(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_very_large_and_small_components(spark):
+    """Components of 1e200 and 1e-200 have lengths too; directions alone count."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    rows = [(i, (base * f).tolist(), "a") for i, f in enumerate((1.0, 1e200, 1e-200, 1e305, -1e200))]
+    rows += [(100 + i, (x * 10.0 ** rng.integers(-150, 150)).tolist(), "a") for i, x in enumerate(rng.normal(size=(400, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_vectors(df).collect()}
+    assert [got[i] for i in range(5)] == [(3, 0)] * 4 + [(0, 4)]
+    assert all(got[i] == (0, i) for i in got if i >= 100)
