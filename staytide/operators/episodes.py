@@ -88,3 +88,31 @@ def tick_intervals(ticks: DataFrame, start: str, length: int, end: str = "end")
     return ticks.withColumn(end, F.col(start) + length)
 
 
+
+
+def grown(stored: DataFrame, ticks: DataFrame, keys: Sequence[str], time: str, gap: int, highest: Sequence[str], chunk_width: int = HOUR_US) -> DataFrame:
+    """The episodes (as of `episodes`) of the keys that have new ticks: theirs so far, and the new ticks.
+
+    New ticks may come before, within, between or after the stored episodes, and join two of them. Only episodes of the changed keys are
+    read on, a few rows per key, and only these are returned; see `with_growth` for the whole table. Each tick
+    must come once over all batches.
+    """
+    fresh = episodes(ticks, keys, time, gap, highest, chunk_width)
+    kept = stored.join(fresh.select(*keys).distinct(), list(keys), "left_semi").select(*fresh.columns)
+    both = kept.unionByName(fresh)
+    in_order = Window.partitionBy(*keys).orderBy("first_tick", "last_tick")
+    reach = F.max("last_tick").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("first_tick") - reach > gap, F.lit(True)).cast("bigint")
+    # numbered anew: the flag is worked out below the running sum
+    placed = both.withColumn("_opens", opens).withColumn("episode", F.sum("_opens").over(in_order))
+    return placed.groupBy(*keys, "episode").agg(
+        F.min("first_tick").alias("first_tick"),
+        F.max("last_tick").alias("last_tick"),
+        F.sum("n_ticks").alias("n_ticks"),
+        *[F.max(c).alias(c) for c in highest],
+    )
+
+
+def with_growth(stored: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored episodes with those of the changed keys in place of theirs."""
+    return stored.join(changed.select(*keys).distinct(), list(keys), "left_anti").select(*changed.columns).unionByName(changed)

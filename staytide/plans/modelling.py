@@ -11,7 +11,7 @@ from staytide.plans.basics import _offsets, big, case_medians, r6
 from staytide.plans.registry import query, risk_sql
 from staytide.schemas import HOUR_US
 from staytide.session import materialize, shared_dir
-from staytide.sources import tables
+from staytide.sources import batches, tables
 from staytide.sources.tables import ORDER_FEATURES, PREDS, surface
 from staytide.streaming import alerts as A
 from staytide.streaming import episodes as E
@@ -583,6 +583,26 @@ def forest_targets(spark, sf):
     return _trained_targets(spark, sf, outcome, inside, **_FOREST, learner="forest")
 
 
+@query(
+    "resumed_targets",
+    """
+    SELECT stay_id, CAST(ntile(5) OVER (ORDER BY stay_id) - 1 AS BIGINT) AS batch, ROUND(optimal_m1, 6) AS optimal_m1, ROUND(optimal_m2, 6) AS optimal_m2
+    FROM f_targets""",
+)
+def resumed_targets(spark, sf):
+    """Targets in five batches by a run that ends after two of them, and one that does the rest."""
+    cases = materialize(folds.contiguous_folds(_cases(spark, sf), "stay_id"), "batch-cases")
+    root = shared_dir(spark, "target-batches")
+
+    def compute(batch):
+        return targets.optimal_targets(cases.filter(F.col("fold") == batch).drop("fold"), "stay_id", surface, PREDS)
+
+    for numbers in (range(2), range(5)):
+        batches.run_batches(spark, root, numbers, compute)
+    found = batches.read_committed(spark, root, "stay_id long, optimal_m1 double, optimal_m2 double")
+    return found.select("stay_id", big("batch").alias("batch"), r6("optimal_m1").alias("optimal_m1"), r6("optimal_m2").alias("optimal_m2"))
+
+
 # --- alerts, safe zones, adherence, matching ---------------------------------------------
 
 
