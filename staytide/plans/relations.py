@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from staytide.functions import clock
 from staytide.functions import values as V
-from staytide.operators import cohort, episodes, folds, intervals, joins, prefix, profile, quantiles, survival
+from staytide.operators import cohort, episodes, folds, intervals, joins, panes, prefix, profile, quantiles, survival
 from staytide.plans.basics import (
     IN_WINDOW,
     WINDOW,
@@ -16,8 +16,10 @@ from staytide.plans.basics import (
     micro_intervals,
     r6,
 )
+from staytide.plans.jobs import POOLED_MOMENTS
 from staytide.plans.registry import query
 from staytide.schemas import HOUR_US
+from staytide.session import materialize
 from staytide.sources import pooled, tables
 
 # --- joins -------------------------------------------------------------------------------
@@ -481,6 +483,32 @@ def sessionize_episodes(spark, sf):
     )
 
 
+@query(
+    "growing_episodes",
+    """
+    WITH d AS (SELECT stay_id, epoch_us(ts) // 60000000 AS minute, MAX(typ) AS typ FROM f_ticks GROUP BY ALL),
+    l AS (SELECT *, lag(minute) OVER (PARTITION BY stay_id ORDER BY minute) AS before FROM d),
+    n AS (SELECT *, SUM(CASE WHEN before IS NULL OR minute - before > 1440 THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY stay_id ORDER BY minute) AS episode FROM l)
+    SELECT stay_id, CAST(episode AS BIGINT) AS episode, MIN(minute) AS first_tick, MAX(minute) AS last_tick, COUNT(*) AS n_ticks, CAST(MAX(typ) AS BIGINT) AS typ
+    FROM n GROUP BY stay_id, episode""",
+)
+def growing_episodes(spark, sf):
+    """Episodes from three batches of ticks, one after the other; each touches the stays that it has ticks of."""
+    minute = F.floor(clock.micros("ts") / 60_000_000)
+    ticks = episodes.highest_per_time(tables.ticks(spark, sf).withColumn("minute", minute), ["stay_id"], "minute", ["typ"])
+    ticks = materialize(ticks.withColumn("batch", F.col("minute") % 3), "tick-batches")
+    stored = None
+    for i in range(3):
+        new = ticks.filter(F.col("batch") == i).drop("batch")
+        if stored is None:
+            stored = materialize(episodes.episodes(new, ["stay_id"], "minute", 1440, ["typ"], chunk_width=60), "episodes")
+            continue
+        changed = materialize(episodes.grown(stored, new, ["stay_id"], "minute", 1440, ["typ"], chunk_width=60), "grown")
+        stored = materialize(episodes.with_growth(stored, changed, ["stay_id"]), "episodes")
+    return stored.select("stay_id", "episode", "first_tick", "last_tick", "n_ticks", big("typ").alias("typ"))
+
+
 @query(
     "dedupe_first",
     """
@@ -539,3 +567,38 @@ def union_sources(spark, sf):
     second = orders.filter(F.col("side") == 1).drop("side").withColumn("region", F.col("stay_id") % 5)
     out = pooled.pooled_cohort({"A": first, "B": second}, "death_in_24_hours")
     return out.withColumn("region", F.coalesce("region", F.lit(-1)))
+
+
+_POOLED_UNIT = 12 * HOUR_US
+_POOLED_WINDOWS = [((m - 12) * _POOLED_UNIT, m * _POOLED_UNIT) for m in POOLED_MOMENTS]
+
+
+@query(
+    "pooled_moments",
+    f"""
+    WITH w AS (SELECT unnest({list(POOLED_MOMENTS)}) AS mop),
+    m AS (SELECT stay_id, mop, median(value) AS m1_valuenum FROM f_off1 JOIN w
+          ON off_us >= (mop - 12) * {_POOLED_UNIT} AND off_us < mop * {_POOLED_UNIT} GROUP BY ALL),
+    p AS (SELECT c_custkey AS stay_id, CASE WHEN c_custkey % 9 <> 4 THEN CAST(18 + c_custkey % 70 AS DOUBLE) END AS age,
+                 CASE WHEN c_custkey % 4 <> 1 THEN CAST(30 + c_custkey % 160 AS DOUBLE) END AS height, CAST(c_custkey % 3 = 0 AS BIGINT) AS death FROM customer)
+    SELECT CAST(mop AS BIGINT) AS mop, stay_id, CASE WHEN stay_id % 2 = 0 THEN 'A' ELSE 'B' END AS data_source, coalesce(age, 64) AS age, height, death,
+           ROUND(m1_valuenum, 6) AS m1_valuenum
+    FROM m JOIN p USING (stay_id) WHERE height > 50""",
+)
+def pooled_moments(spark, sf):
+    """The pooled table of both sources at the four moments of prediction."""
+    k = F.col("c_custkey")
+    people = tables.table(spark, sf, "customer").select(
+        k.alias("stay_id"),
+        F.when(k % 9 != 4, (18 + k % 70).cast("double")).alias("age"),
+        F.when(k % 4 != 1, (30 + k % 160).cast("double")).alias("height"),
+        big(k % 3 == 0).alias("death_in_24_hours"),
+    )
+    medians = panes.window_medians(_offsets(spark, sf)[0], ["stay_id"], ["value"], "off_us", _POOLED_WINDOWS)
+    rows = materialize(medians.join(people, "stay_id").withColumnRenamed("value", "m1_valuenum"), "moments")
+    frames = {
+        m: {name: rows.filter((F.col("window") == i) & (F.col("stay_id") % 2 == side)).drop("window") for side, name in enumerate("AB")}
+        for i, m in enumerate(POOLED_MOMENTS)
+    }
+    out = pooled.pooled_by_moment(frames, "death_in_24_hours")
+    return out.select(big("mop").alias("mop"), "stay_id", "data_source", "age", "height", "death", r6("m1_valuenum").alias("m1_valuenum"))
