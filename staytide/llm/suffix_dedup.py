@@ -413,29 +413,32 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key and text: a key per document, in their order. It is the id itself where each id has one text."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and text with one text to an id, and where ids had to be numbered anew the old ones: number, doc_id.
+
+    A number says the place of the document in the order of ids, and of the digests of their texts.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digest = F.md5(F.coalesce("text", F.lit("")))
     slim = texts.select("doc_id", digest.alias("digest"))
-    shared = slim.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low != high")
+    shared = slim.groupBy("doc_id").agg(F.min(F.unhex("digest")).alias("low"), F.max(F.unhex("digest")).alias("high")).filter("low != high")
     if shared.isEmpty():
-        return texts.select("doc_id", F.coalesce("doc_id", F.lit(int(_LAST_ID))).alias("key"), "text")
+        return texts, None
     ids = materialize(slim.distinct(), "suffix-ids")
     ends = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     width = ((ends["high"] or 0) - (ends["low"] or 0)) // ID_CHUNKS + 1
     # those without an id come last, in the order of their digests
     apart = F.lit(ID_CHUNKS) + F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")
     chunk = F.coalesce(F.floor((F.col("doc_id") - (ends["low"] or 0)) / width).cast("int"), apart)
-    numbered = row_ranks(ids.withColumn("chunk", chunk), [], "chunk", [F.col("doc_id").asc_nulls_last(), "digest"], "key")
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (digest == F.col("digest"))
-    keys = numbered.select(F.col("doc_id").alias("of_id"), "digest", "key")
-    return materialize(texts.join(keys, same).select("doc_id", "key", "text"), "suffix-texts")
+    numbered = materialize(row_ranks(ids.withColumn("chunk", chunk), [], "chunk", [F.col("doc_id").asc_nulls_last(), "digest"], "number"), "suffix-numbers")
+    of = numbered.select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "number")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (digest == F.col("of_digest"))
+    placed = materialize(texts.join(of, same).select(F.col("number").alias("doc_id"), "text"), "suffix-texts")
+    return placed, numbered.select("number", "doc_id")
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(id, from, to): stretches of bytes, by the document's key, that windows with an earlier twin cover. They may overlap."""
-    texts = rows.select(F.col("key").alias("doc_id"), "text")
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(id, from, to): stretches of bytes that windows with an earlier twin cover. They may overlap. An id has one text."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = int(2 * size / (GRAMS_PER_WINDOW + 1) / GRAMS_PER_BUCKET) + 1
     grams = texts.mapInArrow(_grams(buckets), GRAM_SCHEMA)
@@ -444,16 +447,20 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     per_doc = materialize(per_doc, "gram-runs")
     around = per_doc.agg(F.sum(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + WINDOW)).alias("n")).first()["n"]
     shards = int((around or 0) / BYTES_PER_SHARD) + 1
-    held = texts.join(per_doc, F.col("doc_id") == F.col("id")).select("doc_id", "text", "runs")
+    held = texts.join(per_doc, F.coalesce("doc_id", F.lit(int(_LAST_ID))) == F.col("id")).select("doc_id", "text", "runs")
     snippets = held.mapInArrow(_snippets(shards), SNIPPET_SCHEMA)
     return snippets.groupBy("shard").applyInArrow(_shard_repeats, "id bigint, from bigint, to bigint")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows = keyed(docs)
-    spans = repeated_spans(rows).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    texts, numbers = keyed(docs)
+    spans = repeated_spans(texts).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     none = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    joined = rows.join(spans, F.col("key") == F.col("id"), "left")
+    # the same columns as in the join of the runs, so that texts are shuffled once
+    joined = texts.join(spans, F.coalesce("doc_id", F.lit(int(_LAST_ID))) == F.col("id"), "left")
     joined = joined.select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
-    return joined.mapInArrow(_drop, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found = joined.mapInArrow(_drop, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    if numbers is None:
+        return found
+    return found.withColumnRenamed("doc_id", "number").join(numbers, "number").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
