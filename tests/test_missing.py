@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from staytide.operators import folds, learners, matching, metrics, targets
+from staytide.operators import folds, learners, matching, metrics, search, targets
 from staytide.sources import csvio
 from staytide.streaming import alerts
 
@@ -57,8 +57,8 @@ def test_fills_come_from_the_training_rows(spark):
 
 
 def test_grid_search_with_gaps(gappy):
-    rows = learners.grid_search(gappy, ["a", "b", "c"], "label", learning_rates=(0.1, 0.3), rounds=(1, 2), k=2).collect()
-    assert len(rows) == 4 and sum(r.best for r in rows) == 1 and all(0.5 < r.auc <= 1 for r in rows)
+    rows = search.nested_search(gappy, ["a", "b", "c"], "label", learning_rates=(0.1, 0.3), rounds=(1, 2), k=2).collect()
+    assert len(rows) == 8 and sum(r.best for r in rows) == 2 and all(0.5 < r.auc <= 1 for r in rows)
 
 
 def test_missing_scores_are_left_out(spark):
