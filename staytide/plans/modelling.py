@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from staytide.functions import clock
-from staytide.operators import cohort, folds, grouped, learners, matching, metrics, resample, search, targets
+from staytide.operators import cohort, folds, grouped, learners, matching, metrics, regions, resample, search, targets
 from staytide.plans.basics import _offsets, big, case_medians, r6
-from staytide.plans.registry import query, risk_sql
+from staytide.plans.registry import AVERAGE_SQL, query, risk_sql
 from staytide.schemas import HOUR_US
 from staytide.session import materialize, shared_dir
 from staytide.sources import batches, tables
@@ -618,6 +618,35 @@ def safe_zone(spark, sf):
     return out.select("stay_id", "n_points", *[big(c).alias(c) for c in bounds])
 
 
+_ZONE_MOMENTS = [12, 18]
+# the surface of a case at a moment is that of the case so many numbers on
+_ZONE_SQL = (
+    f"SELECT c.stay_id AS case_id, mop, m1, m2 FROM f_stays c CROSS JOIN (SELECT unnest({_ZONE_MOMENTS}) AS mop) CROSS JOIN f_grid WHERE round("
+    + AVERAGE_SQL.replace("stay_id", "(c.stay_id + mop)")
+    + ", 9) <= 0.05"
+)
+
+
+@query(
+    "safe_regions",
+    f"""
+    WITH p AS ({_ZONE_SQL}),
+    z AS (SELECT case_id, mop, COUNT(*) AS n_points, MIN(m1) AS m1_low, MAX(m1) AS m1_high, MIN(m2) AS m2_low, MAX(m2) AS m2_high FROM p GROUP BY ALL),
+    o AS (SELECT case_id, COUNT(*) AS shared FROM p a JOIN p b USING (case_id, m1, m2) WHERE a.mop = {_ZONE_MOMENTS[0]} AND b.mop = {_ZONE_MOMENTS[1]} GROUP BY case_id)
+    SELECT case_id, CAST(mop AS BIGINT) AS mop, CAST(0 AS BIGINT) AS region, n_points, CAST(m1_low AS BIGINT) AS m1_low, CAST(m1_high AS BIGINT) AS m1_high,
+           CAST(m2_low AS BIGINT) AS m2_low, CAST(m2_high AS BIGINT) AS m2_high, CASE WHEN mop = {_ZONE_MOMENTS[0]} THEN coalesce(shared, 0) END AS shared
+    FROM z LEFT JOIN o USING (case_id)""",
+)
+def safe_regions(spark, sf):
+    """Safe zones by moment: the connected region, its size and bounds, and what it shares with that of the next moment."""
+    cases = _cases(spark, sf).select(F.col("stay_id").alias("case_id"), F.explode(F.array(*[F.lit(m) for m in _ZONE_MOMENTS])).alias("mop"))
+    grid = targets.with_grid(cases.withColumn("stay_id", F.col("case_id") + F.col("mop")), "case_id")
+    found = materialize(regions.safe_regions(targets.with_average(surface(grid), PREDS), ["case_id", "mop"], 0.05), "regions")
+    shared = regions.overlaps(found, ["case_id"], "mop").select("case_id", "mop", "shared")
+    bounds = ["m1_low", "m1_high", "m2_low", "m2_high"]
+    return found.join(shared, ["case_id", "mop"]).select("case_id", big("mop").alias("mop"), big("region").alias("region"), "n_points", *[big(c).alias(c) for c in bounds], "shared")
+
+
 @query(
     "adherence_groups",
     """
