@@ -10,8 +10,8 @@ are chosen by chi-square, and a logistic regression weighs them. It learns from
 the character model covers all rows.
 
 Defined results: NULL and empty texts have no features and get the score of the intercept; rows without a usable
-label are not learned from; with one class only, all scores are 0. Repeated rows score alike. Other columns are not
-read.
+label are not learned from; with one class only, all scores are near that class, without any label 0. Repeated rows score alike.
+Other columns are not read.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """Deobfuscation of disguised words, and held-out accuracy."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,48 @@ def test_edges(spark):
     none = tx.learn(df, labels.limit(0), F.lit(True), model)
     assert {round(r.score, 6) for r in tx.score(df, model, none).collect()} == {0.0}
     assert tx.score(df.limit(0), tx.character_model(df.limit(0)), clf).count() == 0
+
+
+def spellings(word, model, single, spaced):
+    """Cost of every spelling that the channel allows, each way of reading the word taken in turn."""
+    steps = [(c, 1) for c in word] if spaced else [(k, len(list(g))) for k, g in itertools.groupby(word)]
+    costs = {}
+
+    def go(i, a, b, cost, text):
+        if i == len(steps):
+            key = (spaced and b == tx._END, text)
+            costs[key] = min(costs.get(key, np.inf), cost - model[a, b, tx._END])
+            return
+        c, n = steps[i]
+        letters = [(c, 0.0)] if c.isalpha() else [(x, tx.SUBSTITUTE) for x in tx.STANDS_FOR.get(c, "")]
+        if not c.isalpha() and (not letters or c.isdigit()):
+            letters.append((c, tx.FOREIGN))
+        if c in tx.SEPARATORS:
+            go(i + 1, a, b, cost + tx.DROP, text)
+        for x, price in letters:
+            s = tx.symbol(x)
+            one = cost + price - model[a, b, s]
+            if n != 2 or single:
+                go(i + 1, b, s, one + (tx.SINGLE if n == 2 else 0.0), text + x)
+            if spaced:
+                go(i + 1, s, tx._END, one - model[b, s, tx._END] + tx.BOUNDARY, text + x + " ")
+            if n > 1:
+                go(i + 1, s, s, one - model[b, s, s] + (tx.DOUBLE if n > 2 else 0.0), text + x + x)
+
+    go(0, tx._OTHER, tx._END, 0.0, "")
+    # a last word that is ended twice counts only if there is no other
+    whole = {t: c for (twice, t), c in costs.items() if not twice}
+    return whole or {t: c for (_, t), c in costs.items()}
+
+
+@pytest.mark.parametrize("single", [True, False])
+@pytest.mark.parametrize("spaced", [True, False])
+def test_decode_finds_the_cheapest_of_all_spellings(model, single, spaced):
+    rng = np.random.default_rng(3)
+    words = ["1d10t", "stuppid", "a$$", "m0-r_n", "l0$$er", "aab", "---", "7"]
+    words += ["".join(rng.choice(list("stuidaoe1!0$-*46"), rng.integers(1, 7))) for _ in range(150)]
+    for word in words:
+        costs = spellings(word, model, single, spaced)
+        found = tx.decode(word, model, single, spaced)
+        near = {t.strip() if spaced else t: c for t, c in sorted(costs.items(), key=lambda x: -x[1])}
+        assert near[found.strip() if spaced else found] <= min(costs.values()) + 1e-9, word
