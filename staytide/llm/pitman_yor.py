@@ -310,13 +310,18 @@ class Bucket:
 
 def _vectors(key_values: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return pa.record_batch(
-        [pa.array([k for k, _ in key_values], pa.int64()), pa.array([np.asarray(v, np.int64).tobytes() for _, v in key_values], pa.binary())],
+        [pa.array([k for k, _ in key_values], pa.int64()), pa.array([pack_planes(np.asarray(v, np.int64)) for _, v in key_values], pa.binary())],
         ["key", "vector"],
     )
 
 
 def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v.as_py(), np.int64) for v in table["vector"])
+    import zstandard
+
+    total = 0
+    for v in table["vector"]:
+        packed = v.as_py()
+        total = total + unpack_planes(packed, zstandard.frame_content_size(packed) // 8, np.int64)
     return pa.table({"key": table["key"][:1], "vector": pa.array([total.tobytes()], pa.binary())})
 
 
