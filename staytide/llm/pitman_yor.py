@@ -42,6 +42,7 @@ CONCENTRATION = (1.0, 1.0)  # of the unigram restaurant, of the contexts
 END = int(mix64(np.array([1], U64))[0])
 START = int(mix64(np.array([2], U64))[0])
 _CHUNK = 8192
+_HASHED_BYTES = 1 << 19  # of text at a time: hashing takes some 40 times their size
 
 
 def context_bits(size: int) -> int:
@@ -50,18 +51,25 @@ def context_bits(size: int) -> int:
     return min(max((size // 6 // WORDS_PER_CONTEXT).bit_length(), least), most)
 
 
+def _words(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and their number per row."""
+    words = Words(*text_bytes(column(piece, "text")))
+    return words.hash, np.diff(words.first)
+
+
 def tokens(part: pa.RecordBatch, bits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: hash of the word or the end, its context, its row; documents one after the other."""
-    words = Words(*text_bytes(column(part, "text")))
-    rows = part.num_rows
-    token = np.empty(len(words.hash) + rows, U64)
-    ends = words.first[1:] + np.arange(rows)
-    token[np.arange(len(words.hash)) + words.doc] = words.hash
-    token[ends] = END
+    hashes, n_words = zip(*(_words(piece) for piece in parts(iter([part]), "text", _HASHED_BYTES)))
+    n_words = np.concatenate(n_words)
+    row = np.repeat(np.arange(part.num_rows), n_words + 1)
+    token = np.full(len(row), END, U64)
+    ends = np.cumsum(n_words + 1) - 1
+    is_word = np.ones(len(row), bool)
+    is_word[ends] = False
+    token[is_word] = np.concatenate(hashes)
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[np.append(0, ends[:-1] + 1)] = START
-    row = np.repeat(np.arange(rows), np.diff(words.first) + 1)
     return token, (mix64(before) & U64((1 << bits) - 1)).astype(np.int64), row
 
 
@@ -95,6 +103,7 @@ def _deal(buckets: int, hot: np.ndarray, context_bits: int):
         for k, part in enumerate(parts(batches, "text")):
             token, before, row = tokens(part, context_bits)
             train = column(part, "train").to_numpy(zero_copy_only=False)
+            n_tokens = np.bincount(row, minlength=part.num_rows)
             row = row * 2 + train[row]  # the last bit says whether the row trains
             word, code = np.unique(token, return_inverse=True)
             # one number per occurrence, whose order is that of word, context and row
@@ -132,7 +141,6 @@ def _deal(buckets: int, hot: np.ndarray, context_bits: int):
                     )
                 )
             ids = column(part, "doc_id").cast(pa.int64())
-            n_tokens = np.diff(Words(*text_bytes(column(part, "text"))).first) + 1
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             facts = pa.table({"id": ids.fill_null(0), "known": known, "train": train, "n": n_tokens})
             columns = [facts[c].to_numpy().astype(np.int64) for c in facts.column_names]
@@ -150,50 +158,79 @@ BUCKETS = (
 )
 
 
+def _unpacked(blobs: pa.ChunkedArray, sizes: np.ndarray, kind) -> np.ndarray:
+    """The packed numbers of all parts as one array."""
+    out = np.empty(int(sizes.sum()), kind)
+    ends = np.cumsum(sizes).tolist()
+    for blob, n, end in zip(blobs, sizes.tolist(), ends):
+        out[end - n : end] = unpack_planes(blob.as_py(), n, kind)
+    return out
+
+
 def _bucket(table: pa.Table) -> pa.Table:
-    """All occurrences of a bucket as one row: words, their contexts with training counts, and their documents."""
-    got = table.to_pydict()
-    bucket = got["bucket"][0]
+    """All occurrences of a bucket as one row: words, their contexts with training counts, and their documents.
+
+    One column at a time is unpacked and put in order, so that a bucket never lies whole and unpacked in a task.
+    """
+    bucket = table["bucket"][0].as_py()
     names = [x.split()[0] for x in BUCKETS.split(", ")]
     kinds = [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in BUCKETS.split(", ")]
     if bucket < 0:
-        values = (bucket, 4, 0, got["n"][0], got["words"][0], *[b""] * 8)
+        values = (bucket, 4, 0, table["n"][0].as_py(), table["words"][0].as_py(), *[b""] * 8)
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names)
-    each = list(zip(got["n"], got["n_words"], got["words"], got["sizes"], got["contexts"], got["rows"], got["times"]))
-    word = np.concatenate([np.repeat(unpack_planes(w, k, U64), unpack_planes(s, k, np.uint32)) for _, k, w, s, *_ in each])
-    before = np.concatenate([unpack_planes(x[4], x[0], np.uint32) for x in each]).astype(np.int64)
-    row = np.concatenate([unpack_planes(x[5], x[0], np.uint32) for x in each])
-    times = np.concatenate([unpack_planes(x[6], x[0], np.uint32) for x in each])
-    part = np.repeat(np.arange(len(each)), got["n"])
-    words, code = np.unique(word, return_inverse=True)
-    pair = (code.astype(np.int64) << CONTEXT_BITS[1]) + before
-    order = np.argsort(pair, kind="stable")
+    of_part, words_of_part = table["n"].to_numpy(), table["n_words"].to_numpy()
+    n = int(of_part.sum())
+    words, code = np.unique(_unpacked(table["words"], words_of_part, U64), return_inverse=True)
+    pair = np.repeat(code << CONTEXT_BITS[1], _unpacked(table["sizes"], words_of_part, np.uint32))
+    del code
+    pair += _unpacked(table["contexts"], of_part, np.uint32)
+    order = np.argsort(pair, kind="stable").astype(np.uint32)
     pair = pair[order]
-    first = np.append(True, pair[1:] != pair[:-1])
-    at = np.flatnonzero(first)
-    trains = row[order] & 1
-    counts = np.add.reduceat(times[order].astype(np.int64) * trains, at)
-    owner = pair[at] >> CONTEXT_BITS[1]
+    at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])).astype(np.uint32)
+    pair = pair[at]
+    sizes = np.bincount(pair >> CONTEXT_BITS[1], minlength=len(words)).astype(np.uint32)
+    contexts = pack_planes((pair & ((1 << CONTEXT_BITS[1]) - 1)).astype(np.uint32))
+    del pair
+    row = _unpacked(table["rows"], of_part, np.uint32)[order]
+    rows = pack_planes(row >> 1)
+    times = _unpacked(table["times"], of_part, np.uint32)[order]
+    row &= 1
+    row *= times
+    counts = pack_planes(np.add.reduceat(row, at).astype(np.uint32))
+    del row
+    packed_times = pack_planes(times)
+    del times
     values = (
         bucket,
         len(words),
         len(at),
-        len(pair),
+        n,
         pack_planes(words),
-        pack_planes(np.bincount(owner, minlength=len(words)).astype(np.uint32)),
-        pack_planes((pair[at] & ((1 << CONTEXT_BITS[1]) - 1)).astype(np.uint32)),
-        pack_planes(counts.astype(np.uint32)),
-        pack_planes(np.diff(np.append(at, len(pair))).astype(np.uint32)),
-        np.array(got["part"], np.int64).tobytes(),
-        pack_planes(part[order].astype(np.uint32)),
-        pack_planes((row[order] >> 1).astype(np.uint32)),
-        pack_planes(times[order]),
+        pack_planes(sizes),
+        contexts,
+        counts,
+        pack_planes(np.diff(np.append(at, np.uint32(n)))),
+        table["part"].to_numpy().astype(np.int64).tobytes(),
+        pack_planes(np.repeat(np.arange(len(of_part), dtype=np.uint32), of_part)[order]),
+        rows,
+        packed_times,
     )
     return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
 
+class _Sent:
+    """Goes to the tasks with its vectors over the contexts compressed, as the sent bytes stay in a worker's memory beside the model."""
+
+    def __getstate__(self) -> dict:
+        vectors = {k: v for k, v in vars(self).items() if k.startswith("context_")}
+        return vars(self) | {k: (pack_planes(v), len(v), v.dtype) for k, v in vectors.items()}
+
+    def __setstate__(self, sent: dict) -> None:
+        vars(self).update({k: unpack_planes(*v) if k.startswith("context_") else v for k, v in sent.items()})
+
+
 @dataclass
-class State:
+class State(_Sent):
     """What buckets must know of each other's seating: tables by context, and the parent's customers and tables."""
 
     context_tables: np.ndarray
@@ -204,7 +241,7 @@ class State:
 
 
 @dataclass
-class Model:
+class Model(_Sent):
     buckets: int
     hot: np.ndarray
     contexts: int
@@ -231,12 +268,13 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.
     From the 64th on, a 32nd of those seated come at a time, all with the chance of the first of them.
     """
     tables = (customers > 0).astype(np.int64)
-    order = np.argsort(-customers, kind="stable")
+    order = np.flatnonzero(customers > 1)  # one customer alone has nothing to choose
+    order = order[np.argsort(-customers[order], kind="stable")]
     c, a = customers[order], new_table[order]
-    t = tables[order]
+    t, fewest_first = tables[order], -c
     n = 1
     while True:
-        live = int(np.searchsorted(-c, -n, "left"))  # entries with more than n customers
+        live = int(np.searchsorted(fewest_first, -n, "left"))  # entries with more than n customers
         if not live:
             break
         chance = a[:live] / (a[:live] + n - discount * t[:live])
@@ -261,6 +299,7 @@ class Bucket:
         self.owner = np.repeat(np.arange(k, dtype=np.int32), unpack_planes(row["sizes"], k, np.uint32))
         self.context = unpack_planes(row["contexts"], n, np.uint32).astype(np.int32)
         self.count = unpack_planes(row["counts"], n, np.uint32).astype(np.int64)
+        self.many = np.flatnonzero(self.count > 1).astype(np.int32)  # pairs whose number of tables is drawn
         at = np.minimum(np.searchsorted(model.hot, self.words), max(len(model.hot) - 1, 0))
         self.is_hot = model.hot[at] == self.words if len(model.hot) else np.zeros(k, bool)
         self.hot_at = at[self.is_hot]
@@ -292,8 +331,10 @@ class Bucket:
             parent = self.whole(self.parent_tables(own, k), state.hot_parent)
             yield pair_tables, word_tables, parent
             p = self.parent_probability(word_tables, parent, state)
-            weight = (CONCENTRATION[1] + d2 * state.context_tables[self.context]) * p[self.owner]
-            pair_tables = seat(self.count, weight, d2, np.random.default_rng([k, 3, self.bucket]))
+            many = self.many
+            weight = (CONCENTRATION[1] + d2 * state.context_tables[self.context[many]]) * p[self.owner[many]]
+            pair_tables = pair_tables.copy()
+            pair_tables[many] = seat(self.count[many], weight, d2, np.random.default_rng([k, 3, self.bucket]))
         self.last = pair_tables
 
     def parent_probability(self, word_tables: np.ndarray, parent: np.ndarray, state: State) -> np.ndarray:
@@ -344,32 +385,36 @@ def _sweep(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                b = Bucket(row, model)
-                for _ in b.sweeps():
-                    pass
-                tables = b.last
-                word_tables, word_counts = b.of_words(tables), b.of_words(b.count)
-                cold = ~b.is_hot
-                parent = b.parent_tables(word_tables, len(model.states))
-                hot_tables = np.bincount(b.hot_at, word_tables[b.is_hot], len(model.hot))
-                hot_counts = np.bincount(b.hot_at, word_counts[b.is_hot], len(model.hot))
-                totals = [
-                    tables.sum(),
-                    parent[cold].sum(),
-                    (word_counts[cold] > 0).sum(),
-                    b.count.sum(),
-                    *[(b.count == k).sum() for k in (1, 2)],
-                    *[(word_tables[cold] == k).sum() for k in (1, 2)],
-                ]
-                out = [(_TOTALS, np.array(totals)), (_HOT_TABLES, hot_tables)]
-                out += _in_chunks(_TABLES, np.bincount(b.context, tables, model.contexts))
-                if not model.states:
-                    out += [(_HOT_COUNTS, hot_counts), *_in_chunks(_COUNTS, np.bincount(b.context, b.count, model.contexts))]
-                yield _vectors(out)
+                yield _vectors(_sums_of(row, model))
 
     return run
 
 
+def _sums_of(row: dict, model: Model) -> list[tuple[int, np.ndarray]]:
+    b = Bucket(row, model)
+    for _ in b.sweeps():
+        pass
+    tables = b.last
+    word_tables, word_counts = b.of_words(tables), b.of_words(b.count)
+    cold = ~b.is_hot
+    parent = b.parent_tables(word_tables, len(model.states))
+    hot_tables = np.bincount(b.hot_at, word_tables[b.is_hot], len(model.hot))
+    hot_counts = np.bincount(b.hot_at, word_counts[b.is_hot], len(model.hot))
+    totals = [
+        tables.sum(),
+        parent[cold].sum(),
+        (word_counts[cold] > 0).sum(),
+        b.count.sum(),
+        *[(b.count == k).sum() for k in (1, 2)],
+        *[(word_tables[cold] == k).sum() for k in (1, 2)],
+    ]
+    out = [(_TOTALS, np.array(totals)), (_HOT_TABLES, hot_tables)]
+    out += _in_chunks(_TABLES, np.bincount(b.context, tables, model.contexts))
+    if not model.states:
+        out += [(_HOT_COUNTS, hot_counts), *_in_chunks(_COUNTS, np.bincount(b.context, b.count, model.contexts))]
+    return out
+
+
 def _totals(occurrences: DataFrame, model: Model) -> dict[int, np.ndarray]:
     """The sums over buckets. Their size depends on the number of contexts and hot words alone."""
     counts = occurrences.filter("bucket >= 0").select("bucket", "n_words", "n_pairs", "words", "sizes", "contexts", "counts")
@@ -412,43 +457,54 @@ SCORES = "part bigint, n int, sums binary"
 
 def _score(model: Model, burn_in: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
             for row in _rows(batch):
-                if row["bucket"] < 0:
-                    yield pa.record_batch([pa.array([-1 - row["bucket"]], pa.int64()), pa.array([-row["n"]], pa.int32()), pa.array([row["words"]], pa.binary())], ["part", "n", "sums"])
-                    continue
-                b = Bucket(row, model)
-                chance, samples = np.zeros(len(b.owner)), 0
-                for k, (tables, word_tables, parent) in enumerate(b.sweeps()):
-                    if k >= burn_in:
-                        p = b.parent_probability(word_tables, parent, model.states[k])
-                        chance += b.probability(tables, p, model.states[k])
-                        samples += 1
-                log_chance = np.log10(chance / samples)
-                count = b.whole(b.of_words(b.count), model.hot_counts)
-                log_count = np.log10(count + 1.0)
-                del chance, tables
-                pair = np.repeat(np.arange(len(b.owner), dtype=np.int32), unpack_planes(row["members"], row["n_pairs"], np.uint32))
-                n = row["n"]
-                part, doc = unpack_planes(row["part_sizes"], n, np.uint32), unpack_planes(row["rows"], n, np.uint32)
-                times = unpack_planes(row["times"], n, np.uint32)
-                part_ids = np.frombuffer(row["parts"], np.int64)
-                order = np.argsort(part, kind="stable").astype(np.int32)
-                cuts = np.searchsorted(part[order], np.arange(len(part_ids) + 1))
-                rows = []
-                for i, part_id in enumerate(part_ids.tolist()):
-                    o = order[cuts[i] : cuts[i + 1]]
-                    own, who, often = pair[o], doc[o], times[o]
-                    word = b.owner[own]
-                    sums = np.stack([np.bincount(who, often * x) for x in (log_chance[own], log_count[word], (count[word] > 0).astype(float))])
-                    here = np.flatnonzero(np.bincount(who))  # only the documents that have words of this bucket
-                    rows.append((part_id, len(here), here.astype(np.int32).tobytes() + sums[:, here].tobytes()))
-                kinds = (pa.int64(), pa.int32(), pa.binary())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "n", "sums"])
+                out = [(-1 - row["bucket"], -row["n"], row["words"])] if row["bucket"] < 0 else _scores_of(row, model, burn_in)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "n", "sums"])
 
     return run
 
 
+def _scores_of(row: dict, model: Model, burn_in: int) -> list[tuple[int, int, bytes]]:
+    """Per part: its number of documents that have words of this bucket, and what these words add to each."""
+    b = Bucket(row, model)
+    chance, samples = np.zeros(len(b.owner)), 0
+    # the range comes first: it ends before the sweep after the last state, which nothing reads
+    for k, (tables, word_tables, parent) in zip(range(len(model.states)), b.sweeps()):
+        if k >= burn_in:
+            p = b.parent_probability(word_tables, parent, model.states[k])
+            chance += b.probability(tables, p, model.states[k])
+            samples += 1
+    del tables
+    log_chance = np.log10(chance / samples)
+    del chance
+    count = b.whole(b.of_words(b.count), model.hot_counts)
+    log_count = np.log10(count + 1.0)
+    owner = b.owner
+    del b
+    n, part_ids = row["n"], np.frombuffer(row["parts"], np.int64)
+    part = unpack_planes(row["part_sizes"], n, np.uint32)
+    cuts = np.append(0, np.cumsum(np.bincount(part, minlength=len(part_ids))))
+    # by part and place: sorted as one number, which takes less memory than a stable order
+    order = part.astype(np.int64) << 32
+    del part
+    order |= np.arange(n, dtype=np.uint32)
+    order.sort()
+    order = order.astype(np.uint32)
+    pair = np.repeat(np.arange(len(owner), dtype=np.int32), unpack_planes(row["members"], row["n_pairs"], np.uint32))
+    doc, times = unpack_planes(row["rows"], n, np.uint32), unpack_planes(row["times"], n, np.uint32)
+    out = []
+    for i, part_id in enumerate(part_ids.tolist()):
+        o = order[cuts[i] : cuts[i + 1]]
+        own, who, often = pair[o], doc[o], times[o]
+        word = owner[own]
+        sums = np.stack([np.bincount(who, often * x) for x in (log_chance[own], log_count[word], (count[word] > 0).astype(float))])
+        here = np.flatnonzero(np.bincount(who))  # only the documents that have words of this bucket
+        out.append((part_id, len(here), here.astype(np.int32).tobytes() + sums[:, here].tobytes()))
+    return out
+
+
 def _scored(train_tokens: int, vocabulary: int):
     def run(table: pa.Table) -> pa.Table:
         got = list(zip(table["n"].to_pylist(), table["sums"].to_pylist()))

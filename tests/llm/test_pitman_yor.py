@@ -1,11 +1,15 @@
 """Scores against plain counting, the seating against its expectation, and the model against the unigrams."""
 
 import math
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +140,90 @@ def test_seating_matches_one_by_one():
         plain.append(t)
     assert abs(got.mean() - np.mean(plain)) < 0.1
     assert (py.seat(np.array([0, 1, 5]), np.ones(3), 0.5, rng) <= [0, 1, 5]).all()
+
+
+def peak(run):
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def one_bucket(n_docs=600, n_words=400):
+    """The dealt rows of one bucket, from several parts, and the words of their documents."""
+    rng = np.random.default_rng(5)
+    docs = [[f"w{w}" for w in (rng.zipf(1.3, n_words) % 20_000).tolist()] for _ in range(n_docs)]
+    batches = []
+    for first in range(0, n_docs, n_docs // 6):
+        ids = list(range(first, min(first + n_docs // 6, n_docs)))
+        batches.append(pa.record_batch({"doc_id": ids, "text": [" ".join(docs[i]) for i in ids], "train": [i % 7 != 2 for i in ids]}))
+    dealt = pa.Table.from_batches(py._deal(1, np.zeros(0, py.U64), 20)(iter(batches)))
+    return dealt.filter(pc.equal(dealt["bucket"], 0)), docs
+
+
+def test_a_bucket_is_gathered_in_little_memory():
+    dealt, docs = one_bucket()
+    row = py._bucket(dealt).to_pylist()[0]
+    assert peak(lambda: py._bucket(dealt)) < 50 * row["n"]
+    pairs = Counter((a, b) for i, d in enumerate(docs) if i % 7 != 2 for a, b in zip(["", *d], [*d, ""]))
+    everywhere = {(a, b) for d in docs for a, b in zip(["", *d], [*d, ""])}
+    assert abs(row["n_pairs"] / len(everywhere) - 1) < 0.05  # some contexts share a number
+    counts = py.unpack_planes(row["counts"], row["n_pairs"], np.uint32)
+    assert counts.sum() == sum(pairs.values())
+    assert py.unpack_planes(row["times"], row["n"], np.uint32).sum() == sum(len(d) + 1 for d in docs)
+    assert py.unpack_planes(row["members"], row["n_pairs"], np.uint32).sum() == row["n"]
+
+
+def test_no_seating_is_drawn_that_nothing_reads(monkeypatch):
+    bucket = py._bucket(one_bucket(60, 50)[0])
+    model = py.Model(1, np.zeros(0, py.U64), 1 << 20, vocabulary=1000, train_tokens=2500, context_counts=np.ones(1 << 20, np.int32))
+    none = np.zeros(0, np.int64)
+    model.states = [py.State(np.ones(1 << 20, np.int32), 2000, 1000, none, none) for _ in range(4)]
+    seat, drawn = py.seat, []
+    monkeypatch.setattr(py, "seat", lambda customers, *rest: drawn.append(customers) or seat(customers, *rest))
+    list(py._score(model, 2)(iter(bucket.to_batches())))
+    # of the pairs and of the parent, in each state after the first
+    assert len(drawn) == 2 * (len(model.states) - 1)
+    # a lone customer, or none, takes no random number: seats drawn for the others alone are the same
+    customers = np.array([1, 70, 0, 5, 1, 5, 2, 900])
+    both = [seat(c, np.full(len(c), 0.7), 0.6, np.random.default_rng(1)) for c in (customers, customers[customers > 1])]
+    assert (both[0][customers > 1] == both[1]).all() and both[0].tolist()[:3:2] == [1, 0]
+
+
+def test_a_text_part_is_hashed_piece_by_piece(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 5000, 2000).tolist()) for _ in range(300)] + ["", None]
+    part = pa.record_batch({"text": texts})
+    pieces = py.tokens(part, 20)
+    size = sum(len(t or "") for t in texts)
+    assert peak(lambda: py.tokens(part, 20)) < 20 * size
+    monkeypatch.setattr(py, "_HASHED_BYTES", 1 << 40)
+    for a, b in zip(pieces, py.tokens(part, 20)):
+        assert (a == b).all()
+    assert np.bincount(pieces[2]).tolist() == [2001] * 300 + [1, 1]
+
+
+def test_a_bucket_is_let_go_before_the_next():
+    bucket = py._bucket(one_bucket()[0]).to_batches()[0]
+    none = np.zeros(0, np.int64)
+    model = py.Model(1, np.zeros(0, py.U64), 1 << 20, vocabulary=1000, train_tokens=2500, context_counts=np.ones(1 << 20, np.int32))
+    model.states = [py.State(np.ones(1 << 20, np.int32), 2000, 1000, none, none) for _ in range(4)]
+
+    def score(times):
+        for _ in py._score(model, 2)(iter([bucket] * times)):
+            pass
+
+    score(1)
+    assert peak(lambda: score(3)) < 1.15 * peak(lambda: score(1))
+
+
+def test_a_model_is_sent_with_compressed_vectors():
+    rng, hot = np.random.default_rng(8), np.array([5, 9])
+    counts = rng.poisson(40, 1 << 17).astype(np.int32)
+    model = py.Model(3, hot.astype(py.U64), 1 << 17, context_counts=counts, states=[py.State(counts // 2, 7, 5, hot, hot)])
+    sent = pickle.dumps(model)
+    assert len(sent) < counts.nbytes
+    got = pickle.loads(sent)
+    assert (got.context_counts == counts).all() and (got.states[0].context_tables == counts // 2).all()
+    assert got.context_counts.dtype == np.int32 and (got.buckets, got.states[0].tables) == (3, 7) and (got.hot == hot).all()
