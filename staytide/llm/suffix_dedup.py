@@ -5,7 +5,8 @@ in the same one. Every such string holds a 16-byte gram that is the smallest by
 strings hold the same one at the same place. So
 
 1. each part of the documents lists its minimal grams with the runs of window starts they stand for;
-2. grams that occur once are left out, by a shuffle of grams alone;
+2. grams that occur once are left out, by a shuffle of grams alone; so are those whose 42 bytes on neither side come with the
+   same gram again, as of the other 84 bytes of a window half at least lie on one side;
 3. the text around each gram that is left (184 bytes at most) goes to the shard of its gram;
 4. a shard sorts the suffixes of these snippets by Larsson-Sadakane refinement, gets the common prefixes of neighbours by
    Kasai's method, and so the sets of equal windows; a shard that is too large is sorted in pieces, whose
@@ -36,12 +37,18 @@ from staytide.session import materialize
 WINDOW = 100
 GRAM = 16
 GRAMS_PER_WINDOW = WINDOW - GRAM + 1
+# Equal windows agree on so many bytes on one side of their gram at least.
+SIDE = (WINDOW - GRAM) // 2
 _LAST_ID = np.iinfo(np.int64).max
 _PLACE_BITS = 24
 # Text, grams or snippet bytes that a task handles at a time.
 PART_BYTES = 3 << 20
 GRAMS_PER_BUCKET = 1_000_000
 BYTES_PER_SHARD = 2 << 20
+# Shards travel in lots, so that a part of the text has no more rows to send where there is more text: up to SHARDS_PER_LOT
+# in one, beyond LOTS of them.
+LOTS = 512
+SHARDS_PER_LOT = 16
 # Ranges of ids that are ranked apart.
 ID_CHUNKS = 4096
 
@@ -90,11 +97,24 @@ def minimal_grams(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def sides(flat: np.ndarray, at: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """(2, n) hashes of the SIDE bytes in front of each gram and of those behind it; 0 where the document has fewer."""
+    eight = words_at(flat)
+    out = np.zeros((2, len(place)), np.uint32)
+    for k, (begin, inside) in enumerate(((place - SIDE, place - SIDE >= at[doc]), (place + GRAM, place + GRAM + SIDE <= at[doc + 1]))):
+        begin = begin[inside]
+        x = np.zeros(len(begin), U64)
+        for step in [*range(0, SIDE - 8, 8), SIDE - 8]:
+            x = mix64(x * U64(0x9E3779B97F4A7C15) + eight[begin + step])
+        out[k, inside] = np.maximum(x >> U64(32), U64(1))
+    return out
+
+
 def _ids(part: pa.RecordBatch) -> np.ndarray:
     return column(part, "doc_id").cast(pa.int64()).fill_null(_LAST_ID).to_numpy(zero_copy_only=False)
 
 
-GRAM_SCHEMA = "bucket int, n int, gram binary, id binary, first binary, runs binary"
+GRAM_SCHEMA = "bucket int, n int, gram binary, sides binary, id binary, first binary, runs binary"
 
 
 def _grams(buckets: int):
@@ -107,30 +127,43 @@ def _grams(buckets: int):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             ids, own = _ids(part)[doc], (first - at[doc]).astype(np.uint32)
             runs = ((place - first) | (last - first) << 8).astype(np.uint16)
+            around = sides(flat, at, place, doc)
             rows = []
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[b] : cuts[b + 1]]
-                rows.append((b, len(o), pack_planes(gram[o]), pack_planes(ids[o]), pack_planes(own[o]), pack_planes(runs[o])))
+                rows.append((b, len(o), pack_planes(gram[o]), around[:, o].tobytes(), pack_planes(ids[o]), pack_planes(own[o]), pack_planes(runs[o])))
             if rows:
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                names = ["bucket", "n", "gram", "id", "first", "runs"]
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                names = ["bucket", "n", "gram", "sides", "id", "first", "runs"]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
 
 
+def _twice(key: np.ndarray) -> np.ndarray:
+    """Mask of the values that occur more than once."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    twice = np.zeros(len(key), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    return twice
+
+
 def _repeated_grams(table: pa.Table) -> pa.Table:
-    """The runs whose gram occurs more than once in its bucket."""
+    """The runs whose gram occurs more than once in its bucket, with the same bytes on one side."""
     rows = table.to_pydict()
 
     def all_of(name, kind):
         return np.concatenate([unpack_planes(b, n, kind) for b, n in zip(rows[name], rows["n"])])
 
     gram = all_of("gram", U64)
-    order = np.argsort(gram, kind="stable")
-    same = gram[order][1:] == gram[order][:-1]
-    often = np.zeros(len(gram), bool)
-    often[order[1:][same]] = often[order[:-1][same]] = True
+    often = _twice(gram)
+    around = np.concatenate([np.frombuffer(b, np.uint32).reshape(2, n) for b, n in zip(rows["sides"], rows["n"])], 1)
+    shared = np.zeros(len(gram), bool)
+    for side in around:
+        has = np.flatnonzero(often & (side > 0))
+        shared[has] |= _twice(mix64(gram[has] + side[has] * U64(0x9E3779B97F4A7C15)))
+    often = shared
     first, runs = all_of("first", np.uint32)[often].astype(np.int64), all_of("runs", np.uint16)[often].astype(np.int64)
     return pa.table(
         {
@@ -142,13 +175,17 @@ def _repeated_grams(table: pa.Table) -> pa.Table:
     )
 
 
-SNIPPET_SCHEMA = "shard int, n int, id binary, first binary, sizes binary, bytes binary"
+SNIPPET_SCHEMA = "lot int, n int, counts binary, id binary, first binary, sizes binary, bytes binary"
+# Of a snippet's size, sent as what goes beyond a window: that it is a later copy of one of its part and comes without bytes.
+_LATE = 128
 
 
-def _snippets(shards: int):
+def _snippets(shards: int, per_lot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        zip_bytes = zstandard.ZstdCompressor(level=1).compress
+        lots = -(-shards // per_lot)
         for part in parts(batches, "text", PART_BYTES):
             flat, at = text_bytes(column(part, "text"))
             runs = column(part, "runs")
@@ -159,24 +196,21 @@ def _snippets(shards: int):
             size = last - first + WINDOW
             shard = (mix64(gram.view(U64)) % U64(shards)).astype(np.int64)
             order = np.lexsort((first, doc, shard))
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            cuts = np.searchsorted(shard[order], np.arange(lots + 1) * per_lot)
             ids = _ids(part)
             rows = []
-
-            def add(key: int, o: np.ndarray, data: bytes) -> None:
-                size_bytes = size[o].astype(np.uint8).tobytes()
-                rows.append((key, len(o), pack_planes(ids[doc[o]]), pack_planes(first[o].astype(np.uint32)), size_bytes, data))
-
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[s] : cuts[s + 1]]
                 data = _gather(flat, begin[o], size[o])
                 heads, late = first_copies(ids[doc[o]], first[o], size[o], data)
-                add(s, o[heads], zstandard.ZstdCompressor(level=1).compress(data[np.repeat(heads, size[o])].tobytes()))
-                if late.any():  # no bytes: it is known that they go
-                    add(-1 - s, o[late], b"")
+                data = data[np.repeat(heads, size[o])].tobytes()
+                o, late = o[heads | late], late[heads | late]
+                counts = np.bincount(shard[o] - s * per_lot, minlength=per_lot).astype(np.uint32).tobytes()
+                sizes = (size[o] - WINDOW + np.where(late, _LATE, 0)).astype(np.uint8).tobytes()
+                rows.append((s, len(o), counts, pack_planes(ids[doc[o]]), pack_planes(first[o].astype(np.uint32)), sizes, zip_bytes(data)))
             if rows:
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                names = ["shard", "n", "id", "first", "sizes", "bytes"]
+                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+                names = ["lot", "n", "counts", "id", "first", "sizes", "bytes"]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
@@ -358,17 +392,34 @@ def merge(shards: list[Shard]) -> None:
                 own.lower(*heads[j], at, theirs[at] == keys[i])
 
 
-def _shard_repeats(table: pa.Table) -> pa.Table:
+def _lot_repeats(table: pa.Table) -> pa.Table:
+    """Later copies of whole snippets, and what each shard of the lot finds."""
     import zstandard
 
     rows = table.to_pydict()
-    unzip = zstandard.ZstdDecompressor()
+    unzip = zstandard.ZstdDecompressor().decompress
     ids = np.concatenate([unpack_planes(b, n, np.int64) for b, n in zip(rows["id"], rows["n"])])
     first = np.concatenate([unpack_planes(b, n, np.uint32) for b, n in zip(rows["first"], rows["n"])]).astype(np.int64)
     sizes = np.concatenate([np.frombuffer(b, np.uint8) for b in rows["sizes"]]).astype(np.int64)
-    if rows["shard"][0] < 0:
-        return pa.table({"id": ids, "from": first, "to": first + sizes})
-    flat = np.frombuffer(b"".join(unzip.decompress(b) for b in rows["bytes"]), np.uint8)
+    late = sizes >= _LATE
+    sizes += np.where(late, WINDOW - _LATE, WINDOW)
+    counts = np.concatenate([np.frombuffer(b, np.uint32) for b in rows["counts"]]).astype(np.int64)
+    per_lot = len(counts) // table.num_rows
+    shard = np.repeat(np.tile(np.arange(per_lot), table.num_rows), counts)[~late]
+    found = [pa.table({"id": ids[late], "from": first[late], "to": (first + sizes)[late]})]
+    ids, first, sizes = ids[~late], first[~late], sizes[~late]
+    flat = np.frombuffer(b"".join(unzip(b) for b in rows.pop("bytes")), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(per_lot + 1))
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        if z > a:
+            o = order[a:z]
+            found += _shard_repeats(ids[o], first[o], sizes[o], _gather(flat, begin[o], sizes[o]))
+    return pa.concat_tables(found)
+
+
+def _shard_repeats(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> list[pa.Table]:
     heads, late = first_copies(ids, first, sizes, flat)
     whole = pa.table({"id": ids[late], "from": first[late], "to": (first + sizes)[late]})
     flat = flat[np.repeat(heads, sizes)]
@@ -378,7 +429,7 @@ def _shard_repeats(table: pa.Table) -> pa.Table:
     cuts = np.unique(np.append(cuts, len(sizes)))
     shards = [Shard(ids[a:b], first[a:b], sizes[a:b], flat[at[a] : at[b]]) for a, b in zip(cuts[:-1], cuts[1:])]
     merge(shards)
-    return pa.concat_tables([whole, *(s.repeated() for s in shards)])
+    return [whole, *(s.repeated() for s in shards)]
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,8 +499,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     around = per_doc.agg(F.sum(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + WINDOW)).alias("n")).first()["n"]
     shards = int((around or 0) / BYTES_PER_SHARD) + 1
     held = texts.join(per_doc, F.coalesce("doc_id", F.lit(int(_LAST_ID))) == F.col("id")).select("doc_id", "text", "runs")
-    snippets = held.mapInArrow(_snippets(shards), SNIPPET_SCHEMA)
-    return snippets.groupBy("shard").applyInArrow(_shard_repeats, "id bigint, from bigint, to bigint")
+    per_lot = min(SHARDS_PER_LOT, shards // LOTS + 1)
+    snippets = held.mapInArrow(_snippets(shards, per_lot), SNIPPET_SCHEMA)
+    return snippets.groupBy("lot").applyInArrow(_lot_repeats, "id bigint, from bigint, to bigint")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

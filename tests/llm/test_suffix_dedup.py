@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 from staytide.llm import suffix_dedup as sd
 
@@ -95,3 +96,45 @@ def test_rows_that_share_an_id(spark):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.without_repeats(df).collect())
     assert got == sorted((t[0] or -1, *by_row[t]) for t in texts)
     assert sum(r[2] for r in got) > 1000
+
+
+def _batch(texts):
+    ids = pa.array(np.arange(len(texts)))
+    return pa.record_batch([ids, pa.array(texts)], ["doc_id", "text"])
+
+
+def _runs(texts):
+    found = sd._repeated_grams(pa.Table.from_batches(sd._grams(1)(iter([_batch(texts)]))))
+    return list(zip(*(c.to_pylist() for c in found.select(["id", "gram", "first", "last"]).columns)))
+
+
+def test_common_phrases_alone_send_nothing():
+    """Texts that share 50 bytes share grams, but no window; those that share a window keep the run that holds it."""
+    rng = np.random.default_rng(4)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    phrase, passage = noise(50), noise(100)
+    texts = [noise(60) + phrase + noise(60) for _ in range(50)]
+    grams = [r for b in sd._grams(1)(iter([_batch(texts)])) for r in sd.unpack_planes(b.column(2)[0].as_py(), b.column(1)[0].as_py(), np.uint64)]
+    assert len(set(grams)) < len(grams)
+    assert _runs(texts) == []
+    for front in (0, 1, 41, 42, 200):
+        own = [noise(front) + passage + noise(k) for k in (0, 30)]
+        held = {i for i, _, first, last in _runs(texts + own) if first <= front <= last}
+        assert held == {50, 51}
+
+
+def test_a_part_sends_a_row_per_lot(spark, monkeypatch):
+    docs = _texts()
+    texts = [t or "" for _, t in docs]
+    per_doc = [[{"gram": g, "first": a, "last": z} for i, g, a, z in _runs(texts) if i == k] for k in range(len(texts))]
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+    part = _batch(texts).append_column("runs", pa.array(per_doc, kind))
+    one, many = ([b.to_pylist() for b in sd._snippets(s, n)(iter([part]))][0] for s, n in ((1, 1), (1000, 100)))
+    assert len(one) == 1 and len(many) <= 10 and sum(r["n"] for r in many) == one[0]["n"]
+    # the lots find what one shard finds, and the whole job the same with many small shards
+    spans = lambda rows: sorted((r["id"], r["from"], r["to"]) for row in rows for r in sd._lot_repeats(pa.Table.from_pylist([row])).to_pylist())
+    covered = lambda rows: {(i, p) for i, a, z in spans(rows) for p in range(a, z)}
+    assert covered(many) == covered(one) != set()
+    monkeypatch.setattr(sd, "BYTES_PER_SHARD", 300)
+    monkeypatch.setattr(sd, "LOTS", 4)
+    assert result(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
