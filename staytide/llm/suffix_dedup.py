@@ -8,7 +8,8 @@ strings hold the same one at the same place. So
 2. grams that occur once are left out, by a shuffle of grams alone; so are those whose 42 bytes on neither side come with the
    same gram again, as of the other 84 bytes of a window half at least lie on one side;
 3. the text around each gram that is left (184 bytes at most) goes to the shard of its gram;
-4. a shard sorts the suffixes of these snippets by Larsson-Sadakane refinement, gets the common prefixes of neighbours by
+4. a shard leaves out later copies of whole snippets, and those that are then alone with their gram, as equal windows share it and no
+   two windows of a snippet hold it at the same place; it sorts the suffixes of the others by Larsson-Sadakane refinement, gets the common prefixes of neighbours by
    Kasai's method, and so the sets of equal windows; a shard that is too large is sorted in pieces, whose
    distinct windows are looked up in each other by binary search;
 5. all windows but the first of each set mark their bytes, and each document drops what is marked.
@@ -175,7 +176,7 @@ def _repeated_grams(table: pa.Table) -> pa.Table:
     )
 
 
-SNIPPET_SCHEMA = "lot int, n int, counts binary, id binary, first binary, sizes binary, bytes binary"
+SNIPPET_SCHEMA = "lot int, n int, counts binary, tags binary, id binary, first binary, sizes binary, bytes binary"
 # Of a snippet's size, sent as what goes beyond a window: that it is a later copy of one of its part and comes without bytes.
 _LATE = 128
 
@@ -194,7 +195,8 @@ def _snippets(shards: int, per_lot: int):
             gram, first, last = (values.field(k).to_numpy() for k in range(3))
             begin = first + at[doc]
             size = last - first + WINDOW
-            shard = (mix64(gram.view(U64)) % U64(shards)).astype(np.int64)
+            mixed = mix64(gram.view(U64))
+            shard, tag = (mixed % U64(shards)).astype(np.int64), (mixed >> U64(32)).astype(np.uint32)
             order = np.lexsort((first, doc, shard))
             cuts = np.searchsorted(shard[order], np.arange(lots + 1) * per_lot)
             ids = _ids(part)
@@ -207,10 +209,10 @@ def _snippets(shards: int, per_lot: int):
                 o, late = o[heads | late], late[heads | late]
                 counts = np.bincount(shard[o] - s * per_lot, minlength=per_lot).astype(np.uint32).tobytes()
                 sizes = (size[o] - WINDOW + np.where(late, _LATE, 0)).astype(np.uint8).tobytes()
-                rows.append((s, len(o), counts, pack_planes(ids[doc[o]]), pack_planes(first[o].astype(np.uint32)), sizes, zip_bytes(data)))
+                rows.append((s, len(o), counts, tag[o].tobytes(), pack_planes(ids[doc[o]]), pack_planes(first[o].astype(np.uint32)), sizes, zip_bytes(data)))
             if rows:
-                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-                names = ["lot", "n", "counts", "id", "first", "sizes", "bytes"]
+                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+                names = ["lot", "n", "counts", "tags", "id", "first", "sizes", "bytes"]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
@@ -406,6 +408,7 @@ def _lot_repeats(table: pa.Table) -> pa.Table:
     counts = np.concatenate([np.frombuffer(b, np.uint32) for b in rows["counts"]]).astype(np.int64)
     per_lot = len(counts) // table.num_rows
     shard = np.repeat(np.tile(np.arange(per_lot), table.num_rows), counts)[~late]
+    tags = np.concatenate([np.frombuffer(b, np.uint32) for b in rows["tags"]])[~late]
     found = [pa.table({"id": ids[late], "from": first[late], "to": (first + sizes)[late]})]
     ids, first, sizes = ids[~late], first[~late], sizes[~late]
     flat = np.frombuffer(b"".join(unzip(b) for b in rows.pop("bytes")), np.uint8)
@@ -415,13 +418,17 @@ def _lot_repeats(table: pa.Table) -> pa.Table:
     for a, z in zip(cuts[:-1], cuts[1:]):
         if z > a:
             o = order[a:z]
-            found += _shard_repeats(ids[o], first[o], sizes[o], _gather(flat, begin[o], sizes[o]))
+            found += _shard_repeats(ids[o], first[o], sizes[o], tags[o], _gather(flat, begin[o], sizes[o]))
     return pa.concat_tables(found)
 
 
-def _shard_repeats(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> list[pa.Table]:
+def _shard_repeats(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, tags: np.ndarray, flat: np.ndarray) -> list[pa.Table]:
+    """`tags`: hashes of the snippets' grams."""
     heads, late = first_copies(ids, first, sizes, flat)
     whole = pa.table({"id": ids[late], "from": first[late], "to": (first + sizes)[late]})
+    heads[heads] = _twice(tags[heads])
+    if not heads.any():
+        return [whole]
     flat = flat[np.repeat(heads, sizes)]
     ids, first, sizes = ids[heads], first[heads], sizes[heads]
     at = np.append(0, np.cumsum(sizes))

@@ -123,12 +123,37 @@ def test_common_phrases_alone_send_nothing():
         assert held == {50, 51}
 
 
+def _part(texts):
+    """A part as the snippets are taken from, with the runs of its texts."""
+    per_doc = [[{"gram": g, "first": a, "last": z} for i, g, a, z in _runs(texts) if i == k] for k in range(len(texts))]
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+    return _batch(texts).append_column("runs", pa.array(per_doc, kind))
+
+
+def test_snippets_alone_with_their_gram_are_not_sorted(monkeypatch):
+    """Equal texts from several parts leave one snippet of each gram; where the context differs, only those at its edges are sorted."""
+    rng = np.random.default_rng(6)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    sorted_, shard = [], sd.Shard
+    monkeypatch.setattr(sd, "Shard", lambda *a: sorted_.append(len(a[0])) or shard(*a))
+    passage = noise(3000)
+
+    def found(texts):
+        part = _part(texts)
+        rows = [r for i in range(len(texts)) for b in sd._snippets(1, 1)(iter([part.slice(i, 1)])) for r in b.to_pylist()]
+        spans = sd._lot_repeats(pa.Table.from_pylist(rows)).to_pylist()
+        return {(r["id"], p) for r in spans for p in range(r["from"], r["to"])}
+
+    assert found([passage, passage, passage]) == {(i, p) for i in (1, 2) for p in range(3000)}
+    assert not sorted_
+    assert found([noise(80) + passage + noise(90), noise(120) + passage + noise(90)]) >= {(1, p) for p in range(120, 3120)}
+    assert 0 < sum(sorted_) < 20
+
+
 def test_a_part_sends_a_row_per_lot(spark, monkeypatch):
     docs = _texts()
     texts = [t or "" for _, t in docs]
-    per_doc = [[{"gram": g, "first": a, "last": z} for i, g, a, z in _runs(texts) if i == k] for k in range(len(texts))]
-    kind = pa.list_(pa.struct([("gram", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
-    part = _batch(texts).append_column("runs", pa.array(per_doc, kind))
+    part = _part(texts)
     one, many = ([b.to_pylist() for b in sd._snippets(s, n)(iter([part]))][0] for s, n in ((1, 1), (1000, 100)))
     assert len(one) == 1 and len(many) <= 10 and sum(r["n"] for r in many) == one[0]["n"]
     # the lots find what one shard finds, and the whole job the same with many small shards
